@@ -236,7 +236,7 @@ class KFrame:
         into an equi-join; Catalyst reorders a chain of products accordingly.
         """
         right, leaves = self._right_side(other)
-        return self._product(self.df.crossJoin(right), other, leaves)
+        return self._product(self.df.join(right), other, leaves)
 
     def join(self, other: "KFrame", on, where: str | Column | None = None) -> "KFrame":
         """⨝: σ over ×. ``on`` is a predicate, or pairs ``[(left, right), ...]``."""
