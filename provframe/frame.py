@@ -190,26 +190,29 @@ class KFrame:
     ) -> "KFrame":
         """Multiply annotations of the paired rows in ``joined``."""
         leaves = self.leaves + tuple(right_leaves)
-        cols = [col_of(a) for a in self.attrs + other.attrs] + [F.col(x.column) for x in leaves]
         has_names = self.has_names or other.has_names
-        if has_names:
-            parts = []
-            if self.has_names:
-                parts.append(F.col(NAMES))
-            if other.has_names:
-                right = F.col(f"{NAMES}_r")
-                if outer:
-                    right = F.coalesce(right, F.array().cast("array<string>"))
-                parts.append(right)
-            cols.append((parts[0] if len(parts) == 1 else F.concat(*parts)).alias(NAMES))
         weighted = self.weighted or other.weighted
-        if weighted:
+        # Columns that only stand side by side are left where they are: a projection
+        # between two joins would keep Catalyst from reordering them.
+        computed: dict[str, Column] = {}
+        if other.has_names:
+            right = F.col(f"{NAMES}_r")
+            if outer:
+                right = F.coalesce(right, F.array().cast("array<string>"))
+            computed[NAMES] = F.concat(F.col(NAMES), right) if self.has_names else right
+        if other.weighted:
             weight = self.semiring.weight
-            parts = [F.col(WEIGHT)] if self.weighted else []
-            if other.weighted:
-                right = F.col(f"{WEIGHT}_r")
-                parts.append(F.coalesce(right, weight.lit_one()) if outer else right)
-            cols.append((parts[0] if len(parts) == 1 else weight.times(*parts)).alias(WEIGHT))
+            right = F.col(f"{WEIGHT}_r")
+            if outer:
+                right = F.coalesce(right, weight.lit_one())
+            computed[WEIGHT] = weight.times(F.col(WEIGHT), right) if self.weighted else right
+        if computed:
+            kept = [col_of(a) for a in self.attrs + other.attrs] + [F.col(x.column) for x in leaves]
+            if has_names:
+                kept.append(computed.get(NAMES, F.col(NAMES)).alias(NAMES))
+            if weighted:
+                kept.append(computed.get(WEIGHT, F.col(WEIGHT)).alias(WEIGHT))
+            joined = joined.select(*kept)
         apart = not (self.witness_columns and other.witness_columns) or (
             not (self.has_names or other.has_names)
             and all(spaces_apart(a.space, b.space) for a in self.leaves for b in other.leaves)
@@ -218,7 +221,7 @@ class KFrame:
         if outer and sizes is not None:
             sizes = sizes | self.sizes
         return KFrame(
-            joined.select(*cols),
+            joined,
             self.attrs + other.attrs,
             self.semiring,
             leaves,
