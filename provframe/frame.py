@@ -186,7 +186,7 @@ class KFrame:
         return other.df.select(*cols), leaves
 
     def _product(
-        self, joined: DataFrame, other: "KFrame", right_leaves: list[Leaf], outer: bool = False
+        self, joined: DataFrame, other: "KFrame", right_leaves: list[Leaf]
     ) -> "KFrame":
         """Multiply annotations of the paired rows in ``joined``."""
         leaves = self.leaves + tuple(right_leaves)
@@ -197,14 +197,10 @@ class KFrame:
         computed: dict[str, Column] = {}
         if other.has_names:
             right = F.col(f"{NAMES}_r")
-            if outer:
-                right = F.coalesce(right, F.array().cast("array<string>"))
             computed[NAMES] = F.concat(F.col(NAMES), right) if self.has_names else right
         if other.weighted:
             weight = self.semiring.weight
             right = F.col(f"{WEIGHT}_r")
-            if outer:
-                right = F.coalesce(right, weight.lit_one())
             computed[WEIGHT] = weight.times(F.col(WEIGHT), right) if self.weighted else right
         if computed:
             kept = [col_of(a) for a in self.attrs + other.attrs] + [F.col(x.column) for x in leaves]
@@ -218,8 +214,6 @@ class KFrame:
             and all(spaces_apart(a.space, b.space) for a in self.leaves for b in other.leaves)
         )
         sizes = _product_sizes(self.sizes, other.sizes, apart)
-        if outer and sizes is not None:
-            sizes = sizes | self.sizes
         return KFrame(
             joined,
             self.attrs + other.attrs,

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provframe.frame import KFrame, _check_names, col_of, tuple_key
@@ -28,22 +28,25 @@ def _is_pairs(on) -> bool:
 def anti(left: KFrame, right: KFrame, on=None, where=None) -> KFrame:
     """⊳: tuples of ``left`` without a match in the support of ``right``.
 
-    With key pairs this is one anti join. A bare predicate has no key to
-    partition by, and Spark would broadcast the right side whatever its size;
-    so the matching left tuples are found by an inner join first and removed
-    by an equi anti join.
+    Either way the anti join runs against a side that holds each key once, so
+    neither a hot key nor a missing one hurts: Spark can only split the left
+    side of an anti join, and without an equality it would broadcast the right
+    side whatever its size. Key pairs are made distinct first; for any other
+    condition the matching left tuples are found by an inner join.
     """
     left._need_same_semiring(right)
-    cond = left._join_condition(right, on, where)
     clash = set(left.attrs) & set(right.attrs)
     if clash:
         raise ValueError(f"attribute(s) {sorted(clash)} on both sides; alias one side first")
-    others = right.df.select(*right.key_columns)
-    if _is_pairs(on):
-        return replace(left, df=left.df.join(others, cond, "left_anti"))
+    if _is_pairs(on) and where is None:
+        pairs = left._pairs(right, on)
+        keys = right.df.select(*[col_of(b) for _, b in pairs]).distinct()
+        df = left.df.join(keys, left._join_condition(right, on), "left_anti")
+        return replace(left, df=df)
+    cond = left._join_condition(right, on, where)
     matched = (
         left.df.select(*left.key_columns)
-        .join(others, cond, "inner")
+        .join(right.df.select(*right.key_columns), cond, "inner")
         .select(tuple_key(left.attrs).alias("__mk"))
         .distinct()
     )
@@ -54,73 +57,72 @@ def anti(left: KFrame, right: KFrame, on=None, where=None) -> KFrame:
 def left_outer(left: KFrame, right: KFrame, on=None, where=None) -> KFrame:
     """⟕: inner join ∪ anti join padded with NULL.
 
-    A row matches or not by its attributes alone, whatever its witness, so with
-    key pairs a single outer join on the rows is the whole operator: an
-    unmatched row gets NULL leaves, which is a factor of one.
+    Spark's own outer join cannot split a hot key of the optional side; the
+    inner join can, and the anti join meets each key once.
     """
-    if _is_pairs(on):
-        other, leaves = left._right_side(right)
-        cond = left._join_condition(right, on, where)
-        return left._product(left.df.join(other, cond, "left"), right, leaves, outer=True)
     inner = left.join(right, on, where)
     types = {f.name: f.dataType for f in right.df.schema.fields}
     padding = [F.lit(None).cast(types[a]).alias(a) for a in right.attrs]
     return inner.msum(anti(left, right, on, where).project(*left.attrs, *padding))
 
 
-def intersect(left: KFrame, right: KFrame) -> KFrame:
-    """∩: tuples of both sides, annotations multiplied. NULLs match each other."""
+def _need_same_schema(left: KFrame, right: KFrame) -> None:
     left._need_same_semiring(right)
     if left.attrs != right.attrs:
         raise ValueError(f"schemas differ: {list(left.attrs)} and {list(right.attrs)}")
-    if not left.semiring.symbolic and left.semiring.weight is None:
-        df = left.df.select(*left.key_columns).intersect(right.df.select(*right.key_columns))
-        return replace(left, df=df, merged=True)
+
+
+def _side_by_side(left: KFrame, right: KFrame) -> DataFrame:
+    """Each tuple once, with its total on either side as ``__l`` and ``__r`` (B: 0 or 1).
+
+    One pre-aggregated grouping over both sides rather than a join, so a tuple
+    with very many copies costs no more than any other.
+    """
+    weight = left.semiring.weight
+    zero = F.lit(0) if weight is None else weight.lit_zero()
+
+    def side(f: KFrame, own: str, other: str) -> DataFrame:
+        value = F.lit(1) if weight is None else _weight(f)
+        return f.df.select(*f.key_columns, value.alias(own), zero.alias(other))
+
+    plus = F.max if weight is None else weight.plus
+    return (
+        side(left, "__l", "__r")
+        .unionByName(side(right, "__r", "__l"))
+        .groupBy(*left.key_columns)
+        .agg(plus(F.col("__l")).alias("__l"), plus(F.col("__r")).alias("__r"))
+    )
+
+
+def intersect(left: KFrame, right: KFrame) -> KFrame:
+    """∩: tuples of both sides, annotations multiplied. NULLs match each other."""
+    _need_same_schema(left, right)
+    weight = left.semiring.weight
+    if not left.semiring.symbolic and (weight is None or left.semiring.name == "N"):
+        both = _side_by_side(left, right).where((F.col("__l") > 0) & (F.col("__r") > 0))
+        cols = list(left.key_columns)
+        if weight is not None:
+            cols.append(weight.times(F.col("__l"), F.col("__r")).alias(WEIGHT))
+        return replace(left, df=both.select(*cols), weighted=weight is not None, merged=True)
     # merge first: the product then pairs each tuple's total (or distinct witnesses) once
     lhs, rhs = left.merge(), right.merge()
-    names = {a: f"rhs {a}" for a in rhs.attrs}
-    rhs = rhs.rename(names)
+    rhs = rhs.rename({a: f"rhs {a}" for a in rhs.attrs})
     both = lhs.join(rhs, tuple_key(lhs.attrs) == tuple_key(rhs.attrs))
     return both.project(*left.attrs)
 
 
 def minus(left: KFrame, right: KFrame) -> KFrame:
-    """−: set difference in B, truncated subtraction of multiplicities in N.
-
-    One pre-aggregated grouping over both sides rather than a join, so a tuple
-    with very many copies costs no more than any other.
-    """
-    left._need_same_semiring(right)
-    if left.attrs != right.attrs:
-        raise ValueError(f"schemas differ: {list(left.attrs)} and {list(right.attrs)}")
-    if left.semiring.symbolic:
+    """−: set difference in B, truncated subtraction of multiplicities in N."""
+    _need_same_schema(left, right)
+    if left.semiring.name not in ("B", "N"):
         raise ValueError(f"difference has no meaning in {left.semiring.name}")
+    sides = _side_by_side(left, right)
     weight = left.semiring.weight
-    if weight is not None and left.semiring.name != "N":
-        raise ValueError(f"difference is not defined for {left.semiring.name}")
     if weight is None:
-        sides = left.df.select(*left.key_columns, F.lit(False).alias("__r")).unionByName(
-            right.df.select(*right.key_columns, F.lit(True).alias("__r"))
-        )
-        df = (
-            sides.groupBy(*left.key_columns)
-            .agg(F.max("__r").alias("__r"))
-            .where(~F.col("__r"))
-            .select(*left.key_columns)
-        )
+        df = sides.where((F.col("__l") > 0) & (F.col("__r") == 0)).select(*left.key_columns)
         return replace(left, df=df, merged=True)
-    zero = weight.lit_zero()
-    sides = left.df.select(
-        *left.key_columns, _weight(left).alias("__l"), zero.alias("__r")
-    ).unionByName(
-        right.df.select(*right.key_columns, zero.alias("__l"), _weight(right).alias("__r"))
-    )
-    df = (
-        sides.groupBy(*left.key_columns)
-        .agg(weight.plus(F.col("__l")).alias("__l"), weight.plus(F.col("__r")).alias("__r"))
-        .where(F.col("__l") > F.col("__r"))
-        .select(*left.key_columns, (F.col("__l") - F.col("__r")).cast(weight.dtype).alias(WEIGHT))
-    )
+    rest = (F.col("__l") - F.col("__r")).cast(weight.dtype).alias(WEIGHT)
+    df = sides.where(F.col("__l") > F.col("__r")).select(*left.key_columns, rest)
     return replace(left, df=df, weighted=True, merged=True)
 
 

@@ -497,7 +497,7 @@ in_all(
 in_all(
     "x_anti",
     lambda t: t.customer.anti(
-        t.orders, [("c_custkey", "o_custkey")], where="o_orderstatus = 'F' AND o_totalprice > 400000"
+        t.orders.where("o_orderstatus = 'F' AND o_totalprice > 400000"), [("c_custkey", "o_custkey")]
     ).project("c_mktsegment", "c_nationkey"),
     "c_mktsegment, c_nationkey",
     "customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey "
@@ -556,16 +556,16 @@ _OUTER_THETA = "supplier LEFT JOIN region ON s_acctbal BETWEEN r_regionkey * 200
 in_all("x_outer_theta", outer_theta, "s_nationkey, r_name", _OUTER_THETA, [], only=("B", "N"))
 
 
-def common_nations(t):
-    return t.customer.project(F.col("c_nationkey").alias("k")).intersect(
-        t.supplier.project(F.col("s_nationkey").alias("k"))
+def ordering_customers(t):
+    return t.orders.project(F.col("o_custkey").alias("k")).intersect(
+        t.customer.where("c_acctbal > 0").project(F.col("c_custkey").alias("k"))
     )
 
 
-_COMMON = "customer, supplier WHERE c_nationkey = s_nationkey"
 in_all(
-    "x_intersect", common_nations, "c_nationkey AS k", _COMMON, [var("customer"), var("supplier")],
-    stats=True,
+    "x_intersect", ordering_customers, "o_custkey AS k",
+    "orders, customer WHERE o_custkey = c_custkey AND c_acctbal > 0",
+    [var("orders"), var("customer")],
 )
 
 

@@ -112,9 +112,10 @@ register(
 
 
 def sel_is_null(spark, path):
-    """Customers without orders."""
+    """Customers without a large finished order."""
     t = tables(spark, path, "N")
-    joined = t.customer.left_outer(t.orders, [("c_custkey", "o_custkey")])
+    large = t.orders.where("o_orderstatus = 'F' AND o_totalprice > 300000")
+    joined = t.customer.left_outer(large, [("c_custkey", "o_custkey")])
     return counted(joined.where("o_orderkey IS NULL").project("c_nationkey"))
 
 
@@ -123,7 +124,8 @@ register(
     sel_is_null,
     oracle.nat(
         "c_nationkey",
-        "customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL",
+        "customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F' "
+        "AND o_totalprice > 300000 WHERE o_orderkey IS NULL",
     ),
 )
 
