@@ -333,7 +333,8 @@ class KFrame:
         cols = self.key_columns + [
             changed.get(c, F.col(c)) for c in self.annotation_columns
         ]
-        return replace(self, df=self.df.select(*cols))
+        leaves = tuple(replace(x, optional=True) if x.column in changed else x for x in self.leaves)
+        return replace(self, df=self.df.select(*cols), leaves=leaves)
 
     def as_names(self) -> "KFrame":
         """Turn every witness into one sorted array of variable names."""
@@ -495,7 +496,17 @@ def _align(left: KFrame, right: KFrame) -> tuple[KFrame, KFrame]:
                     free = [len(slots) - 1]
                 taken[free[0]] = i
             places.append(taken)
-        target = tuple(x.at(leaf_column(s)) for s, x in enumerate(slots))
+        target = tuple(
+            replace(
+                x,
+                column=leaf_column(s),
+                optional=any(
+                    s not in taken or side.leaves[taken[s]].optional
+                    for side, taken in zip((left, right), places)
+                ),
+            )
+            for s, x in enumerate(slots)
+        )
         has_names = left.has_names or right.has_names
     else:
         target, places, has_names = (), [{}, {}], False

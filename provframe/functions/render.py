@@ -20,6 +20,7 @@ from provframe.functions.witness import (
     WEIGHT,
     all_apart,
     clause_text,
+    joined_names,
     monomial_text,
     names_array,
     term_text,
@@ -53,11 +54,17 @@ def _weight(f: KFrame) -> Column:
 
 def _term_columns(f: KFrame) -> tuple[Column, Column]:
     """(text, sort key) of a row's term. Polynomials sort by monomial, not by coefficient."""
-    names = _names(f)
+    side_by_side = not _may_repeat(f)
     if not f.semiring.keeps_exponents:
-        text = clause_text(names)
+        if side_by_side and any(not x.optional for x in f.leaves):
+            text = F.concat(F.lit("("), joined_names(f.leaves, " ∧ ", ""), F.lit(")"))
+        else:
+            text = clause_text(_names(f))
         return text, text
-    monomial = monomial_text(names, _may_repeat(f))
+    if side_by_side:
+        monomial = joined_names(f.leaves, "·", "1")
+    else:
+        monomial = monomial_text(_names(f))
     return term_text(monomial, _weight(f)), monomial
 
 
@@ -67,10 +74,14 @@ def terms(frame: KFrame) -> DataFrame:
     return f.df.select(*f.key_columns, _term_columns(f)[0].alias(TERM))
 
 
-def _packed_parts(f: KFrame, body: Column, order: Column, max_terms: int, finish, name: str) -> DataFrame:
-    rows = f.df.select(*f.key_columns, order.alias(ORDER), body.alias(BODY)).withColumn(
-        "__h", F.xxhash64(ORDER)
+def _packed_parts(
+    f: KFrame, body: Column, order: Column | None, max_terms: int, finish, name: str
+) -> DataFrame:
+    """Collect terms per tuple, sorted by ``order``, or by themselves when it is None."""
+    rows = f.df.select(
+        *f.key_columns, body.alias(BODY), *([] if order is None else [order.alias(ORDER)])
     )
+    rows = rows.withColumn("__h", F.xxhash64(BODY if order is None else ORDER))
     # Tuples above the bound: at most (all terms / max_terms) rows. Both sides are salted
     # because a single tuple may own a large share of the terms.
     large = (
@@ -91,11 +102,15 @@ def _packed_parts(f: KFrame, body: Column, order: Column, max_terms: int, finish
         # spread by a second hash, independent of the salt
         F.pmod(F.xxhash64(F.col("__h"), F.lit(1)), F.col("__parts"))
     )
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(ORDER).alias("o"), F.col(BODY).alias("b"))))
+    if order is None:
+        collected, in_order = F.collect_list(BODY), F.sort_array(BODY)
+    else:
+        collected = F.collect_list(F.struct(F.col(ORDER).alias("o"), F.col(BODY).alias("b")))
+        in_order = F.sort_array(BODY)["b"]
     return (
         split.groupBy(*f.key_columns, part.cast("int").alias("part"))
-        .agg(ordered.alias(BODY))
-        .select(*f.key_columns, "part", finish(F.col(f"{BODY}.b")).alias(name))
+        .agg(collected.alias(BODY))
+        .select(*f.key_columns, "part", finish(in_order).alias(name))
     )
 
 
@@ -108,7 +123,12 @@ def text(frame: KFrame, max_terms: int | None = None, name: str = "annotation")
     body, order = _term_columns(f)
     glue = " + " if f.semiring.keeps_exponents else " ∨ "
     return _packed_parts(
-        f, body, order, max_terms or DEFAULT_MAX_TERMS, lambda c: F.array_join(c, glue), name
+        f,
+        body,
+        order if f.semiring.keeps_exponents else None,
+        max_terms or DEFAULT_MAX_TERMS,
+        lambda c: F.array_join(c, glue),
+        name,
     )
 
 
@@ -126,7 +146,7 @@ def packed(frame: KFrame, max_terms: int | None = None, name: str = "annotation"
     f = _symbolic(frame)
     names = _names(f)
     if not f.semiring.keeps_exponents:
-        return _packed_parts(f, names, names, max_terms or DEFAULT_MAX_TERMS, lambda c: c, name)
+        return _packed_parts(f, names, None, max_terms or DEFAULT_MAX_TERMS, lambda c: c, name)
     monomial = F.transform(
         F.array_distinct(names),
         lambda v: F.struct(v.alias("v"), F.size(F.filter(names, lambda x: x == v)).alias("e")),

@@ -31,6 +31,7 @@ class Leaf:
     column: str
     space: str
     ids: T.StructType
+    optional: bool = False  # NULL in some rows
 
     @property
     def kind(self) -> tuple[str, str]:
@@ -38,7 +39,7 @@ class Leaf:
         return self.space, self.ids.simpleString()
 
     def at(self, column: str) -> "Leaf":
-        return Leaf(column, self.space, self.ids)
+        return Leaf(column, self.space, self.ids, self.optional)
 
 
 def leaf_column(i: int) -> str:
@@ -72,14 +73,26 @@ def variable_name(leaf: Leaf) -> Column:
     fields = leaf.ids.fields
     struct = F.col(leaf.column)
     parts = [_id_text(struct[f.name], f.dataType, len(fields) > 1) for f in fields]
-    return F.when(struct.isNotNull(), F.concat_ws("_", F.lit(leaf.space), *parts))
+    name = F.concat_ws("_", F.lit(leaf.space), *parts)
+    return F.when(struct.isNotNull(), name) if leaf.optional else name
+
+
+def in_name_order(leaves: Sequence[Leaf]) -> list[Leaf]:
+    """Leaves of spaces that are apart, in the order their variables always sort."""
+    return sorted(leaves, key=lambda x: f"{x.space}_".encode())
 
 
 def names_array(leaves: Sequence[Leaf], has_names: bool, distinct: bool) -> Column:
     """All variables of the row as one sorted array, with repeats unless ``distinct``."""
     parts: list[Column] = []
     if leaves:
-        parts.append(F.array_compact(F.array(*[variable_name(x) for x in leaves])))
+        apart = not has_names and all_apart([x.space for x in leaves])
+        own = F.array(*[variable_name(x) for x in (in_name_order(leaves) if apart else leaves)])
+        if any(x.optional for x in leaves):
+            own = F.array_compact(own)
+        if apart:
+            return own
+        parts.append(own)
     if has_names:
         parts.append(F.col(NAMES))
     if not parts:
@@ -94,7 +107,7 @@ def witness_size(leaves: Sequence[Leaf], has_names: bool) -> Column:
     """Number of variables in a canonical witness."""
     size: Column = F.lit(0)
     for leaf in leaves:
-        size = size + F.col(leaf.column).isNotNull().cast("int")
+        size = size + (F.col(leaf.column).isNotNull().cast("int") if leaf.optional else F.lit(1))
     if has_names:
         size = size + F.size(NAMES)
     return size
@@ -120,22 +133,30 @@ def subsets_of_sizes(items: Column, sizes: Iterable[int]) -> Column:
     return F.filter(grown, lambda p: F.size(p).isin(wanted))
 
 
+def joined_names(leaves: Sequence[Leaf], glue: str, empty: str) -> Column:
+    """Variables of leaves that are apart as one text, without building an array."""
+    if not leaves:
+        return F.lit(empty)
+    text = F.concat_ws(glue, *[variable_name(x) for x in in_name_order(leaves)])
+    if all(x.optional for x in leaves):
+        text = F.coalesce(F.nullif(text, F.lit("")), F.lit(empty))
+    return text
+
+
 def clause_text(names: Column) -> Column:
     return F.when(F.size(names) == 0, F.lit("True")).otherwise(
         F.concat(F.lit("("), F.array_join(names, " ∧ "), F.lit(")"))
     )
 
 
-def monomial_text(names: Column, may_repeat: bool) -> Column:
+def monomial_text(names: Column) -> Column:
     """``a^2·b`` from a sorted array with repeats; ``1`` for the empty monomial."""
-    if may_repeat:
-        def power(v: Column) -> Column:
-            e = F.size(F.filter(names, lambda x: x == v))
-            return F.when(e > 1, F.concat(v, F.lit("^"), e.cast("string"))).otherwise(v)
-
-        factors = F.transform(F.array_distinct(names), power)
-    else:
-        factors = names
+
+    def power(v: Column) -> Column:
+        e = F.size(F.filter(names, lambda x: x == v))
+        return F.when(e > 1, F.concat(v, F.lit("^"), e.cast("string"))).otherwise(v)
+
+    factors = F.transform(F.array_distinct(names), power)
     return F.when(F.size(names) == 0, F.lit("1")).otherwise(F.array_join(factors, "·"))
 
 

@@ -140,7 +140,8 @@ def write_typed_csv(
     ]
     line = F.to_csv(F.struct(*[_written(c, h).alias(c) for c, h in columns]), WRITE_OPTIONS)
     if len(columns) == 1:  # an empty line would be skipped by readers
-        line = F.when(line == "", F.lit('""')).otherwise(line)
+        only = _written(*columns[0])
+        line = F.when(F.coalesce(only, F.lit("")) == "", F.lit('""')).otherwise(line)
     header = [",".join(h for _, h in columns), ",".join(c for c, _ in columns)]
 
     def with_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
