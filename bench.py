@@ -25,6 +25,7 @@ HEADLINE = [
     *[f"b{i}_{s}" for i in range(1, 6) for s in ("nat", "bx")],
     *[f"q3_{s}" for s in ("bool", "nat", "bx", "nx")],
     *[f"{q}_{s}" for q in ("q5", "q7", "q10", "q11", "q16", "q18", "q19") for s in ("bool", "bx")],
+    *[f"{q}_bx_exists" for q in ("q3", "q5", "q7", "q10", "q11", "q16", "q18", "q19")],
     "b5_nx",
     "b11_nat",
     "b11_bx",
@@ -66,7 +67,11 @@ def main() -> None:
         + [(q, "bool") for q in ("q3", "q5", "q7", "q10", "q11", "q16", "q18", "q19")]
         + [("b11", "nat")]
     ):
-        ratios[f"{name}_bx/{plain}"] = round(times[f"{name}_bx"] / times[f"{name}_{plain}"], 2)
+        for symbolic in ("bx", "bx_exists"):
+            if f"{name}_{symbolic}" in times:
+                ratios[f"{name}_{symbolic}/{plain}"] = round(
+                    times[f"{name}_{symbolic}"] / times[f"{name}_{plain}"], 2
+                )
     print(
         json.dumps(
             {

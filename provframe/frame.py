@@ -180,9 +180,9 @@ class KFrame:
         cols = list(other.key_columns)
         cols += [F.col(o.column).alias(n.column) for o, n in zip(other.leaves, leaves)]
         if other.has_names:
-            cols.append(F.col(NAMES).alias(f"{NAMES}_r"))
+            cols.append(F.col(NAMES).alias(f"{NAMES}_r" if self.has_names else NAMES))
         if other.weighted:
-            cols.append(F.col(WEIGHT).alias(f"{WEIGHT}_r"))
+            cols.append(F.col(WEIGHT).alias(f"{WEIGHT}_r" if self.weighted else WEIGHT))
         return other.df.select(*cols), leaves
 
     def _product(
@@ -195,13 +195,10 @@ class KFrame:
         # Columns that only stand side by side are left where they are: a projection
         # between two joins would keep Catalyst from reordering them.
         computed: dict[str, Column] = {}
-        if other.has_names:
-            right = F.col(f"{NAMES}_r")
-            computed[NAMES] = F.concat(F.col(NAMES), right) if self.has_names else right
-        if other.weighted:
-            weight = self.semiring.weight
-            right = F.col(f"{WEIGHT}_r")
-            computed[WEIGHT] = weight.times(F.col(WEIGHT), right) if self.weighted else right
+        if self.has_names and other.has_names:
+            computed[NAMES] = F.concat(F.col(NAMES), F.col(f"{NAMES}_r"))
+        if self.weighted and other.weighted:
+            computed[WEIGHT] = self.semiring.weight.times(F.col(WEIGHT), F.col(f"{WEIGHT}_r"))
         if computed:
             kept = [col_of(a) for a in self.attrs + other.attrs] + [F.col(x.column) for x in leaves]
             if has_names:

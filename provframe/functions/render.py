@@ -28,7 +28,7 @@ from provframe.functions.witness import (
 )
 
 DEFAULT_MAX_TERMS = 10_000
-SALTS = 64
+SALTS = 256
 TERM, ORDER, BODY = "term", "__order", "__body"
 
 

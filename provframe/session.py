@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution splits the partitions of hot join keys; "force" lets it do so even
 # where that costs another shuffle. ANSI mode turns overflow into an error.
@@ -25,6 +25,25 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+BYTES_PER_SHUFFLE_PARTITION = 64 * 1024 * 1024
+MAX_SHUFFLE_PARTITIONS = 200_000
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def fit_shuffles(spark: SparkSession, df: DataFrame) -> None:
+    """Start shuffles with enough partitions for an input of this size.
+
+    The size is what Spark already knows from listing the files. Adaptive
+    execution merges partitions that turn out small, so only too few would hurt;
+    the number is raised when a larger input is loaded and never lowered.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = min(size // BYTES_PER_SHUFFLE_PARTITION, MAX_SHUFFLE_PARTITIONS)
+    current = int(spark.conf.get(INITIAL_PARTITIONS, spark.conf.get("spark.sql.shuffle.partitions")))
+    if wanted > current:
+        spark.conf.set(INITIAL_PARTITIONS, str(wanted))
+
+
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``, which all executors share.
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from provframe.frame import KFrame
 from provframe.semirings import Semiring
+from provframe.session import fit_shuffles
 from provframe.sources.annotate import annotate
 
 # The published TPC-H column lists with their CSV type hints.
@@ -78,6 +79,7 @@ def read_table(spark: SparkSession, path: str, table: str, conform: bool = False
     """
     wanted = hints(table)
     df = spark.read.parquet(f"{path.rstrip('/')}/{table}.parquet")
+    fit_shuffles(spark, df)
     have = set(df.columns)
     return df.select(
         *[
