@@ -14,6 +14,12 @@ them one tuple or one variable has; no two clauses are ever paired just because
 they share a tuple. Only sizes that occur are looked up. Clauses too long for
 that walk down the shared prefixes of the shorter clauses instead, one variable
 per step, which visits only prefixes that exist.
+
+The clauses are made distinct by one shuffle on (tuple, clause), and every join
+below reads that shuffle. Which clauses take part is therefore decided inside
+the generators (an absent array yields no lookup) and not by filters: Catalyst
+would push a filter below the shuffle, and each branch would run the whole
+pipeline again.
 """
 
 from __future__ import annotations
@@ -31,7 +37,6 @@ from provframe.functions.witness import NAMES, subsets_of_sizes
 MAX_LOOKUPS = 256  # subsets one clause may look up before it walks prefixes
 KEY = "__k"
 SUBSET = "__s"
-SMALL = "__c"
 
 
 def absorb(frame: KFrame, max_lookups: int = MAX_LOOKUPS) -> KFrame:
@@ -42,26 +47,18 @@ def absorb(frame: KFrame, max_lookups: int = MAX_LOOKUPS) -> KFrame:
     if frame.sizes is not None and len(frame.sizes) <= 1:
         return replace(frame.merge(), absorbed=True)
 
-    f = frame.as_names().merge()
-    clauses = f.df.select(*f.key_columns, NAMES, tuple_key(f.attrs).alias(KEY))
+    f = frame.as_names()
+    clauses = f.df.select(tuple_key(f.attrs).alias(KEY), NAMES).distinct()
     sizes = sorted(f.sizes) if f.sizes is not None else _sizes_present(clauses)
-    kept = clauses
-    if sizes and sizes[0] == 0 and len(sizes) > 1:
-        # the empty clause is the constant True and absorbs everything else
-        always = clauses.where(F.size(NAMES) == 0).select(F.col(KEY).alias(SMALL))
-        kept = clauses.join(
-            always, (F.col(KEY) == F.col(SMALL)) & (F.size(NAMES) > 0), "left_anti"
-        )
-        sizes = sizes[1:]
     if len(sizes) > 1:
-        absorbed = _absorbed(kept, sizes, max_lookups)
-        kept = kept.join(
+        absorbed = _absorbed(clauses, sizes, max_lookups)
+        clauses = clauses.join(
             absorbed,
             (F.col(KEY) == F.col("__ak")) & (F.col(NAMES) == F.col("__aw")),
             "left_anti",
         )
-    out = kept.select(*f.key_columns, NAMES)
-    return replace(f, df=out, merged=True, absorbed=True, sizes=None if f.sizes is None else f.sizes)
+    attrs = [F.col(KEY)[f"_{i}"].alias(a) for i, a in enumerate(f.attrs)]
+    return replace(f, df=clauses.select(*attrs, NAMES), merged=True, absorbed=True)
 
 
 def _sizes_present(clauses: DataFrame) -> list[int]:
@@ -72,92 +69,78 @@ def _sizes_present(clauses: DataFrame) -> list[int]:
 
 def _absorbed(clauses: DataFrame, sizes: list[int], max_lookups: int) -> DataFrame:
     """(key, clause) of every clause that properly contains another one, as ``__ak, __aw``."""
-    short: dict[int, list[int]] = {}
+    short: dict[tuple[int, ...], list[int]] = {}  # sizes to look up -> sizes of the lookers
     long: list[int] = []
     for i, size in enumerate(sizes[1:], start=1):
         smaller = sizes[:i]
         if sum(comb(size, k) for k in smaller) <= max_lookups:
-            short[size] = smaller
+            short.setdefault(tuple(smaller), []).append(size)
         else:
             long.append(size)
     found: list[DataFrame] = []
     if short:
         found.append(_by_subset(clauses, short))
     if long:
-        found.append(_by_prefix(clauses, min(long), sizes))
-    hits = reduce(DataFrame.unionByName, found)
-    return hits.distinct()
+        found.append(_by_prefix(clauses, long, sizes))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _by_subset(clauses: DataFrame, short: dict[int, list[int]]) -> DataFrame:
+def _by_subset(clauses: DataFrame, short: dict[tuple[int, ...], list[int]]) -> DataFrame:
     """Look up all subsets of the sizes that occur."""
     names = F.col(NAMES)
     subsets: Column = F.lit(None).cast("array<array<string>>")
-    wanted: dict[tuple[int, ...], list[int]] = {}
-    for size, smaller in short.items():
-        wanted.setdefault(tuple(smaller), []).append(size)
-    for smaller, for_sizes in wanted.items():
-        subsets = F.when(F.size(names).isin(for_sizes), subsets_of_sizes(names, smaller)).otherwise(subsets)
-    probe = clauses.where(F.size(names).isin(list(short))).select(
-        F.col(KEY).alias("__ak"), names.alias("__aw"), F.explode(subsets).alias(SUBSET)
-    )
-    smaller_clauses = clauses.where(F.size(names) < max(short)).select(
-        F.col(KEY).alias(SMALL), names.alias("__cw")
+    for smaller, for_sizes in short.items():
+        subsets = F.when(F.size(names).isin(for_sizes), subsets_of_sizes(names, smaller)).otherwise(
+            subsets
+        )
+    probe = clauses.select(
+        F.col(KEY).alias("__ak"), names.alias("__aw"), F.explode_outer(subsets).alias(SUBSET)
     )
     return probe.join(
-        smaller_clauses,
-        (F.col("__ak") == F.col(SMALL)) & (F.col(SUBSET) == F.col("__cw")),
-        "left_semi",
+        clauses, (F.col("__ak") == F.col(KEY)) & (F.col(SUBSET) == names), "left_semi"
     ).select("__ak", "__aw")
 
 
-def _by_prefix(clauses: DataFrame, from_size: int, sizes: list[int]) -> DataFrame:
-    """Match long clauses against the prefixes of shorter ones, one variable per step."""
+def _by_prefix(clauses: DataFrame, long: list[int], sizes: list[int]) -> DataFrame:
+    """Match long clauses against the prefixes of shorter ones, one variable per step.
+
+    The empty prefix stands for the constant True, which is inside every clause.
+    """
     names = F.col(NAMES)
     longest = sizes[-2]  # the longest clause that can be inside another
+    upto = F.when(F.size(names) <= longest, F.sequence(F.lit(0), F.size(names)))
     prefixes = (
-        clauses.where(F.size(names) <= longest)
+        clauses.select(KEY, names.alias("__cw"), F.explode_outer(upto).alias("__i"))
         .select(
-            F.col(KEY).alias(SMALL),
-            names.alias("__cw"),
-            F.explode(F.sequence(F.lit(1), F.size(names))).alias("__i"),
-        )
-        .select(
-            SMALL,
+            KEY,
             F.slice("__cw", F.lit(1), F.col("__i")).alias("__p"),
             (F.col("__i") == F.size("__cw")).alias("__full"),
         )
-        .groupBy(SMALL, "__p")
+        .groupBy(KEY, "__p")
         .agg(F.max("__full").alias("__full"))
     )
-    frontier = clauses.where(F.size(names) >= from_size).select(
+    start = F.when(F.size(names).isin(long), F.array(F.array().cast("array<string>")))
+    frontier = clauses.select(
         F.col(KEY).alias("__ak"),
         names.alias("__aw"),
-        F.array().cast("array<string>").alias(SUBSET),
+        F.explode_outer(start).alias(SUBSET),
         F.lit(0).alias("__at"),
     )
     hits: list[DataFrame] = []
-    for step in range(1, longest + 1):
-        grown = frontier.select(
-            "__ak",
-            "__aw",
-            SUBSET,
-            "__at",
-            F.posexplode(F.slice("__aw", F.col("__at") + 1, F.size("__aw"))).alias("__pos", "__v"),
+    for step in range(longest + 1):
+        matched = frontier.join(
+            prefixes, (F.col("__ak") == F.col(KEY)) & (F.col(SUBSET) == F.col("__p")), "inner"
+        )
+        hits.append(
+            matched.where(F.col("__full") & (F.size("__aw") > step)).select("__ak", "__aw")
+        )
+        rest = F.slice("__aw", F.col("__at") + 1, F.size("__aw"))
+        frontier = matched.select(
+            "__ak", "__aw", SUBSET, "__at", F.posexplode(rest).alias("__pos", "__v")
         ).select(
             "__ak",
             "__aw",
             F.concat(SUBSET, F.array("__v")).alias(SUBSET),
             (F.col("__at") + F.col("__pos") + 1).alias("__at"),
         )
-        here = prefixes.where(F.size("__p") == step)
-        matched = grown.join(
-            here, (F.col("__ak") == F.col(SMALL)) & (F.col(SUBSET) == F.col("__p")), "inner"
-        )
-        hits.append(
-            matched.where(F.col("__full") & (F.size("__aw") > step)).select("__ak", "__aw")
-        )
-        frontier = matched.select("__ak", "__aw", SUBSET, "__at").where(
-            F.col("__at") < F.size("__aw")
-        )
     return reduce(DataFrame.unionByName, hits)

@@ -85,7 +85,7 @@ def from_terms(
 
     ``names`` is an ``array<string>`` of variable names: a clause, or a monomial
     in which a variable appears as often as its exponent. A tuple with several
-    terms has several rows; a tuple with none is absent.
+    terms has several rows; a tuple with none, or with a NULL term, is absent.
     """
     if not semiring.symbolic:
         raise ValueError(f"{semiring.name} has no terms; use annotate()")
@@ -97,7 +97,7 @@ def from_terms(
         if semiring.weight is None:
             raise ValueError(f"{semiring.name} clauses have no coefficients")
         cols.append(col_of(coefficient).cast(semiring.weight.dtype).alias(WEIGHT))
-    out = df.select(*cols)
+    out = df.select(*cols).where(F.col(NAMES).isNotNull())
     if weighted:
         out = out.where(~semiring.weight.is_zero(F.col(WEIGHT)))
     return KFrame(out, attrs, semiring, has_names=True, weighted=weighted, sizes=None)
