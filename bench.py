@@ -60,6 +60,12 @@ def main() -> None:
             QUERIES[name](spark, path).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)
         times[name] = round(statistics.median(runs[1:]), 3)
+    scaling = {}
+    for folder in sorted(Path(path).parent.glob("sf*"), key=lambda f: float(f.name[2:])):
+        for name in ("q3_bool", "q3_bx"):
+            start = time.perf_counter()
+            QUERIES[name](spark, str(folder)).write.format("noop").mode("overwrite").save()
+            scaling[f"{name}@{folder.name}"] = round(time.perf_counter() - start, 3)
     spark.stop()
     ratios = {}
     for name, plain in (
@@ -80,6 +86,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": times,
                 "ratios": ratios,
+                "scaling": scaling,
                 "sf": Path(path).name.removeprefix("sf"),
             }
         )

@@ -417,6 +417,15 @@ class KFrame:
 
         return total_stats(self)
 
+    def differences(self, other: "KFrame") -> DataFrame:
+        from provframe.functions.render import differences
+
+        return differences(self, other)
+
+    def equals(self, other: "KFrame") -> bool:
+        """Whether both relations give every tuple the same annotation."""
+        return self.differences(other).isEmpty()
+
     def variables(self, name: str = "variable") -> DataFrame:
         from provframe.functions.render import variables
 

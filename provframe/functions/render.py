@@ -196,6 +196,31 @@ def total_stats(frame: KFrame) -> DataFrame:
     )
 
 
+def differences(left: KFrame, right: KFrame) -> DataFrame:
+    """Terms that only one of two relations has, ``side`` 1 for the left, -1 for the right.
+
+    Both are brought into canonical form and compared term by term in one
+    grouping; no formula is put together. Scalar annotations are compared as
+    (tuple, value).
+    """
+    left._need_same_semiring(right)
+    if left.attrs != right.attrs:
+        raise ValueError(f"schemas differ: {list(left.attrs)} and {list(right.attrs)}")
+
+    def side(f: KFrame, sign: int) -> DataFrame:
+        if f.semiring.symbolic:
+            rows = terms(f)
+        elif f.semiring.weight is not None:
+            rows = f.result(TERM)
+        else:
+            rows = f.result().withColumn(TERM, F.lit(True))
+        return rows.withColumn("side", F.lit(sign))
+
+    both = side(left, 1).unionByName(side(right, -1))
+    keys = [*left.key_columns, F.col(TERM)]
+    return both.groupBy(*keys).agg(F.sum("side").cast("int").alias("side")).where("side <> 0")
+
+
 def variables(frame: KFrame, name: str = "variable") -> DataFrame:
     """The distinct variables of each tuple's annotation, one per row."""
     f = _symbolic(frame)

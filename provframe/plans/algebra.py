@@ -370,6 +370,30 @@ def _flat_packed_nx(df):
     )
 
 
+
+
+def distributed_and_not(t):
+    """R ⨝ (S ⊎ T) against (R ⨝ S) ⊎ (R ⨝ T)."""
+    r = t.nation.project("n_nationkey")
+    s = t.customer.project(F.col("c_nationkey").alias("k"))
+    u = t.supplier.where("s_acctbal > 0").project(F.col("s_nationkey").alias("k"))
+    on = [("n_nationkey", "k")]
+    return r.join(s.msum(u), on), r.join(s, on).msum(r.join(u, on)), r.join(s, on)
+
+
+register(
+    "equal_plans",
+    lambda s, d: (lambda x: x[0].differences(x[1]))(distributed_and_not(tables(s, d, "N[X]"))).agg(
+        F.count(F.lit(1)).alias("differences")
+    ),
+    "SELECT 0::BIGINT AS differences",
+)
+register(
+    "unequal_plans",  # without T, its terms are the difference
+    lambda s, d: (lambda x: x[0].differences(x[2]))(distributed_and_not(tables(s, d, "N[X]"))),
+    f"SELECT n_nationkey, s_nationkey AS k, {var('nation')} || '·' || {var('supplier')} AS term, "
+    "1::INTEGER AS side FROM nation, supplier WHERE n_nationkey = s_nationkey AND s_acctbal > 0",
+)
 register(
     "support_size",
     lambda s, d: tables(s, d, "N").lineitem.project("l_partkey").support().agg(

@@ -37,7 +37,7 @@ def fit_shuffles(spark: SparkSession, df: DataFrame) -> None:
     execution merges partitions that turn out small, so only too few would hurt;
     the number is raised when a larger input is loaded and never lowered.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
     wanted = min(size // BYTES_PER_SHUFFLE_PARTITION, MAX_SHUFFLE_PARTITIONS)
     current = int(spark.conf.get(INITIAL_PARTITIONS, spark.conf.get("spark.sql.shuffle.partitions")))
     if wanted > current:

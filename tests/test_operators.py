@@ -306,3 +306,20 @@ def test_published_sizes_of_single_operators(spark):
     wides, grid8 = frame(spark, BX, "a int", eight), rel("gr", "b int", [(i,) for i in range(8)])
     assert sizes(wides.dedup(EXISTS).cross(grid8)) == (64, 64, 64)
     assert sizes(wides.dedup(HOW).cross(grid8)) == (64, 3072, 6144)
+
+
+@pytest.mark.parametrize("semiring", SEMIRINGS, ids=IDS)
+def test_comparing_relations(spark, semiring):
+    r, s = staff(spark, semiring), places(spark, semiring)
+    t = places(spark, semiring, ("s8", "s9"))
+    assert r.cross(s.msum(t)).equals(r.cross(s).msum(r.cross(t)))
+    assert not r.equals(r.where("DeptID = 1"))
+    assert r.equals(r.msum(r)) == (semiring.name in ("B", "B[X]"))
+    gone = r.differences(r.where("DeptID = 1")).collect()
+    assert [(x["Name"], x["DeptID"], x["side"]) for x in gone] == [("Alice", 2, 1)]
+
+
+def test_alias_with_a_dot(spark):
+    r = staff(spark, NX)
+    q = r.alias("a", ".").cross(r.alias("b", ".")).where("`a.DeptID` < `b.DeptID`").project("a.Name", "b.Name")
+    assert collected(q) == {("Alice", "Alice"): "t1·t2", ("Bob", "Alice"): "t2·t3"}
