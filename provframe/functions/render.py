@@ -27,7 +27,7 @@ from provframe.functions.witness import (
     witness_size,
 )
 
-DEFAULT_MAX_TERMS = 10_000
+DEFAULT_MAX_TERMS = 100_000
 SALTS = 256
 TERM, ORDER, BODY = "term", "__order", "__body"
 
@@ -75,13 +75,16 @@ def terms(frame: KFrame) -> DataFrame:
 
 
 def _packed_parts(
-    f: KFrame, body: Column, order: Column | None, max_terms: int, finish, name: str
+    f: KFrame, body: Column, order: Column | None, max_terms: int, spread, finish, name: str
 ) -> DataFrame:
-    """Collect terms per tuple, sorted by ``order``, or by themselves when it is None."""
+    """Collect terms per tuple, sorted by ``order``, or by themselves when it is None.
+
+    ``spread`` maps a term (or its ``order``) to the number that chooses its part.
+    """
     rows = f.df.select(
         *f.key_columns, body.alias(BODY), *([] if order is None else [order.alias(ORDER)])
     )
-    rows = rows.withColumn("__h", F.xxhash64(BODY if order is None else ORDER))
+    label = F.col(BODY if order is None else ORDER)
     # Tuples above the bound: at most (all terms / max_terms) rows. Both sides are salted
     # because a single tuple may own a large share of the terms.
     large = (
@@ -94,13 +97,12 @@ def _packed_parts(
             F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__ls"),
         )
     )
-    salted = rows.withColumn("__salt", F.pmod(F.col("__h"), F.lit(SALTS)).cast("int"))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(label), F.lit(SALTS)).cast("int"))
     split = salted.join(
         large, (tuple_key(f.attrs) == F.col("__lk")) & (F.col("__salt") == F.col("__ls")), "left"
     )
     part = F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(
-        # spread by a second hash, independent of the salt
-        F.pmod(F.xxhash64(F.col("__h"), F.lit(1)), F.col("__parts"))
+        F.pmod(spread(label), F.col("__parts"))
     )
     if order is None:
         collected, in_order = F.collect_list(BODY), F.sort_array(BODY)
@@ -114,10 +116,16 @@ def _packed_parts(
     )
 
 
+def _spread_array(value: Column) -> Column:
+    return F.xxhash64(value, F.lit("part"))  # independent of the salt
+
+
 def text(frame: KFrame, max_terms: int | None = None, name: str = "annotation") -> DataFrame:
     """Canonical text per tuple: ``(a ∧ b) ∨ (c)`` or ``2·t1^2 + t1·t3``.
 
-    ``part`` is 0 for tuples up to ``max_terms`` terms.
+    ``part`` is 0 for tuples up to ``max_terms`` terms. Larger ones have several
+    parts, chosen by each term's :func:`digest_of` so that they can be repeated
+    elsewhere.
     """
     f = _symbolic(frame)
     body, order = _term_columns(f)
@@ -127,6 +135,7 @@ def text(frame: KFrame, max_terms: int | None = None, name: str = "annotation")
         body,
         order if f.semiring.keeps_exponents else None,
         max_terms or DEFAULT_MAX_TERMS,
+        digest_of,
         lambda c: F.array_join(c, glue),
         name,
     )
@@ -146,13 +155,17 @@ def packed(frame: KFrame, max_terms: int | None = None, name: str = "annotation"
     f = _symbolic(frame)
     names = _names(f)
     if not f.semiring.keeps_exponents:
-        return _packed_parts(f, names, None, max_terms or DEFAULT_MAX_TERMS, lambda c: c, name)
+        return _packed_parts(
+            f, names, None, max_terms or DEFAULT_MAX_TERMS, _spread_array, lambda c: c, name
+        )
     monomial = F.transform(
         F.array_distinct(names),
         lambda v: F.struct(v.alias("v"), F.size(F.filter(names, lambda x: x == v)).alias("e")),
     )
     body = F.struct(monomial.alias("m"), _weight(f).alias("c"))
-    return _packed_parts(f, body, monomial, max_terms or DEFAULT_MAX_TERMS, lambda c: c, name)
+    return _packed_parts(
+        f, body, monomial, max_terms or DEFAULT_MAX_TERMS, _spread_array, lambda c: c, name
+    )
 
 
 def digest_of(text_column: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from provframe.functions.render import DEFAULT_MAX_TERMS
+
 VARIABLE = {
     "nation": "'nation_' || {p}n_nationkey",
     "region": "'region_' || {p}r_regionkey",
@@ -57,13 +59,24 @@ def clauses(attrs: str, source: str, variables: Sequence[str]) -> str:
 
 
 CLAUSE_TEXT = "CASE WHEN len(cl) = 0 THEN 'True' ELSE '(' || array_to_string(cl, ' ∧ ') || ')' END"
-DIGEST = "sum(('0x' || substr(md5({t}), 1, 8))::BIGINT)::BIGINT AS digest"
+HASH = "('0x' || substr(md5({t}), 1, 8))::BIGINT"
+DIGEST = f"sum({HASH})::BIGINT AS digest"
+
+
+def _with_parts(names: str, term: str, terms_sql: str) -> str:
+    """Formulas of more than DEFAULT_MAX_TERMS terms come in parts chosen by term hash."""
+    return (
+        f"SELECT *, CASE WHEN terms_of_tuple > {DEFAULT_MAX_TERMS} THEN {HASH.format(t=term)} "
+        f"% ceil(terms_of_tuple / {DEFAULT_MAX_TERMS}.0)::BIGINT ELSE 0 END::INTEGER AS part "
+        f"FROM (SELECT *, count(*) OVER (PARTITION BY {names}) AS terms_of_tuple FROM ({terms_sql}))"
+    )
 
 
 def bx_text_of(names: str, clause_sql: str) -> str:
+    terms = f"SELECT {names}, {CLAUSE_TEXT} AS t FROM ({clause_sql})"
     return (
-        f"SELECT {names}, 0::INTEGER AS part, string_agg(t, ' ∨ ' ORDER BY t) AS annotation "
-        f"FROM (SELECT {names}, {CLAUSE_TEXT} AS t FROM ({clause_sql})) GROUP BY {names}"
+        f"SELECT {names}, part, string_agg(t, ' ∨ ' ORDER BY t) AS annotation "
+        f"FROM ({_with_parts(names, 't', terms)}) GROUP BY {names}, part"
     )
 
 
@@ -105,9 +118,10 @@ def nx_text(attrs: str, source: str, variables: Sequence[str]) -> str:
 
 
 def nx_text_of(names: str, monomial_sql: str) -> str:
+    terms = f"SELECT {names}, {MONOMIAL_TEXT} AS mt, c FROM ({monomial_sql})"
     return (
-        f"SELECT {names}, 0::INTEGER AS part, string_agg({TERM_TEXT}, ' + ' ORDER BY mt) AS annotation "
-        f"FROM (SELECT {names}, {MONOMIAL_TEXT} AS mt, c FROM ({monomial_sql})) GROUP BY {names}"
+        f"SELECT {names}, part, string_agg({TERM_TEXT}, ' + ' ORDER BY mt) AS annotation "
+        f"FROM ({_with_parts(names, 'mt', terms)}) GROUP BY {names}, part"
     )
 
 
