@@ -21,8 +21,8 @@ ORACLES: dict[str, str] = {}
 class Tables:
     """Annotated tables of one data folder, loaded when first asked for."""
 
-    def __init__(self, spark: SparkSession, path: str, semiring: Semiring, variables: bool = True):
-        self.spark, self.path, self.semiring, self.variables = spark, path, semiring, variables
+    def __init__(self, spark: SparkSession, path: str, semiring: Semiring):
+        self.spark, self.path, self.semiring = spark, path, semiring
         self._loaded: dict[str, KFrame] = {}
 
     def __getattr__(self, name: str) -> KFrame:
@@ -30,7 +30,7 @@ class Tables:
             raise AttributeError(name)
         if name not in self._loaded:
             self._loaded[name] = self._partsupp() if name == "partsupp" else load_tables(
-                self.spark, self.path, self.semiring, [name], variables=self.variables
+                self.spark, self.path, self.semiring, [name]
             )[name]
         return self._loaded[name]
 

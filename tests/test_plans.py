@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from provframe import BX, NX, B, N, annotate
+from provframe import BX, NX, N, annotate, session
 from provframe.plans import catalogue
 from provframe.plans.registry import tables
 from provframe.plans.tpch import ADAPTED
@@ -130,3 +130,18 @@ def test_hot_tuple_is_spread_over_reducers(spark, shuffled):
 
 def test_every_query_has_an_oracle():
     assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
+
+
+def test_shuffles_grow_with_the_input(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    session.fit_shuffles(spark, df)
+    assert spark.conf.get(session.INITIAL_PARTITIONS, None) is None  # small input: left alone
+    monkeypatch.setattr(session, "BYTES_PER_SHUFFLE_PARTITION", 2000)
+    try:
+        session.fit_shuffles(spark, df)
+        raised = int(spark.conf.get(session.INITIAL_PARTITIONS))
+        assert raised > 20
+        session.fit_shuffles(spark, spark.read.parquet(f"{SF_SMALL}/nation.parquet"))
+        assert int(spark.conf.get(session.INITIAL_PARTITIONS)) == raised
+    finally:
+        spark.conf.unset(session.INITIAL_PARTITIONS)
