@@ -11,6 +11,7 @@ on the capacity alone, not on the corpus. Items find their run by their rank amo
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -20,18 +21,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provframe.llm.common import materialize, strings
+from provframe.llm.common import materialize
 
 CAPACITY = 4096
 END_ID = 1
 #: Words kept with their ids in each Python worker, and the longest such word.
-CACHED_WORDS, CACHED_CHARS = 200_000, 48
+CACHED_WORDS, CACHED_CHARS = 1_000_000, 48
+#: The vocabulary's pattern always parts a letter or digit from what is neither.
+CLOSING = re.compile(r"(?<=[^\W_])(?=[.,;:!?*#$%&|<>])")
 #: Items of one length are ranked in blocks of about so many rows, at least MIN_BLOCKS blocks.
 BLOCK_ROWS, MIN_BLOCKS = 200_000, 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def byte_symbols() -> dict[int, str]:
+    """The usual byte alphabet of such vocabularies: printable bytes stand for themselves, the rest follow from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordIds:
     """Token ids of texts, as little-endian 32-bit integers.
 
@@ -45,28 +55,68 @@ class WordIds:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        self._merges = self._tokenizer.model
+        self._symbols = byte_symbols()
         self._known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def __call__(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split() takes these as white space, the vocabulary doesn't
-            return self._encode([text])[0]
-        words = text.split()
-        try:
-            return b"".join(map(self._known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self._known) > CACHED_WORDS:
-            self._known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self._known]
-        own = dict(zip(new, self._encode(new)))
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, from one call that takes them as a sequence."""
+        found = self._tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.asarray(found.ids, dtype="<u4")
+        ends = 4 * np.searchsorted(np.asarray(found.word_ids, dtype=np.int64), np.arange(len(words) + 1))
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words: runs of small Latin letters go to the merges at once, all others through normaliser and pattern."""
+        own, others = {}, []
+        for word in words:
+            if word.isalpha() and word == word.lower() and max(word) < "\u0100":
+                symbols = word if word.isascii() else word.encode().decode("latin-1").translate(self._symbols)
+                own[word] = np.array([x.id for x in self._merges.tokenize(symbols)], dtype="<u4").tobytes()
+            else:
+                others.append(word)
+        if others:
+            own.update(zip(others, self._encode(others)))
+        return own
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        """White-space words, parted before closing punctuation; texts of Latin-1 alone in small letters, as the normaliser makes them."""
+        if text.isascii() or max(text) < "\u0100":
+            text = text.lower()
+        return CLOSING.sub(" ", text).split()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        # str.split() takes \x1c to \x1f as white space, the vocabulary doesn't.
+        odd = [any(c in text for c in "\x1c\x1d\x1e\x1f") for text in texts]
+        split = [[] if o else self._split(text) for o, text in zip(odd, texts)]
         known = self._known
-        result = b"".join([known[w] if w in known else own[w] for w in words])
-        known.update((w, ids) for w, ids in own.items() if len(w) <= CACHED_CHARS)
-        return result
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        new = set().union(*split).difference(known)
+        known.update(self._learn(list(new)))
+        found = [b"".join(map(known.__getitem__, words)) for words in split]
+        for word in new:
+            if len(word) > CACHED_CHARS:
+                del known[word]
+        for k, o in enumerate(odd):
+            if o:
+                found[k] = np.asarray(self._tokenizer.encode(texts[k], add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return found
+
+
+def portions(batch: pa.RecordBatch, chars: int = 1_000_000) -> Iterator[tuple[list, list[str]]]:
+    """The ids and texts of a batch, some million characters at a time."""
+    ids, texts, size = [], [], 0
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        ids.append(doc)
+        texts.append(text.as_py() or "")
+        size += len(texts[-1])
+        if size >= chars:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    yield ids, texts
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,11 +126,12 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_
         encode, end = WordIds(vocabulary), np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
-                ids = memoryview(encode(text) + end)
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            for docs_, texts in portions(batch):
+                for doc, found in zip(docs_, encode(texts)):
+                    ids = memoryview(found + end)
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
