@@ -6,16 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provframe.llm import exact_dedup, packing
+from provframe.llm import bpe, exact_dedup, packing, simhash
 from provframe.llm.common import read_table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.coded(read_table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN, digests=True)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"), digest_all=True)
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -33,5 +43,5 @@ FROM d
 WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)
 """
 
-QUERIES = {"op2_packing": op2_packing, "op8_exact_dedup": op8_exact_dedup}
+QUERIES = {"op2_packing": op2_packing, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op8_exact_dedup": op8_exact_dedup}
 ORACLES = {"op8_exact_dedup": OP8_SQL}
