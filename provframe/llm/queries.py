@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provframe.llm import bpe, exact_dedup, packing, simhash
+from provframe.llm import bpe, exact_dedup, packing, pii, quality_classifier, quality_rules, simhash, toxicity
 from provframe.llm.common import read_table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
@@ -26,11 +30,23 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.coded(read_table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN, digests=True)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classified(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"), digest_all=True)
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classified(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
@@ -43,5 +59,5 @@ FROM d
 WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)
 """
 
-QUERIES = {"op2_packing": op2_packing, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op8_exact_dedup": op8_exact_dedup}
+QUERIES = {"op1_pii": op1_pii, "op2_packing": op2_packing, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op8_exact_dedup": op8_exact_dedup, "op9_quality_classifier": op9_quality_classifier}
 ORACLES = {"op8_exact_dedup": OP8_SQL}
