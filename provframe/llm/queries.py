@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provframe.llm import bpe, exact_dedup, packing, pii, quality_classifier, quality_rules, simhash, toxicity
+from provframe.llm import bpe, exact_dedup, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
 from provframe.llm.common import read_table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -47,6 +47,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classified(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(read_table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
@@ -59,5 +63,15 @@ FROM d
 WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)
 """
 
-QUERIES = {"op1_pii": op1_pii, "op2_packing": op2_packing, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op8_exact_dedup": op8_exact_dedup, "op9_quality_classifier": op9_quality_classifier}
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_packing": op2_packing,
+    "op3_simhash": op3_simhash,
+    "op4_bpe": op4_bpe,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_toxicity": op6_toxicity,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_substring_dedup": op10_substring_dedup,
+}
 ORACLES = {"op8_exact_dedup": OP8_SQL}
