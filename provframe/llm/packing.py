@@ -27,8 +27,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Words kept with their ids in each Python worker, and the longest such word.
 CACHED_WORDS, CACHED_CHARS = 1_000_000, 48
-#: The vocabulary's pattern always parts a letter or digit from what is neither.
-CLOSING = re.compile(r"(?<=[^\W_])(?=[.,;:!?*#$%&|<>])")
+#: The vocabulary's pattern always parts a letter or digit from what is neither. Only letters whose small form is one letter.
+CLOSING = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?*#$%&|<>])")
 #: Items of one length are ranked in blocks of about so many rows, at least MIN_BLOCKS blocks.
 BLOCK_ROWS, MIN_BLOCKS = 200_000, 64
 
