@@ -30,7 +30,7 @@ from provframe.functions.witness import (
 from provframe.semirings import Semiring
 
 RESERVED = "__"
-MAX_SIZES = 64  # stop tracking possible clause sizes beyond this many
+MAX_SIZES = 64  # beyond this many possible clause sizes a plan counts as having several
 
 
 class Dedup(Enum):
@@ -115,18 +115,20 @@ class KFrame:
 
     # ---- selection -------------------------------------------------------------
 
-    def where(self, cond: str | Column | Callable[[dict], bool]) -> "KFrame":
+    def where(self, cond: str | Column | Callable, columns: Sequence[str] | None = None, vectorized: bool = False) -> "KFrame":
         """σ: keep the rows satisfying a SQL predicate string or a Column.
 
-        A Python callable over a row dict is accepted too. It runs as an
-        Arrow-batched function and Spark cannot push it into the scan, so use it
-        only for predicates SQL cannot say.
+        For predicates SQL cannot say, ``cond`` may be a Python callable; Spark
+        cannot push it into the scan. With ``vectorized`` it gets one pandas Series
+        for each of ``columns`` and returns a Boolean Series; otherwise, as a last
+        resort, a dict for each row. Only ``columns`` (default: all attributes) travel to Python.
         """
         if isinstance(cond, (str, Column)):
             return replace(self, df=self.df.where(condition(cond)))
         from provframe.functions.predicates import python_predicate
 
-        return replace(self, df=self.df.where(python_predicate(cond, self.attrs)))
+        self._need(columns or ())
+        return replace(self, df=self.df.where(python_predicate(cond, columns or self.attrs, vectorized)))
 
     # ---- projection ------------------------------------------------------------
 
@@ -206,6 +208,8 @@ class KFrame:
             if weighted:
                 kept.append(computed.get(WEIGHT, F.col(WEIGHT)).alias(WEIGHT))
             joined = joined.select(*kept)
+        if WEIGHT in computed and not self.semiring.weight.zero_divisor_free:
+            joined = joined.where(~self.semiring.weight.is_zero(F.col(WEIGHT)))
         apart = not (self.witness_columns and other.witness_columns) or (
             not (self.has_names or other.has_names)
             and all(spaces_apart(a.space, b.space) for a in self.leaves for b in other.leaves)
@@ -232,12 +236,35 @@ class KFrame:
         right, leaves = self._right_side(other)
         return self._product(self.df.join(right), other, leaves)
 
-    def join(self, other: "KFrame", on, where: str | Column | None = None) -> "KFrame":
-        """⨝: σ over ×. ``on`` is a predicate, or pairs ``[(left, right), ...]``."""
+    def join(
+        self, other: "KFrame", on=None, where: str | Column | None = None, between: tuple | None = None
+    ) -> "KFrame":
+        """⨝: σ over ×. ``on`` is a predicate, or pairs ``[(left, right), ...]``.
+
+        ``between=(value, low, high, width)`` joins where an expression of this side lies
+        between two of the other. Rows of the other side are put into every bin of
+        ``width`` that their interval touches, rows of this side into the one of their value, so
+        two large sides meet in an equi-join on the bin. Choose ``width`` near the
+        length of most intervals; it does not change the result.
+        """
+        if between is not None:
+            return self._join_between(other, on, where, *between)
         right, leaves = self._right_side(other)
         cond = self._join_condition(other, on, where)
         return self._product(self.df.join(right, cond, "inner"), other, leaves)
 
+    def _join_between(self, other: "KFrame", on, where, value, low, high, width) -> "KFrame":
+        right, leaves = self._right_side(other)
+        bin_of = lambda x: F.floor(x.cast("double") / F.lit(float(width))).cast("bigint")
+        value, low, high = (condition(x) for x in (value, low, high))
+        bins = F.when(low <= high, F.sequence(bin_of(low), bin_of(high)))
+        binned = right.withColumn("__bin", F.explode(bins))
+        cond = (F.col("__own_bin") == F.col("__bin")) & value.between(low, high)
+        if on is not None or where is not None:
+            cond = cond & self._join_condition(other, on, where)
+        joined = self.df.withColumn("__own_bin", bin_of(value)).join(binned, cond).drop("__bin", "__own_bin")
+        return self._product(joined, other, leaves)
+
     def _pairs(self, other: "KFrame", on) -> list[tuple[str, str]]:
         if isinstance(on, Mapping):
             on = list(on.items())
@@ -304,7 +331,10 @@ class KFrame:
         if weight is None:
             return replace(f, df=f.df.select(*keys).distinct(), merged=True)
         total = weight.total(F.col(WEIGHT) if f.weighted else None).alias(WEIGHT)
-        return replace(f, df=f.df.groupBy(*keys).agg(total), weighted=True, merged=True)
+        df = f.df.groupBy(*keys).agg(total)
+        if not weight.zero_sum_free:
+            df = df.where(~weight.is_zero(F.col(WEIGHT)))
+        return replace(f, df=df, weighted=True, merged=True)
 
     def canonical(self) -> "KFrame":
         """Give equal witnesses equal columns."""
@@ -353,6 +383,9 @@ class KFrame:
         """δ: reduce every non-zero annotation to one, or keep it."""
         if strategy is Dedup.HOW_PROVENANCE:
             return self
+        weight = self.semiring.weight
+        if weight is not None and not weight.zero_sum_free and not self.is_merged:
+            return self.merge().dedup(strategy)  # a tuple whose annotations add up to zero is absent
         df = self.df.select(*self.key_columns)
         if self.semiring.symbolic or not self.is_merged:
             df = df.distinct()
@@ -385,23 +418,24 @@ class KFrame:
         m = self.merge()
         if m.semiring.weight is None:
             return m.df
+        check_results(self.attrs, name)
         weight = F.col(WEIGHT) if m.weighted else m.semiring.weight.lit_one()
         return m.df.select(*m.key_columns, weight.alias(name))
 
-    def terms(self) -> DataFrame:
+    def terms(self, name: str = "term") -> DataFrame:
         from provframe.functions.render import terms
 
-        return terms(self)
+        return terms(self, name)
 
-    def text(self, max_terms: int | None = None, name: str = "annotation") -> DataFrame:
+    def text(self, max_terms: int | None = None, name: str = "annotation", part: str = "part") -> DataFrame:
         from provframe.functions.render import text
 
-        return text(self, max_terms, name)
+        return text(self, max_terms, name, part)
 
-    def packed(self, max_terms: int | None = None, name: str = "annotation") -> DataFrame:
+    def packed(self, max_terms: int | None = None, name: str = "annotation", part: str = "part") -> DataFrame:
         from provframe.functions.render import packed
 
-        return packed(self, max_terms, name)
+        return packed(self, max_terms, name, part)
 
     def annotation_of(self, **row) -> DataFrame:
         """Packed annotation of one tuple; an empty result means zero."""
@@ -438,15 +472,15 @@ class KFrame:
 
     # ---- further operators -----------------------------------------------------
 
-    def anti(self, other: "KFrame", on=None, where=None) -> "KFrame":
+    def anti(self, other: "KFrame", on=None, where=None, between=None) -> "KFrame":
         from provframe.operators.extra import anti
 
-        return anti(self, other, on, where)
+        return anti(self, other, on, where, between)
 
-    def left_outer(self, other: "KFrame", on=None, where=None) -> "KFrame":
+    def left_outer(self, other: "KFrame", on=None, where=None, between=None) -> "KFrame":
         from provframe.operators.extra import left_outer
 
-        return left_outer(self, other, on, where)
+        return left_outer(self, other, on, where, between)
 
     def intersect(self, other: "KFrame") -> "KFrame":
         from provframe.operators.extra import intersect
@@ -469,6 +503,13 @@ class KFrame:
         return group(self, by, aggregates)
 
 
+def check_results(attrs: Sequence[str], *names: str) -> None:
+    """Refuse result columns that are called like an attribute."""
+    clash = {a.lower() for a in attrs} & {n.lower() for n in names}
+    if clash:
+        raise ValueError(f"result column(s) {sorted(clash)} are attributes too; rename them or choose another result name")
+
+
 def _check_names(names: Sequence[str]) -> None:
     lowered = [n.lower() for n in names]
     if len(set(lowered)) != len(lowered):

@@ -1,20 +1,22 @@
 """Results: terms, text, packed annotations, statistics and variables.
 
 A tuple's whole formula in one cell is only a presentation form, and one tuple
-may own a large share of all terms. ``text`` and ``packed`` therefore cut the
-formula of a tuple with more than ``max_terms`` terms into parts of about that
-size; the annotation is the sum of its parts and nothing is left out. ``stats``
-and ``terms`` have no large cells at all.
+may own a large share of all terms. ``text`` and ``packed`` therefore number the
+terms of every tuple in canonical order and put ``max_terms`` of them in a part:
+read in order, the parts are the canonical formula, whatever its size. Terms are
+numbered within stretches of the order that begin alike, and the stretches of a
+tuple are added up, so no tuple has to be sorted in one task. ``stats`` and
+``terms`` have no large cells at all.
 """
 
 from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provframe.frame import KFrame, tuple_key
+from provframe.frame import KFrame, check_results, tuple_key
 from provframe.functions.witness import (
     NAMES,
     WEIGHT,
@@ -28,8 +30,9 @@ from provframe.functions.witness import (
 )
 
 DEFAULT_MAX_TERMS = 100_000
-SALTS = 256
-TERM, ORDER, BODY = "term", "__order", "__body"
+#: Characters by which the order of a tuple's terms is cut into stretches.
+STRETCH_CHARS = 40
+TERM, KEY, ORDER, STRETCH, BODY = "term", "__key", "__order", "__stretch", "__body"
 
 
 def _symbolic(frame: KFrame) -> KFrame:
@@ -68,80 +71,85 @@ def _term_columns(f: KFrame) -> tuple[Column, Column]:
     return term_text(monomial, _weight(f)), monomial
 
 
-def terms(frame: KFrame) -> DataFrame:
+def terms(frame: KFrame, name: str = TERM) -> DataFrame:
     """One row per clause or monomial of every tuple: the annotation in full, unpacked."""
     f = _symbolic(frame)
-    return f.df.select(*f.key_columns, _term_columns(f)[0].alias(TERM))
+    check_results(f.attrs, name)
+    return f.df.select(*f.key_columns, _term_columns(f)[0].alias(name))
 
 
-def _packed_parts(
-    f: KFrame, body: Column, order: Column | None, max_terms: int, spread, finish, name: str
-) -> DataFrame:
-    """Collect terms per tuple, sorted by ``order``, or by themselves when it is None.
+def _unmerged(frame: KFrame) -> KFrame:
+    """Canonical witnesses, added up already only where absorption needs it or the frame is so anyway."""
+    if not frame.semiring.symbolic:
+        raise ValueError(f"{frame.semiring.name} has scalar annotations; use result()")
+    may_absorb = frame.semiring.weight is None and not frame.absorbed and (frame.sizes is None or len(frame.sizes) > 1)
+    return frame.absorb() if may_absorb else frame.canonical()
+
 
-    ``spread`` maps a term (or its ``order``) to the number that chooses its part.
+def _parts(f: KFrame, order: Column, stretch: Column, body, max_terms: int, finish, name: str, part: str) -> DataFrame:
+    """Terms by tuple and part, in order. ``body`` makes the term of its order key and weight.
+
+    Rows move twice: dealt by (tuple, stretch), which also serves adding up equal
+    terms and numbering them, and by (tuple, part). What is added up over a
+    tuple in between is a count for each stretch, read from the same shuffle.
     """
+    check_results(f.attrs, part, name)
+    weight = f.semiring.weight
     rows = f.df.select(
-        *f.key_columns, body.alias(BODY), *([] if order is None else [order.alias(ORDER)])
-    )
-    label = F.col(BODY if order is None else ORDER)
-    # Tuples above the bound: at most (all terms / max_terms) rows. Both sides are salted
-    # because a single tuple may own a large share of the terms.
-    large = (
-        rows.groupBy(tuple_key(f.attrs).alias("__lk"))
-        .agg(F.count(F.lit(1)).alias("__terms"))
-        .where(F.col("__terms") > max_terms)
-        .select(
-            "__lk",
-            F.ceil(F.col("__terms") / F.lit(max_terms)).alias("__parts"),
-            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__ls"),
-        )
-    )
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(label), F.lit(SALTS)).cast("int"))
-    split = salted.join(
-        large, (tuple_key(f.attrs) == F.col("__lk")) & (F.col("__salt") == F.col("__ls")), "left"
+        tuple_key(f.attrs).alias(KEY), stretch.alias(STRETCH), order.alias(ORDER), *([F.col(WEIGHT)] if f.weighted else [])
+    ).repartition(KEY, STRETCH)
+    weighted = f.weighted
+    if not f.is_merged:
+        if weight is None:
+            rows = rows.distinct()
+        else:
+            total = weight.total(F.col(WEIGHT) if weighted else None).alias(WEIGHT)
+            rows, weighted = rows.groupBy(KEY, STRETCH, ORDER).agg(total), True
+    within = Window.partitionBy(KEY, STRETCH).orderBy(ORDER)
+    sizes = rows.groupBy(KEY, STRETCH).agg(F.count(F.lit(1)).alias("__size"))
+    earlier = Window.partitionBy(KEY).orderBy(STRETCH).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(
+        F.col(KEY).alias("__k"), F.col(STRETCH).alias("__s"), F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before")
     )
-    part = F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(
-        F.pmod(spread(label), F.col("__parts"))
+    numbered = rows.withColumn("__n_in", F.row_number().over(within)).join(
+        before, (F.col(KEY) == F.col("__k")) & (F.col(STRETCH) == F.col("__s"))
     )
-    if order is None:
-        collected, in_order = F.collect_list(BODY), F.sort_array(BODY)
-    else:
-        collected = F.collect_list(F.struct(F.col(ORDER).alias("o"), F.col(BODY).alias("b")))
-        in_order = F.sort_array(BODY)["b"]
+    number = F.floor((F.col("__before") + F.col("__n_in") - 1) / F.lit(max_terms)).cast("int")
+    term = body(F.col(ORDER), F.col(WEIGHT) if weighted else (weight.lit_one() if weight else None))
+    collected = F.collect_list(F.struct(F.col(ORDER).alias("o"), term.alias("b")))  # max_terms at most
     return (
-        split.groupBy(*f.key_columns, part.cast("int").alias("part"))
+        numbered.groupBy(KEY, number.alias("__part"))
         .agg(collected.alias(BODY))
-        .select(*f.key_columns, "part", finish(in_order).alias(name))
+        .select(
+            *[F.col(KEY)[f"_{i}"].alias(a) for i, a in enumerate(f.attrs)],
+            F.col("__part").alias(part),
+            finish(F.sort_array(BODY)["b"]).alias(name),
+        )
     )
 
 
-def _spread_array(value: Column) -> Column:
-    return F.xxhash64(value, F.lit("part"))  # independent of the salt
-
-
-def text(frame: KFrame, max_terms: int | None = None, name: str = "annotation") -> DataFrame:
+def text(frame: KFrame, max_terms: int | None = None, name: str = "annotation", part: str = "part") -> DataFrame:
     """Canonical text per tuple: ``(a ∧ b) ∨ (c)`` or ``2·t1^2 + t1·t3``.
 
-    ``part`` is 0 for tuples up to ``max_terms`` terms. Larger ones have several
-    parts, chosen by each term's :func:`digest_of` so that they can be repeated
-    elsewhere.
+    Term number k of a tuple, from 0 in canonical order, is in part ``k / max_terms``;
+    the parts of a tuple, joined in order, are its canonical text.
     """
-    f = _symbolic(frame)
-    body, order = _term_columns(f)
-    glue = " + " if f.semiring.keeps_exponents else " ∨ "
-    return _packed_parts(
+    f = _unmerged(frame)
+    exponents = f.semiring.keeps_exponents
+    order = _term_columns(f)[1]
+    return _parts(
         f,
-        body,
-        order if f.semiring.keeps_exponents else None,
+        order,
+        F.substring(order, 1, STRETCH_CHARS),
+        (lambda o, w: term_text(o, w)) if exponents else (lambda o, w: o),
         max_terms or DEFAULT_MAX_TERMS,
-        digest_of,
-        lambda c: F.array_join(c, glue),
+        lambda c: F.array_join(c, " + " if exponents else " ∨ "),
         name,
+        part,
     )
 
 
-def packed(frame: KFrame, max_terms: int | None = None, name: str = "annotation") -> DataFrame:
+def packed(frame: KFrame, max_terms: int | None = None, name: str = "annotation", part: str = "part") -> DataFrame:
     """Tuples with their annotation as one value.
 
     B: true; N: the multiplicity; B[X]: array of clauses, each an array of
@@ -150,22 +158,21 @@ def packed(frame: KFrame, max_terms: int | None = None, name: str = "annotation"
     """
     if not frame.semiring.symbolic:
         if frame.semiring.weight is None:
+            check_results(frame.attrs, name)
             return frame.merge().df.withColumn(name, F.lit(True))
         return frame.result(name)
-    f = _symbolic(frame)
+    f = _unmerged(frame)
     names = _names(f)
+    first = F.struct(*[F.coalesce(F.get(names, F.lit(k)), F.lit("")).alias(f"v{k}") for k in range(2)])
     if not f.semiring.keeps_exponents:
-        return _packed_parts(
-            f, names, None, max_terms or DEFAULT_MAX_TERMS, _spread_array, lambda c: c, name
-        )
+        return _parts(f, names, first, lambda o, w: o, max_terms or DEFAULT_MAX_TERMS, lambda c: c, name, part)
     monomial = F.transform(
         F.array_distinct(names),
         lambda v: F.struct(v.alias("v"), F.size(F.filter(names, lambda x: x == v)).alias("e")),
     )
-    body = F.struct(monomial.alias("m"), _weight(f).alias("c"))
-    return _packed_parts(
-        f, body, monomial, max_terms or DEFAULT_MAX_TERMS, _spread_array, lambda c: c, name
-    )
+    first = F.coalesce(F.get(names, F.lit(0)), F.lit(""))
+    body = lambda o, w: F.struct(o.alias("m"), w.alias("c"))
+    return _parts(f, monomial, first, body, max_terms or DEFAULT_MAX_TERMS, lambda c: c, name, part)
 
 
 def digest_of(text_column: Column) -> Column:
@@ -196,6 +203,7 @@ def stats(frame: KFrame, digest: bool = False) -> DataFrame:
         ]
     if digest:
         aggs.append(F.sum(digest_of(_term_columns(f)[0])).cast("bigint").alias("digest"))
+    check_results(f.attrs, *(("terms", "coefficients", "degree") if f.semiring.keeps_exponents else ("clauses", "literals")), *(["digest"] if digest else []))
     return f.df.groupBy(*f.key_columns).agg(*aggs)
 
 
@@ -229,6 +237,7 @@ def differences(left: KFrame, right: KFrame) -> DataFrame:
             rows = f.result().withColumn(TERM, F.lit(True))
         return rows.withColumn("side", F.lit(sign))
 
+    check_results(left.attrs, TERM, "side")
     both = side(left, 1).unionByName(side(right, -1))
     keys = [*left.key_columns, F.col(TERM)]
     return both.groupBy(*keys).agg(F.sum("side").cast("int").alias("side")).where("side <> 0")
@@ -237,6 +246,7 @@ def differences(left: KFrame, right: KFrame) -> DataFrame:
 def variables(frame: KFrame, name: str = "variable") -> DataFrame:
     """The distinct variables of each tuple's annotation, one per row."""
     f = _symbolic(frame)
+    check_results(f.attrs, name)
     return f.df.select(*f.key_columns, F.explode(_names(f)).alias(name)).distinct()
 
 

@@ -7,39 +7,30 @@ Most plans need none of it. When all clauses of a frame have one size - true for
 any join of differently named tables - distinct clauses cannot contain each
 other, and the plan alone proves it.
 
-Otherwise each longer clause looks its own subsets up among the clauses of the
-tuple. A lookup is an equi-join on (tuple, whole subset), whose right side holds
-each key once, so the work is linear in the number of clauses however many of
-them one tuple or one variable has; no two clauses are ever paired just because
-they share a tuple. Only sizes that occur are looked up. Clauses too long for
-that walk down the shared prefixes of the shorter clauses instead, one variable
-per step, which visits only prefixes that exist.
-
-The clauses are made distinct by one shuffle on (tuple, clause), and every join
-below reads that shuffle. Which clauses take part is therefore decided inside
-the generators (an absent array yields no lookup) and not by filters: Catalyst
-would push a filter below the shuffle, and each branch would run the whole
-pipeline again.
+Otherwise a clause that is inside another one shares all its variables with it, so the two
+meet at any variable of the shorter clause. Each clause waits at its own rarest variable, the one that
+fewest clauses of its tuple have; every clause asks at each of its variables,
+and the containment test decides. That is one equi-join on (tuple, variable) for clauses of any
+length, and a variable that all clauses share is never a meeting place unless a clause has no other.
+
+The clauses are made distinct by one shuffle on (tuple, clause), and every branch
+below reads that shuffle: conditions are put where Catalyst does not push them below it.
 """
 
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import reduce
-from math import comb
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provframe.frame import KFrame, tuple_key
-from provframe.functions.witness import NAMES, subsets_of_sizes
+from provframe.functions.witness import NAMES
 
-MAX_LOOKUPS = 256  # subsets one clause may look up before it walks prefixes
-KEY = "__k"
-SUBSET = "__s"
+KEY, VARIABLE = "__k", "__v"
 
 
-def absorb(frame: KFrame, max_lookups: int = MAX_LOOKUPS) -> KFrame:
+def absorb(frame: KFrame) -> KFrame:
     if frame.semiring.weight is not None or not frame.semiring.symbolic:
         return frame.merge()
     if frame.absorbed and frame.is_merged:
@@ -49,98 +40,29 @@ def absorb(frame: KFrame, max_lookups: int = MAX_LOOKUPS) -> KFrame:
 
     f = frame.as_names()
     clauses = f.df.select(tuple_key(f.attrs).alias(KEY), NAMES).distinct()
-    sizes = sorted(f.sizes) if f.sizes is not None else _sizes_present(clauses)
-    if len(sizes) > 1:
-        absorbed = _absorbed(clauses, sizes, max_lookups)
-        clauses = clauses.join(
-            absorbed,
-            (F.col(KEY) == F.col("__ak")) & (F.col(NAMES) == F.col("__aw")),
-            "left_anti",
-        )
-    attrs = [F.col(KEY)[f"_{i}"].alias(a) for i, a in enumerate(f.attrs)]
-    return replace(f, df=clauses.select(*attrs, NAMES), merged=True, absorbed=True)
-
-
-def _sizes_present(clauses: DataFrame) -> list[int]:
-    """Clause sizes that occur: one small row each, only for frames whose plan does not tell."""
-    rows = clauses.select(F.size(NAMES).alias("size")).distinct().collect()
-    return sorted(r["size"] for r in rows)
-
-
-def _absorbed(clauses: DataFrame, sizes: list[int], max_lookups: int) -> DataFrame:
-    """(key, clause) of every clause that properly contains another one, as ``__ak, __aw``."""
-    short: dict[tuple[int, ...], list[int]] = {}  # sizes to look up -> sizes of the lookers
-    long: list[int] = []
-    for i, size in enumerate(sizes[1:], start=1):
-        smaller = sizes[:i]
-        if sum(comb(size, k) for k in smaller) <= max_lookups:
-            short.setdefault(tuple(smaller), []).append(size)
-        else:
-            long.append(size)
-    found: list[DataFrame] = []
-    if short:
-        found.append(_by_subset(clauses, short))
-    if long:
-        found.append(_by_prefix(clauses, long, sizes))
-    return reduce(DataFrame.unionByName, found).distinct()
-
-
-def _by_subset(clauses: DataFrame, short: dict[tuple[int, ...], list[int]]) -> DataFrame:
-    """Look up all subsets of the sizes that occur."""
-    names = F.col(NAMES)
-    subsets: Column = F.lit(None).cast("array<array<string>>")
-    for smaller, for_sizes in short.items():
-        subsets = F.when(F.size(names).isin(for_sizes), subsets_of_sizes(names, smaller)).otherwise(
-            subsets
-        )
-    probe = clauses.select(
-        F.col(KEY).alias("__ak"), names.alias("__aw"), F.explode_outer(subsets).alias(SUBSET)
+    left = clauses.join(
+        _absorbed(clauses), (F.col(KEY) == F.col("__ak")) & (F.col(NAMES) == F.col("__aw")), "left_anti"
     )
-    return probe.join(
-        clauses, (F.col("__ak") == F.col(KEY)) & (F.col(SUBSET) == names), "left_semi"
-    ).select("__ak", "__aw")
+    attrs = [F.col(KEY)[f"_{i}"].alias(a) for i, a in enumerate(f.attrs)]
+    return replace(f, df=left.select(*attrs, NAMES), merged=True, absorbed=True)
 
 
-def _by_prefix(clauses: DataFrame, long: list[int], sizes: list[int]) -> DataFrame:
-    """Match long clauses against the prefixes of shorter ones, one variable per step.
+def _absorbed(clauses: DataFrame) -> DataFrame:
+    """(key, clause) of every clause that properly contains another one, as ``__ak, __aw``.
 
-    The empty prefix stands for the constant True, which is inside every clause.
+    The empty clause, the constant True, is inside every other: it asks and waits under a
+    variable of its own that each clause also asks at.
     """
-    names = F.col(NAMES)
-    longest = sizes[-2]  # the longest clause that can be inside another
-    upto = F.when(F.size(names) <= longest, F.sequence(F.lit(0), F.size(names)))
-    prefixes = (
-        clauses.select(KEY, names.alias("__cw"), F.explode_outer(upto).alias("__i"))
-        .select(
-            KEY,
-            F.slice("__cw", F.lit(1), F.col("__i")).alias("__p"),
-            (F.col("__i") == F.size("__cw")).alias("__full"),
-        )
-        .groupBy(KEY, "__p")
-        .agg(F.max("__full").alias("__full"))
-    )
-    start = F.when(F.size(names).isin(long), F.array(F.array().cast("array<string>")))
-    frontier = clauses.select(
-        F.col(KEY).alias("__ak"),
-        names.alias("__aw"),
-        F.explode_outer(start).alias(SUBSET),
-        F.lit(0).alias("__at"),
+    everywhere = F.array(F.lit("").cast("string"))  # no variable has an empty name
+    asked = clauses.select(KEY, NAMES, F.explode(F.concat(NAMES, everywhere)).alias(VARIABLE))
+    common = asked.groupBy(KEY, VARIABLE).agg(F.count(F.lit(1)).alias("__n"))
+    counted = asked.join(common, [KEY, VARIABLE])
+    own = F.when((F.col(VARIABLE) != "") | (F.size(NAMES) == 0), F.struct("__n", VARIABLE))
+    waiting = (
+        counted.groupBy(KEY, NAMES)
+        .agg(F.min(own)[VARIABLE].alias("__at"))
+        .select(F.col(KEY).alias("__wk"), F.col(NAMES).alias("__short"), "__at")
     )
-    hits: list[DataFrame] = []
-    for step in range(longest + 1):
-        matched = frontier.join(
-            prefixes, (F.col("__ak") == F.col(KEY)) & (F.col(SUBSET) == F.col("__p")), "inner"
-        )
-        hits.append(
-            matched.where(F.col("__full") & (F.size("__aw") > step)).select("__ak", "__aw")
-        )
-        rest = F.slice("__aw", F.col("__at") + 1, F.size("__aw"))
-        frontier = matched.select(
-            "__ak", "__aw", SUBSET, "__at", F.posexplode(rest).alias("__pos", "__v")
-        ).select(
-            "__ak",
-            "__aw",
-            F.concat(SUBSET, F.array("__v")).alias(SUBSET),
-            (F.col("__at") + F.col("__pos") + 1).alias("__at"),
-        )
-    return reduce(DataFrame.unionByName, hits)
+    met = asked.join(waiting, (F.col(KEY) == F.col("__wk")) & (F.col(VARIABLE) == F.col("__at")))
+    contained = (F.size("__short") < F.size(NAMES)) & (F.size(F.array_except("__short", NAMES)) == 0)
+    return met.where(contained).select(F.col(KEY).alias("__ak"), F.col(NAMES).alias("__aw")).distinct()

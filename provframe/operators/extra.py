@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from provframe.frame import KFrame, _check_names, col_of, tuple_key
+from provframe.frame import KFrame, _check_names, col_of, condition, tuple_key
 from provframe.functions.witness import WEIGHT
 
 
@@ -25,45 +27,53 @@ def _is_pairs(on) -> bool:
     return on is not None and not isinstance(on, (str, Column))
 
 
-def anti(left: KFrame, right: KFrame, on=None, where=None) -> KFrame:
+def _of_right_alone(right: KFrame, where) -> bool:
+    """Whether a condition needs no column of the left side."""
+    try:
+        right.df.select(*right.key_columns).where(condition(where))
+    except AnalysisException:
+        return False
+    return True
+
+
+def anti(left: KFrame, right: KFrame, on=None, where=None, between=None) -> KFrame:
     """⊳: tuples of ``left`` without a match in the support of ``right``.
 
-    Either way the anti join runs against a side that holds each key once, so
-    neither a hot key nor a missing one hurts: Spark can only split the left
-    side of an anti join, and without an equality it would broadcast the right
-    side whatever its size. Key pairs are made distinct first; for any other
-    condition the matching left tuples are found by an inner join.
+    With key pairs, the right side is reduced to its distinct keys; a condition
+    on the right side alone is applied before that. A condition on both sides stays in
+    the anti join, which ends at a row's first match and never makes pairs. Other predicates
+    have no key to deal rows by: their matches are found by a join and removed by key.
     """
     left._need_same_semiring(right)
     clash = set(left.attrs) & set(right.attrs)
     if clash:
         raise ValueError(f"attribute(s) {sorted(clash)} on both sides; alias one side first")
-    if _is_pairs(on) and where is None:
+    if _is_pairs(on) and between is None:
         pairs = left._pairs(right, on)
-        keys = right.df.select(*[col_of(b) for _, b in pairs]).distinct()
-        df = left.df.join(keys, left._join_condition(right, on), "left_anti")
-        return replace(left, df=df)
-    cond = left._join_condition(right, on, where)
-    matched = (
-        left.df.select(*left.key_columns)
-        .join(right.df.select(*right.key_columns), cond, "inner")
-        .select(tuple_key(left.attrs).alias("__mk"))
-        .distinct()
-    )
+        equal = left._join_condition(right, on)
+        if where is not None and not _of_right_alone(right, where):
+            others = right.df.select(*right.key_columns).distinct()
+            return replace(left, df=left.df.join(others, equal & condition(where), "left_anti"))
+        rows = right.df if where is None else right.df.where(condition(where))
+        keys = rows.select(*[col_of(b) for _, b in pairs]).distinct()
+        return replace(left, df=left.df.join(keys, equal, "left_anti"))
+    plain = replace(left, df=left.df.select(*left.key_columns), leaves=(), has_names=False, weighted=False)
+    other = replace(right, df=right.df.select(*right.key_columns), leaves=(), has_names=False, weighted=False)
+    matched = plain.join(other, on, where, between).df.select(tuple_key(left.attrs).alias("__mk")).distinct()
     df = left.df.join(matched, tuple_key(left.attrs) == F.col("__mk"), "left_anti")
     return replace(left, df=df)
 
 
-def left_outer(left: KFrame, right: KFrame, on=None, where=None) -> KFrame:
+def left_outer(left: KFrame, right: KFrame, on=None, where=None, between=None) -> KFrame:
     """⟕: inner join ∪ anti join padded with NULL.
 
     Spark's own outer join cannot split a hot key of the optional side; the
     inner join can, and the anti join meets each key once.
     """
-    inner = left.join(right, on, where)
+    inner = left.join(right, on, where, between)
     types = {f.name: f.dataType for f in right.df.schema.fields}
     padding = [F.lit(None).cast(types[a]).alias(a) for a in right.attrs]
-    return inner.msum(anti(left, right, on, where).project(*left.attrs, *padding))
+    return inner.msum(anti(left, right, on, where, between).project(*left.attrs, *padding))
 
 
 def _need_same_schema(left: KFrame, right: KFrame) -> None:
@@ -190,18 +200,30 @@ def group(frame: KFrame, by: Sequence[str], aggregates: Mapping[str, tuple[str,
 
 
 def _aggregate_columns(frame: KFrame, aggregates: Mapping[str, tuple[str, str]]) -> list[Column]:
+    """COUNT is a bigint, SUM has the type Spark's sum of the attribute has, AVG is a double.
+
+    The types don't depend on whether equal rows were added up before; AVG divides the exact sum.
+    """
     out = []
     n = F.col(WEIGHT) if frame.weighted else None
     for name, (fn, attr) in aggregates.items():
         fn = fn.upper()
         x = F.lit(1) if attr == "*" else col_of(attr)
         if fn in ("MIN", "MAX"):
-            value = F.min(x) if fn == "MIN" else F.max(x)
-        elif n is None:
-            value = {"COUNT": F.count, "SUM": F.sum, "AVG": F.avg}[fn](x)
+            out.append((F.min(x) if fn == "MIN" else F.max(x)).alias(name))
+            continue
+        count = F.count(x) if n is None else F.coalesce(F.sum(F.when(x.isNotNull(), n)), F.lit(0)).cast("bigint")
+        if fn == "COUNT":
+            out.append(count.alias(name))
+            continue
+        dtype = frame.df.schema[attr].dataType
+        if isinstance(dtype, T.DecimalType):
+            kind = f"decimal({min(38, dtype.precision + 10)},{dtype.scale})"
+        else:
+            kind = "bigint" if isinstance(dtype, T.IntegralType) else "double"
+        total = F.sum(x) if n is None else F.sum(x * n)
+        if fn == "SUM":
+            out.append(total.cast(kind).alias(name))
         else:
-            count = F.coalesce(F.sum(F.when(x.isNotNull(), n)), F.lit(0)).cast(frame.semiring.weight.dtype)
-            total = F.sum(x * n)
-            value = {"COUNT": count, "SUM": total, "AVG": total / count}[fn]
-        out.append(value.alias(name))
+            out.append(F.when(count > 0, total.cast("double") / count.cast("double")).alias(name))
     return out

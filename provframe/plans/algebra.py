@@ -9,11 +9,11 @@ from provframe.frame import Dedup
 from provframe.plans import oracle
 from provframe.plans.oracle import var
 from provframe.plans.registry import as_bigint, counted, register, tables
-from provframe.semirings import N
+from provframe.semirings import N, Semiring, Weight
 from provframe.session import scratch_folder, tune
 from provframe.sources.annotate import annotate
 from provframe.sources.tables import load_tables, read_table
-from provframe.sources.typed_csv import read_typed_csv, write_tables
+from provframe.sources.typed_csv import load_csv, write_tables
 
 HOW, EXISTS = Dedup.HOW_PROVENANCE, Dedup.EXISTENCE
 
@@ -85,14 +85,26 @@ in_all(
     [var("lineitem"), var("part")], stats=True,
 )
 in_all(
-    "join_range",  # no equality at all: the small side is broadcast by its measured size
-    lambda t: t.supplier.cross(t.nation)
-    .where("s_acctbal BETWEEN n_nationkey * 300 AND n_nationkey * 300 + 1000")
-    .project("n_name"),
+    "join_range",  # no equality at all: an equi-join on bins of the value
+    lambda t: t.supplier.join(
+        t.nation, between=("s_acctbal", "n_nationkey * 300", "n_nationkey * 300 + 1000", 1000)
+    ).project("n_name"),
     "n_name",
     "supplier, nation WHERE s_acctbal BETWEEN n_nationkey * 300 AND n_nationkey * 300 + 1000",
     [var("supplier"), var("nation")],
 )
+in_all(
+    "join_range_days",  # both sides grow: line items shipped within two days of a large order
+    lambda t: t.lineitem.where("l_linenumber = 7").join(
+        t.orders.where("o_totalprice > 450000"),
+        between=("unix_date(DATE(l_shipdate))", "unix_date(DATE(o_orderdate))", "unix_date(DATE(o_orderdate)) + 2", 3),
+        where="l_extendedprice > o_totalprice / 5",
+    ).project("l_returnflag", "o_orderpriority"),
+    "l_returnflag, o_orderpriority",
+    "lineitem, orders WHERE l_linenumber = 7 AND o_totalprice > 450000 AND l_extendedprice > o_totalprice / 5 "
+    "AND l_shipdate::DATE BETWEEN o_orderdate::DATE AND o_orderdate::DATE + 2",
+    [var("lineitem"), var("orders")], stats=True,
+)
 in_all(
     "cross_chain",  # neighbours in the chain are not connected; Catalyst reorders
     lambda t: t.supplier.cross(t.customer)
@@ -341,37 +353,51 @@ register(
 )
 register(
     "packed_bx",
-    lambda s, d: _flat_packed(customer_orders(tables(s, d, "B[X]")).packed()),
-    f"SELECT c_nationkey, count(*)::BIGINT AS clauses, sum(len(cl))::BIGINT AS literals FROM "
-    f"({oracle.clauses('c_nationkey', _CO, [var('customer'), var('orders')])}) GROUP BY c_nationkey",
+    lambda s, d: _flat(customer_orders(tables(s, d, "B[X]")).packed(max_terms=1000), "array_join(t, '+')"),
+    "SELECT c_nationkey, ((row_number() OVER w - 1) // 1000)::INTEGER AS part, ((row_number() OVER w - 1) % 1000)::INTEGER AS at, "
+    "array_to_string(cl, '+') AS term FROM "
+    f"({oracle.clauses('c_nationkey', _CO, [var('customer'), var('orders')])}) WINDOW w AS (PARTITION BY c_nationkey ORDER BY cl)",
 )
 register(
     "packed_nx",
-    lambda s, d: _flat_packed_nx(doubled(tables(s, d, "N[X]")).packed()),
-    "SELECT o_orderpriority, count(*)::BIGINT AS terms, (2 * count(*))::BIGINT AS coefficients "
-    "FROM orders GROUP BY o_orderpriority",
+    lambda s, d: _flat(
+        doubled(tables(s, d, "N[X]")).packed(max_terms=1000),
+        "concat_ws('+', transform(t.m, x -> concat(x.v, '^', x.e)), CAST(t.c AS STRING))",
+    ),
+    "SELECT o_orderpriority, ((row_number() OVER w - 1) // 1000)::INTEGER AS part, ((row_number() OVER w - 1) % 1000)::INTEGER AS at, "
+    f"v || '^1+2' AS term FROM (SELECT o_orderpriority, {var('orders')} AS v FROM orders) "
+    "WINDOW w AS (PARTITION BY o_orderpriority ORDER BY v)",
 )
 
 
-def _flat_packed(df):
-    """Read the arrays of a packed result back."""
-    return (
-        df.withColumn("cl", F.explode("annotation"))
-        .groupBy("c_nationkey")
-        .agg(F.count(F.lit(1)).alias("clauses"), F.sum(F.size("cl")).cast("bigint").alias("literals"))
+def _flat(df, term):
+    """The terms of packed parts, with their place."""
+    return df.select(df.columns[0], "part", F.posexplode("annotation").alias("at", "t")).select(
+        df.columns[0], "part", "at", F.expr(term).alias("term")
     )
 
 
-def _flat_packed_nx(df):
-    return (
-        df.withColumn("t", F.explode("annotation"))
-        .groupBy("o_orderpriority")
-        .agg(F.count(F.lit(1)).alias("terms"), F.sum("t.c").cast("bigint").alias("coefficients"))
+for _sr, _tag, _build, _glue in (
+    ("B[X]", "bx", oracle.clauses, " ∨ "),
+    ("N[X]", "nx", oracle.monomials, " + "),
+):
+    # Several parts per tuple; the other side builds the whole sorted text and cuts it.
+    register(
+        f"text_parts_{_tag}",
+        lambda s, d, sr=_sr: customer_orders(tables(s, d, sr)).text(max_terms=70),
+        "SELECT c_nationkey, k::INTEGER AS part, array_to_string(whole[k * 70 + 1 : k * 70 + 70], "
+        f"'{_glue}') AS annotation FROM (SELECT c_nationkey, list(t ORDER BY o) AS whole FROM (SELECT c_nationkey, "
+        + (
+            f"{oracle.CLAUSE_TEXT} AS t, {oracle.CLAUSE_TEXT} AS o FROM ("
+            if _tag == "bx"
+            else f"{oracle.TERM_TEXT} AS t, mt AS o FROM (SELECT c_nationkey, c, {oracle.MONOMIAL_TEXT} AS mt FROM ("
+        )
+        + _build("c_nationkey", _CO, [var("customer"), var("orders")])
+        + (")" if _tag == "bx" else "))")
+        + ") GROUP BY c_nationkey), generate_series(0, 100000) g(k) WHERE k * 70 < len(whole)",
     )
 
 
-
-
 def distributed_and_not(t):
     """R ⨝ (S ⊎ T) against (R ⨝ S) ⊎ (R ⨝ T)."""
     r = t.nation.project("n_nationkey")
@@ -383,10 +409,13 @@ def distributed_and_not(t):
 
 register(
     "equal_plans",
-    lambda s, d: (lambda x: x[0].differences(x[1]))(distributed_and_not(tables(s, d, "N[X]"))).agg(
-        F.count(F.lit(1)).alias("differences")
-    ),
-    "SELECT 0::BIGINT AS differences",
+    lambda s, d: (
+        lambda x: x[0].differences(x[1]).agg(F.count(F.lit(1)).alias("differences")).crossJoin(
+            x[0].terms().agg(F.count(F.lit(1)).alias("terms"))  # one row each
+        )
+    )(distributed_and_not(tables(s, d, "N[X]"))),
+    "SELECT 0::BIGINT AS differences, (SELECT count(*) FROM nation, customer WHERE c_nationkey = n_nationkey) + "
+    "(SELECT count(*) FROM nation, supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 0) AS terms",
 )
 register(
     "unequal_plans",  # without T, its terms are the difference
@@ -469,31 +498,139 @@ register(
 
 
 def csv_roundtrip(spark, path):
-    """Write orders, line items and customers as typed CSV, read them back, join."""
+    """Write orders, line items and customers as typed CSV, load them, join. Nothing is cast or rounded.
+
+    A number column has four decimals, and one of the regions is called like the column.
+    """
     tune(spark)
     folder = scratch_folder(spark, "typed-csv")
-    write_tables(
-        spark, {t: read_table(spark, path, t) for t in ("customer", "orders", "lineitem")}, folder
-    )
-    frames = {}
-    for t in ("customer", "orders", "lineitem"):
-        frames[t] = annotate(read_typed_csv(spark, f"{folder}/{t}.csv"), N)
+    rows = {t: read_table(spark, path, t) for t in ("customer", "orders", "lineitem", "region")}
+    rows["lineitem"] = rows["lineitem"].withColumn("l_tax", F.expr("CAST(l_tax AS DECIMAL(15,4)) + l_linenumber * 0.0001BD"))
+    rows["region"] = rows["region"].select("r_name").union(rows["region"].selectExpr("'r_name'"))
+    write_tables(spark, rows, folder)
+    frames = load_csv(spark, folder, N, rows)
     return counted(
         frames["customer"]
         .join(frames["orders"], [("c_custkey", "o_custkey")])
         .join(frames["lineitem"], [("o_orderkey", "l_orderkey")])
-        .where("l_shipdate > o_orderdate AND l_discount >= 0.05")
-        .project("c_mktsegment", "l_returnflag", "o_orderdate", "l_discount")
+        .where("l_shipdate > o_orderdate AND l_tax >= 0.0503")
+        .project("c_mktsegment", "l_returnflag", F.col("o_orderdate").cast("string").alias("day"), F.col("l_tax").cast("decimal(15,4)").alias("tax"))
+        .msum(
+            frames["region"].project(
+                F.col("r_name").alias("c_mktsegment"), F.lit("-").alias("l_returnflag"), F.lit("-").alias("day"), F.lit(0).cast("decimal(15,4)").alias("tax")
+            )
+        )
     )
 
 
 register(
     "load_csv_roundtrip",
     csv_roundtrip,
-    oracle.nat(
-        "c_mktsegment, l_returnflag, o_orderdate::DATE AS o_orderdate, l_discount::DECIMAL(15,2) AS l_discount",
-        "customer, orders, lineitem WHERE c_custkey = o_custkey AND o_orderkey = l_orderkey "
-        "AND l_shipdate::DATE > o_orderdate::DATE AND l_discount::DECIMAL(15,2) >= 0.05",
+    "SELECT c_mktsegment, l_returnflag, day, tax, count(*)::BIGINT AS n FROM ("
+    "SELECT c_mktsegment, l_returnflag, strftime(o_orderdate, '%Y-%m-%d') AS day, l_tax::DECIMAL(15,4) + l_linenumber * 0.0001 AS tax "
+    "FROM customer, orders, lineitem WHERE c_custkey = o_custkey AND o_orderkey = l_orderkey "
+    "AND l_shipdate > o_orderdate AND l_tax::DECIMAL(15,4) + l_linenumber * 0.0001 >= 0.0503 "
+    "UNION ALL SELECT r_name, '-', '-', 0 FROM region UNION ALL SELECT 'r_name', '-', '-', 0) GROUP BY ALL",
+)
+
+# ---- further scalar semirings: zeros that arise from sums and products ---------------------------
+
+MOD4 = Semiring(
+    "Z/4",
+    weight=Weight(
+        dtype="bigint",
+        zero=0,
+        one=1,
+        plus=lambda c: F.sum(c) % 4,
+        times=lambda a, b: (a * b) % 4,
+        total_of_ones=lambda: F.count(F.lit(1)) % 4,
+    ),
+)
+MIN_PLUS = Semiring(
+    "min-plus",
+    weight=Weight(
+        dtype="double",
+        zero=float("inf"),
+        one=0.0,
+        plus=F.min,
+        times=lambda a, b: a + b,
+        total_of_ones=lambda: F.lit(0.0),
+        zero_sum_free=True,
+        zero_divisor_free=True,
+    ),
+)
+
+
+def weighted(spark, path, semiring, table, keep, weight):
+    return annotate(tune(spark).read.parquet(f"{path}/{table}.parquet").withColumn("w", F.expr(weight)), semiring, weight="w", keep=keep)
+
+
+def mod4_orders(s, d):
+    return weighted(s, d, MOD4, "orders", ["o_custkey", "o_orderstatus"], "o_orderkey % 4")
+
+
+def mod4_customers(s, d):
+    return weighted(s, d, MOD4, "customer", ["c_custkey", "c_nationkey"], "c_custkey % 4")
+
+
+_MOD4 = "(sum(w) % 4)::BIGINT AS n"
+register(
+    "mod4_sum",
+    lambda s, d: mod4_orders(s, d).project("o_custkey").result(),
+    f"SELECT o_custkey, {_MOD4} FROM (SELECT o_custkey, o_orderkey % 4 AS w FROM orders) GROUP BY ALL HAVING sum(w) % 4 <> 0",
+)
+register(
+    "mod4_product",  # 2 x 2 is zero: the pair is absent
+    lambda s, d: mod4_orders(s, d).join(mod4_customers(s, d), [("o_custkey", "c_custkey")]).project("c_nationkey", "o_orderstatus").result(),
+    f"SELECT c_nationkey, o_orderstatus, {_MOD4} FROM (SELECT c_nationkey, o_orderstatus, (o_orderkey % 4) * (c_custkey % 4) % 4 AS w "
+    "FROM orders, customer WHERE o_custkey = c_custkey) GROUP BY ALL HAVING sum(w) % 4 <> 0",
+)
+register(
+    "mod4_msum",
+    lambda s, d: mod4_orders(s, d).project("o_custkey").msum(mod4_customers(s, d).project(F.col("c_custkey").alias("o_custkey"))).result(),
+    f"SELECT o_custkey, {_MOD4} FROM (SELECT o_custkey, o_orderkey % 4 AS w FROM orders UNION ALL SELECT c_custkey, c_custkey % 4 FROM customer) "
+    "GROUP BY ALL HAVING sum(w) % 4 <> 0",
+)
+register(
+    "mod4_exists",  # deduplication and support see no tuple whose annotations add up to zero
+    lambda s, d: mod4_orders(s, d).project("o_custkey").dedup(EXISTS).result(),
+    "SELECT o_custkey, 1::BIGINT AS n FROM (SELECT o_custkey, o_orderkey % 4 AS w FROM orders) GROUP BY o_custkey HAVING sum(w) % 4 <> 0",
+)
+register(
+    "min_plus",  # cheapest way to each nation: an order and its customer
+    lambda s, d: weighted(s, d, MIN_PLUS, "orders", ["o_custkey"], "CAST(o_orderkey AS DOUBLE)")
+    .join(weighted(s, d, MIN_PLUS, "customer", ["c_custkey", "c_nationkey"], "CAST(c_custkey AS DOUBLE)"), [("o_custkey", "c_custkey")])
+    .project("c_nationkey")
+    .result(),
+    "SELECT c_nationkey, min(o_orderkey + c_custkey)::DOUBLE AS n FROM orders, customer WHERE o_custkey = c_custkey GROUP BY c_nationkey",
+)
+
+
+def deep_and_shallow(t):
+    """Clauses of one to four variables on one tuple: rows of chains of different depth."""
+    chain = t.lineitem.join(t.orders, [("l_orderkey", "o_orderkey")])
+    with_customer = chain.join(t.customer, [("o_custkey", "c_custkey")])
+    with_nation = with_customer.join(t.nation, [("c_nationkey", "n_nationkey")])
+    key = "o_orderpriority"
+    return (
+        with_nation.project(key)
+        .msum(with_customer.where("c_mktsegment = 'BUILDING'").project(key))
+        .msum(chain.where("l_returnflag = 'R'").project(key))
+        .msum(t.orders.where("o_orderstatus = 'F'").project(key))
+    )
+
+
+register(
+    "absorb_depths",
+    lambda s, d: deep_and_shallow(tables(s, d, "B[X]")).stats(digest=True),
+    oracle.bx_stats_of(
+        "o_orderpriority",
+        f"SELECT o_orderpriority, [{var('orders')}] AS cl FROM orders WHERE o_orderstatus = 'F' UNION "
+        f"SELECT o_orderpriority, list_sort(CASE WHEN l_returnflag = 'R' THEN [{var('lineitem')}, {var('orders')}] "
+        f"WHEN c_mktsegment = 'BUILDING' THEN [{var('lineitem')}, {var('orders')}, {var('customer')}] "
+        f"ELSE [{var('lineitem')}, {var('orders')}, {var('customer')}, {var('nation')}] END) AS cl "
+        "FROM lineitem, orders, customer, nation WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey "
+        "AND c_nationkey = n_nationkey AND o_orderstatus <> 'F'",
     ),
 )
 
@@ -529,9 +666,10 @@ in_all(
     [var("customer")],
 )
 in_all(
-    "x_anti_theta",  # no equality: found by inner join, removed by equi anti join
-    lambda t: t.supplier.anti(t.nation, "s_acctbal BETWEEN n_nationkey * 300 AND n_nationkey * 300 + 100")
-    .project("s_nationkey"),
+    "x_anti_theta",  # no equality: found by bins, removed by equi anti join
+    lambda t: t.supplier.anti(
+        t.nation, between=("s_acctbal", "n_nationkey * 300", "n_nationkey * 300 + 100", 100)
+    ).project("s_nationkey"),
     "s_nationkey",
     "supplier WHERE NOT EXISTS (SELECT 1 FROM nation "
     "WHERE s_acctbal BETWEEN n_nationkey * 300 AND n_nationkey * 300 + 100)",
@@ -572,7 +710,7 @@ register(
 
 def outer_theta(t):
     return t.supplier.left_outer(
-        t.region, "s_acctbal BETWEEN r_regionkey * 2000 AND r_regionkey * 2000 + 500"
+        t.region, between=("s_acctbal", "r_regionkey * 2000", "r_regionkey * 2000 + 500", 500)
     ).project("s_nationkey", "r_name")
 
 
@@ -633,48 +771,47 @@ def grouped(t):
 
 _MEASURES = (
     "count(*)::BIGINT AS items, sum(l_linenumber)::BIGINT AS total, "
-    "round(avg(l_linenumber), 6) AS mean, min(l_partkey) AS low, max(l_partkey) AS high"
+    "sum(l_linenumber)::DOUBLE / count(l_linenumber) AS mean, min(l_partkey) AS low, max(l_partkey) AS high"
 )
 
 
-def _rounded(df):
-    return as_bigint(df, "items", "total").withColumn("mean", F.round(F.col("mean").cast("double"), 6))
-
-
 register(
     "x_group_nat",
-    lambda s, d: _rounded(grouped(tables(s, d, "N")).support()),
+    lambda s, d: grouped(tables(s, d, "N")).support(),
     f"SELECT l_returnflag, l_linestatus, {_MEASURES} FROM lineitem GROUP BY l_returnflag, l_linestatus",
 )
 register(
     "x_group_nat_weighted",  # the same totals from rows added up beforehand
-    lambda s, d: _rounded(
-        tables(s, d, "N")
-        .lineitem.project("l_returnflag", "l_linestatus", "l_partkey", "l_linenumber")
-        .merge()
-        .group(
-            ["l_returnflag", "l_linestatus"],
-            items=("COUNT", "*"),
-            total=("SUM", "l_linenumber"),
-            mean=("AVG", "l_linenumber"),
-            low=("MIN", "l_partkey"),
-            high=("MAX", "l_partkey"),
-        )
-        .support()
-    ),
+    lambda s, d: tables(s, d, "N")
+    .lineitem.project("l_returnflag", "l_linestatus", "l_partkey", "l_linenumber")
+    .merge()
+    .group(
+        ["l_returnflag", "l_linestatus"],
+        items=("COUNT", "*"),
+        total=("SUM", "l_linenumber"),
+        mean=("AVG", "l_linenumber"),
+        low=("MIN", "l_partkey"),
+        high=("MAX", "l_partkey"),
+    )
+    .support(),
     f"SELECT l_returnflag, l_linestatus, {_MEASURES} FROM lineitem GROUP BY l_returnflag, l_linestatus",
 )
 _SUPPORT = "(SELECT DISTINCT l_returnflag, l_linestatus, l_partkey, l_linenumber FROM lineitem)"
 register(
     "x_group_bool",
-    lambda s, d: _rounded(grouped(tables(s, d, "B")).support()),
+    lambda s, d: grouped(tables(s, d, "B")).support(),
     f"SELECT l_returnflag, l_linestatus, {_MEASURES} FROM {_SUPPORT} GROUP BY l_returnflag, l_linestatus",
 )
 
 
 def grouped_customers(t):
     return t.customer.project("c_mktsegment", "c_nationkey").group(
-        ["c_mktsegment"], nations=("COUNT", "c_nationkey"), top=("MAX", "c_nationkey")
+        ["c_mktsegment"],
+        nations=("COUNT", "c_nationkey"),
+        top=("MAX", "c_nationkey"),
+        sum_keys=("SUM", "c_nationkey"),
+        mean_key=("AVG", "c_nationkey"),
+        rows=("COUNT", "*"),
     )
 
 
@@ -682,7 +819,9 @@ register(
     "x_group_bx",
     lambda s, d: grouped_customers(tables(s, d, "B[X]")).stats(digest=True),
     "SELECT * FROM (SELECT c_mktsegment, count(DISTINCT c_nationkey)::BIGINT AS nations, "
-    "max(c_nationkey) AS top FROM customer GROUP BY c_mktsegment) JOIN ("
+    "max(c_nationkey) AS top, sum(DISTINCT c_nationkey)::BIGINT AS sum_keys, "
+    "sum(DISTINCT c_nationkey)::DOUBLE / count(DISTINCT c_nationkey) AS mean_key, "
+    "count(DISTINCT c_nationkey)::BIGINT AS rows FROM customer GROUP BY c_mktsegment) JOIN ("
     + oracle.bx_stats("c_mktsegment", "customer", [var("customer")])
     + ") USING (c_mktsegment)",
 )

@@ -19,7 +19,7 @@ VARIABLE = {
     "part": "'part_' || {p}p_partkey",
     "partsupp": "'partsupp_' || {p}ps_partkey || '_' || {p}ps_suppkey",
     "lineitem": "'lineitem_' || {p}l_orderkey || '_' || {p}l_linenumber || '_' || {p}l_partkey"
-    " || '_' || {p}l_suppkey",
+    " || '_' || {p}l_suppkey || '_' || {p}l_shipdate",
 }
 
 PARTSUPP = (
@@ -63,12 +63,11 @@ HASH = "('0x' || substr(md5({t}), 1, 8))::BIGINT"
 DIGEST = f"sum({HASH})::BIGINT AS digest"
 
 
-def _with_parts(names: str, term: str, terms_sql: str) -> str:
-    """Formulas of more than DEFAULT_MAX_TERMS terms come in parts chosen by term hash."""
+def _with_parts(names: str, term: str, terms_sql: str, max_terms: int = DEFAULT_MAX_TERMS) -> str:
+    """Part k of a tuple holds its terms number k * max_terms and following, in order."""
     return (
-        f"SELECT *, CASE WHEN terms_of_tuple > {DEFAULT_MAX_TERMS} THEN {HASH.format(t=term)} "
-        f"% ceil(terms_of_tuple / {DEFAULT_MAX_TERMS}.0)::BIGINT ELSE 0 END::INTEGER AS part "
-        f"FROM (SELECT *, count(*) OVER (PARTITION BY {names}) AS terms_of_tuple FROM ({terms_sql}))"
+        f"SELECT *, ((row_number() OVER (PARTITION BY {names} ORDER BY {term}) - 1) // {max_terms})::INTEGER AS part "
+        f"FROM ({terms_sql})"
     )
 
 

@@ -151,7 +151,7 @@ def sel_python(spark, path):
     """A predicate written in Python."""
     part = tables(spark, path, "N").part
     return counted(
-        part.where(lambda row: row["p_name"][::-1] > row["p_name"]).project("p_type")
+        part.where(lambda name: name.str[::-1] > name, columns=["p_name"], vectorized=True).project("p_type")
     )
 
 

@@ -42,6 +42,11 @@ class Weight:
     ``plus`` maps a column to the aggregate that adds it up over a group,
     ``times`` multiplies two columns, ``total_of_ones`` is the aggregate for
     rows whose weight column was left out because each weighs ``one``.
+
+    ``zero_sum_free``: nothing but zeros adds up to zero. ``zero_divisor_free``:
+    nothing but zero multiplies to zero. Without these promises sums and products
+    are filtered, as a tuple annotated with zero is absent. ``valid`` says of a
+    given number whether it is an element at all.
     """
 
     dtype: str
@@ -50,6 +55,15 @@ class Weight:
     plus: Callable[[Column], Column]
     times: Callable[[Column, Column], Column]
     total_of_ones: Callable[[], Column] | None = None
+    zero_sum_free: bool = False
+    zero_divisor_free: bool = False
+    valid: Callable[[Column], Column] | None = None
+
+    def given(self, value: Column) -> Column:
+        """A number from outside as an element; raises for NULL and for what isn't one."""
+        fine = value.isNotNull() if self.valid is None else value.isNotNull() & self.valid(value)
+        refuse = F.raise_error(F.concat(F.lit("not an annotation: "), F.coalesce(value.cast("string"), F.lit("NULL"))))
+        return F.when(fine, value.cast(self.dtype)).otherwise(refuse.cast(self.dtype))
 
     def lit_one(self) -> Column:
         return F.lit(self.one).cast(self.dtype)
@@ -76,6 +90,9 @@ COUNTS = Weight(
     plus=lambda c: _exact(F.sum(c).cast(COUNT_TYPE), "sum of multiplicities"),
     times=lambda a, b: _exact((a * b).cast(COUNT_TYPE), "product of multiplicities"),
     total_of_ones=lambda: F.count(F.lit(1)).cast(COUNT_TYPE),
+    zero_sum_free=True,
+    zero_divisor_free=True,
+    valid=lambda c: (c >= 0) & (c == F.floor(c)),
 )
 
 

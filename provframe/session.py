@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Adaptive execution splits the partitions of hot join keys; "force" lets it do so even
 # where that costs another shuffle. ANSI mode turns overflow into an error.
@@ -18,41 +19,35 @@ SETTINGS = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings to a session."""
-    for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
-    return spark
-
-
 BYTES_PER_SHUFFLE_PARTITION = 64 * 1024 * 1024
-MAX_SHUFFLE_PARTITIONS = 200_000
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
-def fit_shuffles(spark: SparkSession, df: DataFrame) -> None:
-    """Start shuffles with enough partitions for an input of this size.
+def tune(spark: SparkSession, shuffled_bytes: int | None = None) -> SparkSession:
+    """Apply the runtime SQL settings to a session.
 
-    The size is what Spark already knows from listing the files. Adaptive
-    execution merges partitions that turn out small, so only too few would hurt;
-    the number is raised when a larger input is loaded and never lowered.
+    ``shuffled_bytes``, the most that one shuffle of the workload moves (joined rows count, not files),
+    sets the number of partitions shuffles start with, so that each has about 64 MB; adaptive
+    execution merges what turns out small. Without it the session's own setting holds.
     """
-    size = int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
-    wanted = min(size // BYTES_PER_SHUFFLE_PARTITION, MAX_SHUFFLE_PARTITIONS)
-    current = int(spark.conf.get(INITIAL_PARTITIONS, spark.conf.get("spark.sql.shuffle.partitions")))
-    if wanted > current:
-        spark.conf.set(INITIAL_PARTITIONS, str(wanted))
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    if shuffled_bytes is not None:
+        spark.conf.set(INITIAL_PARTITIONS, str(max(1, -(-shuffled_bytes // BYTES_PER_SHUFFLE_PARTITION))))
+    return spark
 
 
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``, which all executors share.
 
-    Only a session without that setting (local tests) falls back to a temporary
-    folder of this machine.
+    Only a local session without that setting (tests) falls back to a temporary folder
+    of this machine; on a cluster its absence is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="provframe-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

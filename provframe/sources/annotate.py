@@ -32,7 +32,8 @@ def annotate(
     frame is merged.
 
     ``weight`` gives scalar annotations (or coefficients), ``present`` Boolean
-    ones; zeros are dropped here and cannot arise later. ``unique=True`` promises
+    ones. Zeros are dropped; NULL weights, and in N negative or fractional ones,
+    raise. ``unique=True`` promises
     that no two rows share their ids, which lets plans skip merging. ``keep``
     limits the attributes to these columns.
     """
@@ -60,7 +61,7 @@ def annotate(
     if weighted:
         if semiring.weight is None:
             raise ValueError(f"{semiring.name} annotations have no weight")
-        w = (col_of(weight) if isinstance(weight, str) else weight).cast(semiring.weight.dtype)
+        w = semiring.weight.given(col_of(weight) if isinstance(weight, str) else weight)
         cols.append(w.alias(WEIGHT))
     out = df.select(*cols)
     if weighted:
@@ -96,7 +97,7 @@ def from_terms(
     if weighted:
         if semiring.weight is None:
             raise ValueError(f"{semiring.name} clauses have no coefficients")
-        cols.append(col_of(coefficient).cast(semiring.weight.dtype).alias(WEIGHT))
+        cols.append(semiring.weight.given(col_of(coefficient)).alias(WEIGHT))
     out = df.select(*cols).where(F.col(NAMES).isNotNull())
     if weighted:
         out = out.where(~semiring.weight.is_zero(F.col(WEIGHT)))

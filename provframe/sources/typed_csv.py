@@ -19,6 +19,9 @@ from provframe.semirings import Semiring
 from provframe.sources.annotate import annotate
 from provframe.sources.tables import ROW_IDS, SCHEMAS, SPARK_TYPES, capped, hints
 
+#: Type of numbers with the hint DECIMAL unless another is given.
+DECIMAL = "decimal(38,18)"
+
 READ_OPTIONS = {
     "header": "true",
     "enforceSchema": "true",
@@ -52,25 +55,47 @@ def read_typed_csv(
     path: str,
     columns: Sequence[tuple[str, str]] | None = None,
     multiline: bool = False,
+    decimal: str = DECIMAL,
 ) -> DataFrame:
     """Typed DataFrame of one table; ``columns`` defaults to what the header says.
 
-    Spark drops the first line of every part; the names line is filtered out.
-    ``multiline`` allows line breaks inside quotes, at the price of reading each
+    Spark drops the first line of every file, the second is dropped by its place, so a data
+    row that spells like it stays. Numbers with the hint DECIMAL become ``decimal``; digits
+    that don't fit raise. ``multiline`` allows line breaks inside quotes, at the price of reading each
     part in one task.
     """
     columns = list(columns) if columns is not None else read_header(spark, path)
-    raw = T.StructType([T.StructField(c, T.StringType()) for c, _ in columns])
+    names = [c for c, _ in columns]
+    raw = T.StructType([T.StructField(c, T.StringType()) for c in names])
     df = spark.read.options(**READ_OPTIONS, multiLine=str(multiline).lower()).schema(raw).csv(path)
-    is_names_line = F.lit(True)
-    for c, _ in columns:
-        is_names_line = is_names_line & F.col(c).eqNullSafe(F.lit(c))
-    return df.where(~is_names_line).select(*[_typed(c, h).alias(c) for c, h in columns])
-
-
-def _typed(name: str, hint: str) -> Column:
-    text = F.nullif(F.col(name), F.lit(""))
-    return text if hint == "STR" else text.cast(SPARK_TYPES[hint])
+    at = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")]
+    df = df.select(*[F.col(f"`{c}`") for c in names], *at).mapInArrow(_without_names_line, raw)
+    return df.select(*[_typed(c, h, decimal).alias(c) for c, h in columns])
+
+
+def _without_names_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drops the first row of each file's first block. Rows of a block come together and in order."""
+    last = None
+    for batch in batches:
+        files, starts = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+        keep = []
+        for place in zip(files.to_pylist(), starts.to_pylist()):
+            keep.append(place == last or place[1] != 0)
+            last = place
+        rows = pa.RecordBatch.from_arrays(batch.columns[:-2], names=batch.schema.names[:-2])
+        yield rows.filter(pa.array(keep, pa.bool_()))
+
+
+def _typed(name: str, hint: str, decimal: str) -> Column:
+    text = F.nullif(F.col(f"`{name}`"), F.lit(""))
+    if hint == "STR":
+        return text
+    if hint != "DECIMAL":
+        return text.cast(SPARK_TYPES[hint])
+    scale = T.StructType.fromDDL(f"x {decimal}")["x"].dataType.scale
+    lost = text.rlike(rf"\.[0-9]{{{scale}}}[0-9]*[1-9]")
+    refuse = F.raise_error(F.concat(F.lit(f"more digits than {decimal} holds: "), text)).cast(decimal)
+    return F.when(lost, refuse).otherwise(text.cast(decimal))
 
 
 def load_csv(
@@ -81,25 +106,30 @@ def load_csv(
     limit: int | None = None,
     ids: Mapping[str, Sequence[str]] | None = None,
     multiline: bool = False,
+    decimal: str = DECIMAL,
 ) -> dict[str, KFrame]:
-    """Annotated relations of the tables found in ``csv_dir``.
+    """Annotated relations of the tables found in ``csv_dir``, with the columns their headers name.
 
-    Missing tables are skipped; none at all is a ``FileNotFoundError``. Rows get
-    the constant one unless ``ids`` names the columns of a table's variables.
+    Missing tables are skipped; none at all is a ``FileNotFoundError``; unknown tables and
+    columns raise. Rows get the constant one unless ``ids`` names the columns of a table's variables.
     """
     names = [t.lower() for t in tables] if tables is not None else list(SCHEMAS)
     out: dict[str, KFrame] = {}
     for t in names:
-        if t not in SCHEMAS:
-            continue
+        known = dict(hints(t))
+        path = f"{csv_dir.rstrip('/')}/{t}.csv"
         try:
-            df = read_typed_csv(spark, f"{csv_dir.rstrip('/')}/{t}.csv", hints(t), multiline)
+            columns = read_header(spark, path)
+            unknown = [c for c, _ in columns if c not in known]
+            if unknown:
+                raise ValueError(f"{path} has unknown column(s) {unknown}")
+            df = read_typed_csv(spark, path, columns, multiline, decimal)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             continue
         row_ids = (ids or {}).get(t)
-        df = capped(df, limit, row_ids or ROW_IDS[t])
+        df = capped(df, limit, [c for c in row_ids or ROW_IDS[t] if c in df.columns])
         out[t] = annotate(df, semiring, t if row_ids else None, row_ids)
     if not out:
         raise FileNotFoundError(f"no known table as CSV in {csv_dir}")
@@ -116,14 +146,14 @@ def _hint_of(dtype: T.DataType) -> str:
     return "STR"
 
 
-def _written(name: str, hint: str) -> Column:
+def _written(name: str, hint: str, dtype: T.DataType | None = None) -> Column:
     c = F.col("`" + name + "`")
     if hint == "INT":
         return c.cast("bigint").cast("string")
-    if hint == "DATE":
-        return c.cast("date").cast("string")
-    if hint == "DECIMAL":
-        return c.cast(SPARK_TYPES["DECIMAL"]).cast("string")
+    if hint == "DATE" and isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        # A column of days has no place for a time of day.
+        refuse = F.raise_error(F.concat(F.lit("time of day in a DATE column: "), c.cast("string")))
+        return F.when(c.isNull() | (c == F.date_trunc("day", c).cast(dtype)), c.cast("date").cast("string")).otherwise(refuse)
     return c.cast("string")
 
 
@@ -138,9 +168,10 @@ def write_typed_csv(
     columns = list(columns) if columns is not None else [
         (f.name, _hint_of(f.dataType)) for f in df.schema.fields
     ]
-    line = F.to_csv(F.struct(*[_written(c, h).alias(c) for c, h in columns]), WRITE_OPTIONS)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    line = F.to_csv(F.struct(*[_written(c, h, types[c]).alias(c) for c, h in columns]), WRITE_OPTIONS)
     if len(columns) == 1:  # an empty line would be skipped by readers
-        only = _written(*columns[0])
+        only = _written(*columns[0], types[columns[0][0]])
         line = F.when(F.coalesce(only, F.lit("")) == "", F.lit('""')).otherwise(line)
     header = [",".join(h for _, h in columns), ",".join(c for c, _ in columns)]
 

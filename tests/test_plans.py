@@ -132,16 +132,32 @@ def test_every_query_has_an_oracle():
     assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
 
 
-def test_shuffles_grow_with_the_input(spark, monkeypatch):
-    df = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
-    session.fit_shuffles(spark, df)
-    assert spark.conf.get(session.INITIAL_PARTITIONS, None) is None  # small input: left alone
-    monkeypatch.setattr(session, "BYTES_PER_SHUFFLE_PARTITION", 2000)
+def test_shuffles_fit_what_they_move(spark):
     try:
-        session.fit_shuffles(spark, df)
-        raised = int(spark.conf.get(session.INITIAL_PARTITIONS))
-        assert raised > 20
-        session.fit_shuffles(spark, spark.read.parquet(f"{SF_SMALL}/nation.parquet"))
-        assert int(spark.conf.get(session.INITIAL_PARTITIONS)) == raised
+        session.tune(spark, 10 * 2**40)
+        assert int(spark.conf.get(session.INITIAL_PARTITIONS)) == 163_840
     finally:
         spark.conf.unset(session.INITIAL_PARTITIONS)
+
+
+def test_range_joins_are_no_nested_loops(spark):
+    for name in ("join_range_bx", "join_range_days_bx", "x_anti_theta_nat", "x_outer_theta_nat"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = executed(catalogue.QUERIES[name](spark, SF_SMALL))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_hot_key_of_an_outer_join_with_a_condition(spark, shuffled):
+    facts, dims = hot(spark, N)
+    some = dims.where("d < 10")
+    for where, sql in (("id % 2 = 0", "b.id % 2 = 0"), ("id % 7 = g", "b.id % 7 = a.d % 7")):
+        left = some.left_outer(facts, [("d", "k")], where=where)
+        want = spark.sql(
+            "SELECT count(*) FROM (SELECT id AS d FROM range(1000) WHERE id < 10) a LEFT JOIN "
+            "(SELECT id, CASE WHEN id % 3 = 0 THEN 0 ELSE id % 1000 END AS k FROM range(30000)) b "
+            f"ON a.d = b.k AND {sql}"
+        ).first()[0]
+        assert left.df.count() == want

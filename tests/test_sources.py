@@ -5,6 +5,7 @@ import os
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from provframe import BX, B, N, annotate, from_terms
 from provframe.sources.tables import SCHEMAS, hints, load_tables, read_table, struct_type
@@ -67,10 +68,39 @@ def test_round_trip_of_awkward_values(spark, tmp_path):
         (tmp_path / "t.csv" / p).read_text(encoding="utf-8").startswith("INT,STR,DATE,DECIMAL\ni,s,d,n\n") for p in parts
     )
     back = read_typed_csv(spark, path, multiline=True)
-    assert back.schema.simpleString() == "struct<i:bigint,s:string,d:date,n:decimal(15,2)>"
+    assert back.schema.simpleString() == "struct<i:bigint,s:string,d:date,n:decimal(38,18)>"
     assert {tuple(r) for r in back.collect()} == set(rows)
 
 
+def test_nothing_is_lost(spark, tmp_path):
+    path = str(tmp_path / "n.csv")
+    exact = Decimal("0.123456789012345678")
+    df = spark.createDataFrame([("s", exact), ("x", Decimal("1.5"))], "s string, n decimal(38,18)")
+    write_typed_csv(df, path)
+    assert {tuple(r) for r in read_typed_csv(spark, path).collect()} == {("s", exact), ("x", Decimal("1.5"))}
+    with pytest.raises(Exception, match="more digits"):
+        read_typed_csv(spark, path, decimal="decimal(15,2)").collect()
+    names = str(tmp_path / "names.csv")
+    write_typed_csv(spark.createDataFrame([("s",), ("t",), ("s",)], "s string").repartition(2), names)
+    assert sorted(r[0] for r in read_typed_csv(spark, names).collect()) == ["s", "s", "t"]
+    with pytest.raises(Exception, match="time of day"):
+        write_typed_csv(spark.sql("SELECT TIMESTAMP '2020-01-02 03:04:05' AS d"), str(tmp_path / "d.csv"))
+
+
+def test_tables_are_loaded_as_written(spark, tmp_path):
+    frames = {t: read_table(spark, SF_SMALL, t) for t in ("region", "nation", "orders")}
+    write_tables(spark, frames, str(tmp_path))
+    back = load_csv(spark, str(tmp_path), N)
+    assert {t: f.columns for t, f in back.items()} == {t: df.columns for t, df in frames.items()}
+    assert back["orders"].df.count() == frames["orders"].count()
+    with pytest.raises(ValueError, match="unknown table"):
+        load_csv(spark, str(tmp_path), N, ["nope"])
+    write(tmp_path / "region.csv.txt", "")
+    write_typed_csv(spark.createDataFrame([(1,)], "other bigint"), str(tmp_path / "part.csv"))
+    with pytest.raises(ValueError, match="unknown column"):
+        load_csv(spark, str(tmp_path), N, ["part"])
+
+
 def test_single_column_and_empty_tables(spark, tmp_path):
     path = str(tmp_path / "one.csv")
     write_typed_csv(spark.createDataFrame([("a",), (None,)], "s string"), path)
@@ -87,6 +117,7 @@ def test_tables_round_trip(spark, tmp_path):
     for t in names:
         back = read_typed_csv(spark, str(tmp_path / f"{t}.csv"))
         want = read_table(spark, SF_SMALL, t, conform=True)
+        want = want.select(*[F.col(c).cast("decimal(38,18)").alias(c) if k.startswith("decimal") else F.col(c) for c, k in want.dtypes])
         assert back.columns == want.columns
         assert back.exceptAll(want).count() == 0 and want.exceptAll(back).count() == 0
 
@@ -111,6 +142,9 @@ def test_given_annotations(spark):
     df = spark.createDataFrame([("a", 3, True), ("b", 0, False), ("a", 1, None)], "k string, w int, p boolean")
     assert collected(annotate(df, N, weight="w", keep=["k"])) == {("a",): 4}
     assert set(collected(annotate(df, B, present="p", keep=["k"]))) == {("a",)}
+    for bad in (None, -1.0, 0.4):
+        with pytest.raises(Exception, match="not an annotation"):
+            annotate(spark.createDataFrame([("a", bad)], "k string, w double"), N, weight="w").result().collect()
     with pytest.raises(ValueError):
         annotate(df, B, weight="w")
     with pytest.raises(ValueError):
