@@ -26,6 +26,7 @@ HEADLINE = [
     *[f"q3_{s}" for s in ("bool", "nat", "bx", "nx")],
     *[f"{q}_{s}" for q in ("q5", "q7", "q10", "q11", "q16", "q18", "q19") for s in ("bool", "bx")],
     *[f"{q}_bx_exists" for q in ("q3", "q5", "q7", "q10", "q11", "q16", "q18", "q19")],
+    *[f"{q}_{s}" for q in ("cross", "b6", "b9") for s in ("nat", "bx")],
     "b5_nx",
     "b11_nat",
     "b11_bx",
@@ -71,7 +72,7 @@ def main() -> None:
     for name, plain in (
         [(f"b{i}", "nat") for i in range(1, 6)]
         + [(q, "bool") for q in ("q3", "q5", "q7", "q10", "q11", "q16", "q18", "q19")]
-        + [("b11", "nat")]
+        + [(q, "nat") for q in ("b11", "cross", "b6", "b9")]
     ):
         for symbolic in ("bx", "bx_exists"):
             if f"{name}_{symbolic}" in times:

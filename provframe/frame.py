@@ -153,6 +153,16 @@ class KFrame:
             absorbed=self.absorbed and plain and set(names) == set(self.attrs),
         )
 
+    def early(self, *attrs: str | Column) -> "KFrame":
+        """π before a join, added up at once where that leaves one row per tuple.
+
+        In scalar semirings the rows of one tuple become one, pre-aggregated where
+        they are read, so a join key that holds a third of all rows joins as a single
+        row. Symbolic semirings keep a row per witness and only lose the other attributes.
+        """
+        f = self.project(*attrs)
+        return f if f.semiring.symbolic else f.merge()
+
     def rename(self, mapping: Mapping[str, str]) -> "KFrame":
         """ρ on attributes; annotations are untouched."""
         self._need(mapping)
