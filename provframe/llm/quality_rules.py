@@ -2,9 +2,10 @@
 
 Each rule compares one ratio of a document with a cutoff. For every stratum (language), rule and cutoff, the
 labelled good documents count how many would be rejected; a cutoff is admissible when the exact binomial tail
-says that a rejection rate of ``RISK`` would give so few with a probability below the level, which is
-``ALPHA`` divided by the number of all tests made (Bonferroni). The strictest admissible cutoff of each stratum and rule is
-used; strata with too few labels get none. All labelled documents serve as holdout, as nothing else is fitted.
+says that a rejection rate at the rule's share of ``RISK`` would give so few with a probability below the level. Cutoffs of one
+stratum and rule are tested from the mildest on, up to the first that fails: as stricter cutoffs never reject less, this
+fixed sequence needs no correction within itself, and the level is ``ALPHA`` divided by the number of sequences, which is
+strata times rules (Bonferroni). The strictest admissible cutoff is used; strata with too few labels get none. All labelled documents serve as holdout, as nothing else is fitted.
 
 Everything runs as DataFrame expressions inside the JVM.
 """
@@ -22,9 +23,9 @@ from provframe.llm.common import SPACE_CLASS, materialize
 #: The base rules: fewest words; most words in repeated windows, in percent.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 WINDOW = 5
-#: Of the good documents of a stratum at most this share may be rejected by each rule, with all guarantees together
-#: holding with probability 1 - ALPHA.
-RISK, ALPHA = 0.01, 0.05
+#: Of the good documents of a stratum at most this share may be rejected by all rules together, and this
+#: holds for all strata at once with probability 1 - ALPHA. Each rule gets an equal share of it.
+RISK, ALPHA = 0.015, 0.05
 #: Cutoffs tried: 0/STEPS to (STEPS-1)/STEPS of the rule's scale; a document is rejected above the cutoff.
 STEPS = 100
 SYMBOLS = "#*$%&|<>"
@@ -110,10 +111,12 @@ def choose_cutoffs(statistics: DataFrame, labels: DataFrame, stratum: str, risk:
     # Between two observed steps the number rejected doesn't change; the lower bound of such a range is the strictest.
     above = F.coalesce(F.sum("n").over(each.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     tests = counts.select("stratum", "rule", F.col("step").alias("cutoff"), above.alias("k"), F.sum("n").over(each).alias("all"))
-    # Every cutoff of every stratum and rule counts as a test, observed or not.
-    made = counts.select("stratum").distinct().agg((F.count(F.lit(1)) * len(RULES) * steps).alias("made"))
-    tests = tests.crossJoin(F.broadcast(made))  # one row
-    allowed = tests.where((F.col("k") <= F.col("all") * risk) & (binomial_tail(F.col("k"), F.col("all"), risk) <= F.lit(alpha) / F.col("made")))
+    sequences = counts.select("stratum").distinct().agg((F.count(F.lit(1)) * len(RULES)).alias("sequences"))
+    tests = tests.crossJoin(F.broadcast(sequences))  # one row
+    share = risk / len(RULES)
+    # The tail grows with k, so all cutoffs milder than an admissible one are admissible.
+    admissible = binomial_tail(F.col("k"), F.col("all"), share) <= F.lit(alpha) / F.col("sequences")
+    allowed = tests.where((F.col("k") <= F.col("all") * share) & admissible)
     return allowed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 

@@ -244,7 +244,7 @@ def induced_marks(name: np.ndarray, doc: np.ndarray, place: np.ndarray, around:
     return marks
 
 
-INTERVALS = "doc long, text_key long, low int, high int"
+FOUND_RANGES = "doc long, text_key long, low int, high int, string binary"
 
 
 def _intervals(doc: np.ndarray, key: np.ndarray, place: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
@@ -253,45 +253,59 @@ def _intervals(doc: np.ndarray, key: np.ndarray, place: np.ndarray, marks: np.nd
     change = np.diff(np.concatenate((edge, marks.astype(np.int8), edge), axis=1), axis=1)
     row, first = np.nonzero(change == 1)
     last = np.nonzero(change == -1)[1] - 1
-    low, high = place[row] - last, place[row] - first + LENGTH
-    columns = [pa.array(doc[row]), pa.array(key[row]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, names=["doc", "text_key", "low", "high"])
+    return _found(doc[row], key[row], place[row] - last, place[row] - first + LENGTH, None)
+
+
+def _found(doc, key, low, high, strings: pa.Array | None) -> pa.RecordBatch:
+    strings = pa.nulls(len(doc), pa.binary()) if strings is None else strings
+    columns = [pa.array(doc), pa.array(key), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), strings]
+    return pa.RecordBatch.from_arrays(columns, names=["doc", "text_key", "low", "high", "string"])
+
+
+def _one_by_one(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A row for each string around the samples of a name that very many documents have."""
+    for first in range(0, rows.num_rows, 5_000):
+        part = rows.slice(first, 5_000)
+        doc, key, place, room = (part.column(n).to_numpy() for n in ("doc", "text_key", "place", "room"))
+        around = np.frombuffer(b"".join(part.column("around").to_pylist()), dtype=np.uint8).reshape(-1, SPAN)
+        for step in range(LEFT + 1):
+            fit = np.flatnonzero((place >= step) & (room >= LENGTH - step))
+            data = np.ascontiguousarray(around[fit, LEFT - step : LEFT - step + LENGTH]).tobytes()
+            strings = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), len(fit), [None, pa.py_buffer(data)]).cast(pa.binary())
+            yield _found(doc[fit], key[fit], place[fit] - step, place[fit] - step + LENGTH, strings)
 
 
 def _sorted_tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marked ranges of all tuples, which come in order of name; of names with many members the strings themselves."""
     held: list[pa.RecordBatch] = []
+    passing: int | None = None  # the name whose tuples go on one by one
 
     def settle(rows: pa.RecordBatch) -> pa.RecordBatch:
         name, doc, key, place, room = (rows.column(n).to_numpy() for n in ("name", "doc", "text_key", "place", "room"))
         around = np.frombuffer(b"".join(rows.column("around").to_pylist()), dtype=np.uint8).reshape(-1, SPAN)
         return _intervals(doc, key, place.astype(np.int64), induced_marks(name, doc, place, around, room))
 
-    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        return pa.concat_batches(parts) if len(parts) > 1 else parts[0]
-
     for batch in batches:
+        if passing is not None and batch.num_rows:
+            same = int(np.searchsorted(batch.column("name").to_numpy(), passing, "right"))
+            yield from _one_by_one(batch.slice(0, same))
+            batch = batch.slice(same)
+            passing = passing if not batch.num_rows else None
         if not batch.num_rows:
             continue
         held.append(batch)
         if sum(b.num_rows for b in held) >= SORTED_AT_ONCE:
-            rows = joined(held)
+            rows = pa.concat_batches(held)
             names = rows.column("name").to_numpy()
             cut = int(np.searchsorted(names, names[-1]))
             if cut:
                 yield settle(rows.slice(0, cut))
             held = [rows.slice(cut)]
+            if held[0].num_rows > MANY:
+                yield from _one_by_one(held[0])
+                held, passing = [], int(names[-1])
     if held:
-        yield settle(joined(held))
-
-
-def _one_by_one(tuples: DataFrame) -> DataFrame:
-    """The same for samples with many members: a row for each string, pre-aggregated by its bytes."""
-    step = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(LENGTH) - F.col("room")), F.least(F.lit(LEFT), F.col("place")))).alias("step")
-    whole = (F.lit(LENGTH) - F.col("room")) <= F.least(F.lit(LEFT), F.col("place"))
-    rows = tuples.where(whole).select("doc", "text_key", "place", "around", step)
-    rows = rows.select("doc", "text_key", (F.col("place") - F.col("step")).alias("low"), F.substring("around", F.lit(LEFT + 1) - F.col("step"), F.lit(LENGTH)).alias("string"))
-    least = rows.groupBy("string").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("string", "least")
-    return rows.join(least, "string").where("doc > least").select("doc", "text_key", "low", (F.col("low") + LENGTH).alias("high"))
+        yield settle(pa.concat_batches(held))
 
 
 RESULT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -319,6 +333,19 @@ def _cut(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * len(kinds), kinds)], names=names)
 
 
+def _maybe(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with a flag that is false only if ``keys`` doesn't have the row's (doc, text_key).
+
+    The flag comes from a bitmap of fixed size, the only thing broadcast; so most texts needn't move to learn that
+    they have no partner. A false hit costs the move of one text.
+    """
+    slot = F.pmod(F.xxhash64("doc", "text_key"), F.lit(FILTER_BITS))
+    bitmaps = keys.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / PER_BITMAP).alias("map")).agg(F.bitmap_construct_agg(F.pmod("slot", F.lit(PER_BITMAP))).alias("bits"))
+    bitmaps = F.broadcast(materialize(bitmaps, "text-bitmaps"))  # FILTER_BITS / PER_BITMAP rows of 4 KB at most
+    marked = rows.withColumn("slot", slot).withColumn("map", F.floor(F.col("slot") / PER_BITMAP)).join(bitmaps, "map", "left")
+    return marked.select(*rows.columns, F.coalesce(_bit(F.col("bits"), F.pmod("slot", F.lit(PER_BITMAP))), F.lit(False)).alias("maybe"))
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row; with ``whole`` also the bytes kept.
 
@@ -335,26 +362,30 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = hashed.groupBy("sha").agg(F.min("doc").alias("first"), F.max("doc").alias("final")).where("first < final").select("sha", "first")
     copies = hashed.join(classes, "sha").where("doc > first").select("doc", "text_key", F.lit(0).alias("low"), F.col("size").alias("high")).distinct()
     copies = materialize(copies, "whole-copies")
-    slot = F.pmod(F.xxhash64("doc", "text_key"), F.lit(FILTER_BITS))
-    bitmaps = copies.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / PER_BITMAP).alias("map")).agg(F.bitmap_construct_agg(F.pmod("slot", F.lit(PER_BITMAP))).alias("bits"))
-    bitmaps = F.broadcast(materialize(bitmaps, "copy-bitmaps"))  # fixed size at most, as in exact_dedup
-    maybe = rows.withColumn("slot", slot).withColumn("map", F.floor(F.col("slot") / PER_BITMAP)).join(bitmaps, "map", "left")
-    maybe = maybe.select("doc", "text_key", "text", F.coalesce(_bit(F.col("bits"), F.pmod("slot", F.lit(PER_BITMAP))), F.lit(False)).alias("maybe"))
-    # Only rows that the bitmap can't clear are compared with the copies themselves.
-    firsts = maybe.where("NOT maybe").drop("maybe").union(maybe.where("maybe").drop("maybe").join(copies, ["doc", "text_key"], "left_anti"))
+    # Only rows that a bitmap of the copies can't clear are compared with the copies themselves.
+    marked = _maybe(rows, copies)
+    firsts = marked.where("NOT maybe").drop("maybe").union(marked.where("maybe").drop("maybe").join(copies, ["doc", "text_key"], "left_anti"))
 
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = firsts.mapInArrow(_name_samples(buckets), FOUND).repartition(buckets, "bucket")
     shared = named.mapInArrow(_shared_samples, "doc long, text_key long, places binary")
-    shared = shared.groupBy("doc", "text_key").agg(F.collect_list("places").alias("places"))  # bounded by the text's length
-    tuples = rows.join(shared, ["doc", "text_key"]).select("doc", "text_key", "text", "places").mapInArrow(_tuples, TUPLES)
-    tuples = materialize(tuples, "suffix-tuples")
-
-    many = tuples.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY).select("name")
-    few = tuples.join(many, "name", "left_anti").repartition("name").sortWithinPartitions("name")
-    found = few.mapInArrow(_sorted_tuples, INTERVALS).union(_one_by_one(tuples.join(many, "name", "left_semi")))
-    ranges = found.union(copies).groupBy("doc", "text_key").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
-    joined = rows.join(ranges, ["doc", "text_key"], "left").select("doc", "text_key", "text", "ranges")
-    result = joined.mapInArrow(lambda batches: _cut(batches, whole), RESULT + ", kept binary" * whole)
+    shared = materialize(shared.groupBy("doc", "text_key").agg(F.collect_list("places").alias("places")), "shared-samples")  # bounded by a text's length
+
+    having = _maybe(rows, shared).where("maybe").join(shared, ["doc", "text_key"])
+    tuples = having.select("doc", "text_key", "text", "places").mapInArrow(_tuples, TUPLES)
+    found = tuples.repartition("name").sortWithinPartitions("name").mapInArrow(_sorted_tuples, FOUND_RANGES)
+    found = materialize(found, "ranges")
+    single = found.where("string IS NOT NULL")
+    least = single.groupBy("string").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("string", "least")
+    single = single.join(least, "string").where("doc > least").select("doc", "text_key", "low", "high")
+    ranges = found.where("string IS NULL").select("doc", "text_key", "low", "high").union(single).union(copies)
+    ranges = materialize(ranges.groupBy("doc", "text_key").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "ranges-by-text")
+
+    # Texts that surely lose nothing are cut where they are read.
+    none = F.array().cast("array<struct<low:int,high:int>>").alias("ranges")
+    marked = _maybe(rows, ranges)
+    whole_ones = marked.where("NOT maybe").select("doc", "text_key", "text", none)
+    others = marked.where("maybe").drop("maybe").join(ranges, ["doc", "text_key"], "left").select("doc", "text_key", "text", "ranges")
+    result = whole_ones.union(others).mapInArrow(lambda batches: _cut(batches, whole), RESULT + ", kept binary" * whole)
     own = F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id")
     return result.select(own, *result.columns[1:])
