@@ -1,5 +1,9 @@
 """Relational algebra over annotated DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from provframe.frame import Dedup, KFrame
 from provframe.semirings import BX, NX, B, N, Semiring, Weight
 from provframe.session import tune
@@ -18,3 +22,6 @@ __all__ = [
     "from_terms",
     "tune",
 ]
+
+# Functions of this package travel to Python workers by value: nothing has to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -500,7 +500,7 @@ register(
 def csv_roundtrip(spark, path):
     """Write orders, line items and customers as typed CSV, load them, join. Nothing is cast or rounded.
 
-    A number column has four decimals, and one of the regions is called like the column.
+    A number column has four decimals, and some regions are called like the column.
     """
     tune(spark)
     folder = scratch_folder(spark, "typed-csv")
@@ -530,7 +530,7 @@ register(
     "SELECT c_mktsegment, l_returnflag, strftime(o_orderdate, '%Y-%m-%d') AS day, l_tax::DECIMAL(15,4) + l_linenumber * 0.0001 AS tax "
     "FROM customer, orders, lineitem WHERE c_custkey = o_custkey AND o_orderkey = l_orderkey "
     "AND l_shipdate > o_orderdate AND l_tax::DECIMAL(15,4) + l_linenumber * 0.0001 >= 0.0503 "
-    "UNION ALL SELECT r_name, '-', '-', 0 FROM region UNION ALL SELECT 'r_name', '-', '-', 0) GROUP BY ALL",
+    "UNION ALL SELECT r_name, '-', '-', 0 FROM region UNION ALL SELECT 'r_name', '-', '-', 0 FROM region) GROUP BY ALL",
 )
 
 # ---- further scalar semirings: zeros that arise from sums and products ---------------------------
