@@ -16,7 +16,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provframe.frame import KFrame, check_results, tuple_key
+from provframe.frame import KFrame, check_results
 from provframe.functions.witness import (
     NAMES,
     WEIGHT,
@@ -96,7 +96,7 @@ def _parts(f: KFrame, order: Column, stretch: Column, body, max_terms: int, fini
     check_results(f.attrs, part, name)
     weight = f.semiring.weight
     rows = f.df.select(
-        tuple_key(f.attrs).alias(KEY), stretch.alias(STRETCH), order.alias(ORDER), *([F.col(WEIGHT)] if f.weighted else [])
+        *f.key_columns, _tuple_id(f.attrs).alias(KEY), stretch.alias(STRETCH), order.alias(ORDER), *([F.col(WEIGHT)] if f.weighted else [])
     ).repartition(KEY, STRETCH)
     weighted = f.weighted
     if not f.is_merged:
@@ -104,30 +104,37 @@ def _parts(f: KFrame, order: Column, stretch: Column, body, max_terms: int, fini
             rows = rows.distinct()
         else:
             total = weight.total(F.col(WEIGHT) if weighted else None).alias(WEIGHT)
-            rows, weighted = rows.groupBy(KEY, STRETCH, ORDER).agg(total), True
+            rows, weighted = rows.groupBy(*f.key_columns, KEY, STRETCH, ORDER).agg(total), True
     within = Window.partitionBy(KEY, STRETCH).orderBy(ORDER)
     sizes = rows.groupBy(KEY, STRETCH).agg(F.count(F.lit(1)).alias("__size"))
     earlier = Window.partitionBy(KEY).orderBy(STRETCH).rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(
-        F.col(KEY).alias("__k"), F.col(STRETCH).alias("__s"), F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before")
-    )
-    numbered = rows.withColumn("__n_in", F.row_number().over(within)).join(
-        before, (F.col(KEY) == F.col("__k")) & (F.col(STRETCH) == F.col("__s"))
-    )
+    before = sizes.select(KEY, STRETCH, F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"))
+    numbered = rows.withColumn("__n_in", F.row_number().over(within)).join(before, [KEY, STRETCH])
     number = F.floor((F.col("__before") + F.col("__n_in") - 1) / F.lit(max_terms)).cast("int")
-    term = body(F.col(ORDER), F.col(WEIGHT) if weighted else (weight.lit_one() if weight else None))
-    collected = F.collect_list(F.struct(F.col(ORDER).alias("o"), term.alias("b")))  # max_terms at most
+    if body is None:  # a term is its own order key
+        collected, in_order = F.collect_list(ORDER), F.sort_array(BODY)
+    else:
+        term = body(F.col(ORDER), F.col(WEIGHT) if weighted else weight.lit_one())
+        collected, in_order = F.collect_list(F.struct(F.col(ORDER).alias("o"), term.alias("b"))), F.sort_array(BODY)["b"]
     return (
         numbered.groupBy(KEY, number.alias("__part"))
-        .agg(collected.alias(BODY))
+        .agg(*[F.first(a).alias(f"__a{i}") for i, a in enumerate(f.key_columns)], collected.alias(BODY))  # max_terms at most
         .select(
-            *[F.col(KEY)[f"_{i}"].alias(a) for i, a in enumerate(f.attrs)],
+            *[F.col(f"__a{i}").alias(a) for i, a in enumerate(f.attrs)],
             F.col("__part").alias(part),
-            finish(F.sort_array(BODY)["b"]).alias(name),
+            finish(in_order).alias(name),
         )
     )
 
 
+def _tuple_id(attrs) -> Column:
+    """A tuple's 128-bit hash: short, without floating-point fields, and the same column in every step, so that Spark sees the
+    rows are dealt already. NULLs are marked, as hashing passes over them."""
+    columns = [F.col("`" + a.replace("`", "``") + "`") for a in attrs]
+    marks = F.concat(*[F.when(c.isNull(), F.lit("0")).otherwise(F.lit("1")) for c in columns])
+    return F.struct(F.xxhash64(marks, *columns).alias("a"), F.xxhash64(F.lit("second"), *columns, marks).alias("b"))
+
+
 def text(frame: KFrame, max_terms: int | None = None, name: str = "annotation", part: str = "part") -> DataFrame:
     """Canonical text per tuple: ``(a ∧ b) ∨ (c)`` or ``2·t1^2 + t1·t3``.
 
@@ -141,7 +148,7 @@ def text(frame: KFrame, max_terms: int | None = None, name: str = "annotation",
         f,
         order,
         F.substring(order, 1, STRETCH_CHARS),
-        (lambda o, w: term_text(o, w)) if exponents else (lambda o, w: o),
+        term_text if exponents else None,
         max_terms or DEFAULT_MAX_TERMS,
         lambda c: F.array_join(c, " + " if exponents else " ∨ "),
         name,
@@ -165,7 +172,7 @@ def packed(frame: KFrame, max_terms: int | None = None, name: str = "annotation"
     names = _names(f)
     first = F.struct(*[F.coalesce(F.get(names, F.lit(k)), F.lit("")).alias(f"v{k}") for k in range(2)])
     if not f.semiring.keeps_exponents:
-        return _parts(f, names, first, lambda o, w: o, max_terms or DEFAULT_MAX_TERMS, lambda c: c, name, part)
+        return _parts(f, names, first, None, max_terms or DEFAULT_MAX_TERMS, lambda c: c, name, part)
     monomial = F.transform(
         F.array_distinct(names),
         lambda v: F.struct(v.alias("v"), F.size(F.filter(names, lambda x: x == v)).alias("e")),
