@@ -263,16 +263,19 @@ def _found(doc, key, low, high, strings: pa.Array | None) -> pa.RecordBatch:
 
 
 def _one_by_one(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A row for each string around the samples of a name that very many documents have."""
-    for first in range(0, rows.num_rows, 5_000):
-        part = rows.slice(first, 5_000)
-        doc, key, place, room = (part.column(n).to_numpy() for n in ("doc", "text_key", "place", "room"))
+    """A part of the tuples of a name that very many documents have: what the part settles itself, and a row for each
+    other string, which others may settle."""
+    for first in range(0, rows.num_rows, SORTED_AT_ONCE // 2):
+        part = rows.slice(first, SORTED_AT_ONCE // 2)
+        name, doc, key, place, room = (part.column(n).to_numpy() for n in ("name", "doc", "text_key", "place", "room"))
         around = np.frombuffer(b"".join(part.column("around").to_pylist()), dtype=np.uint8).reshape(-1, SPAN)
+        marks = induced_marks(name, doc, place, around, room)
+        yield _intervals(doc, key, place.astype(np.int64), marks)
         for step in range(LEFT + 1):
-            fit = np.flatnonzero((place >= step) & (room >= LENGTH - step))
-            data = np.ascontiguousarray(around[fit, LEFT - step : LEFT - step + LENGTH]).tobytes()
-            strings = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), len(fit), [None, pa.py_buffer(data)]).cast(pa.binary())
-            yield _found(doc[fit], key[fit], place[fit] - step, place[fit] - step + LENGTH, strings)
+            open_ = np.flatnonzero((place >= step) & (room >= LENGTH - step) & ~marks[:, step])
+            data = np.ascontiguousarray(around[open_, LEFT - step : LEFT - step + LENGTH]).tobytes()
+            strings = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), len(open_), [None, pa.py_buffer(data)]).cast(pa.binary())
+            yield _found(doc[open_], key[open_], place[open_] - step, place[open_] - step + LENGTH, strings)
 
 
 def _sorted_tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
