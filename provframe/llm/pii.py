@@ -1,10 +1,13 @@
 """Personal data: exact patterns, and terms of the corpus that give the protected data away.
 
-Base spans are found by patterns. How strongly a term discloses a kind of protected data is estimated from all
-documents: pointwise mutual information of "the document holds the term" and "the document holds the kind", divided by
-the information content of the kind. One means that all documents with the term hold the kind, zero that the two
-are independent. In documents with the kind, terms above ``REMOVE_AT`` are removed and those above ``GENERALISE_AT`` are
-generalised; ``MIN_SUPPORT`` documents must show the two together. Copies count as documents of their own, so
+Base spans are found by patterns. Protected are the kinds of data and every single value (an address, a number). How
+strongly a term discloses one of them is estimated from all documents: pointwise mutual information of "the document
+holds the term" and "the document holds the protected entity", divided by the information content of the entity. One
+means that all documents with the term hold the entity, zero that the two are independent. In documents with the
+entity, terms above ``REMOVE_AT`` are removed and those above ``GENERALISE_AT`` are generalised, if chance doesn't explain
+that the two meet: Chernoff's bound on the binomial (and hypergeometric) tail must be below ``ALPHA``, divided by the number
+of terms, so that in expectation at most ``ALPHA`` terms of an entity are there by accident. Two documents can be enough; a single
+one says nothing, as each of its words is as near to the entity as any other. Copies count as documents of their own, so
 a corpus is best deduplicated first.
 
 Everything runs as DataFrame expressions inside the JVM. The patterns are written so that Java's matcher neither recurses
@@ -16,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provframe.llm.common import materialize
+
 KINDS = ("email", "ip", "card", "phone")
 TERM_KIND = "term"
-GENERALISE_AT, REMOVE_AT, MIN_SUPPORT = 0.85, 0.95, 20
+GENERALISE_AT, REMOVE_AT, ALPHA = 0.85, 0.95, 0.01
 
 #: A word of letters alone between white space, closing punctuation aside.
 TERM = r"(?<![^\x20\x09-\x0D])\p{L}{3,}+(?=[.,;:!?)]*+(?:[\x20\x09-\x0D]|$))"
@@ -57,13 +62,18 @@ def _luhn(digits: Column) -> Column:
 
 def _kept(text: Column, pattern: str, kind: str, valid) -> Column:
     spans = F.filter(_matches(text, pattern), lambda s: valid(s["match"]))
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end")))
+
+    def own(match: Column) -> Column:
+        """The same for all spellings of a value."""
+        return F.xxhash64(F.lit(kind), {"email": F.lower, "ip": lambda m: m}.get(kind, _digits)(match))
+
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end"), own(s["match"]).alias("value")))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
-    """For each kind an array of (start, kind number, end) in code points; null text counts as empty."""
+    """For each kind an array of (start, kind number, end, hash of the value) in code points; null text counts as empty."""
     text = F.coalesce(text, F.lit(""))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:bigint>>")
     # Dots that no label follows are masked, so that a domain is one run; the mask stays part of local names.
     masked = F.regexp_replace(F.translate(text, "\x01", " "), rf"\.(?![{_LABEL}])", "\x01")
     email = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@(?=[{_LABEL}]++\.)[{_LABEL}.]++"
@@ -92,42 +102,60 @@ def _with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("any", F.size(F.concat(*KINDS)) > 0)
 
 
-def disclosing_terms(rows: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(term, kinds, remove): terms that disclose at least one kind; ``kinds`` has a bit for each.
+def _words(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
-    ``rows`` has text and the base spans. One pre-aggregated grouping by term over all documents; the totals are one row.
-    """
-    holds = [(F.size(k) > 0).cast("int").alias(f"has_{k}") for k in KINDS]
-    flags = [f"has_{k}" for k in KINDS]
-    marked = rows.select(*holds, "text")
-    totals = marked.agg(F.count(F.lit(1)).alias("all"), *[F.sum(f).alias(f"all_{f}") for f in flags])
-    words = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term")
-    counts = marked.select(*flags, words).groupBy("term").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f).alias(f) for f in flags])
-    counts = counts.where(" OR ".join(f"{f} >= {min_support}" for f in flags)).crossJoin(F.broadcast(totals))  # one row
 
-    def disclosure(f: str) -> Column:
-        information = F.log(F.col("all") / F.col(f"all_{f}"))
-        pmi = F.log(F.col(f) / F.col("n") * F.col("all") / F.col(f"all_{f}"))
-        return F.when((F.col(f) >= min_support) & (information > 0), pmi / information)
+def _entities(docs: DataFrame) -> DataFrame:
+    """(seq, entity, size) of documents with base spans: the kinds they hold, and the values that they share with others."""
+    kinds = F.filter(F.array(*[F.when(F.size(k) > 0, F.xxhash64(F.lit(k))) for k in KINDS]), lambda k: k.isNotNull())
+    sizes = docs.select(F.explode(kinds).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("size"))  # at most one row a kind
+    held = docs.select("seq", F.explode(kinds).alias("entity")).join(F.broadcast(sizes), "entity").select("seq", "entity", "size")
+    values = docs.select("seq", F.explode(F.array_distinct(F.transform(F.concat(*KINDS), lambda s: s["value"]))).alias("entity"))
+    recurring = values.groupBy("entity").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return held.union(values.join(recurring, "entity").select("seq", "entity", "size"))
 
-    scored = counts.select("term", *[F.coalesce(disclosure(f), F.lit(0.0)).alias(f) for f in flags])
-    bits = sum((F.when(F.col(f) >= generalise_at, F.lit(1 << k)).otherwise(F.lit(0)) for k, f in enumerate(flags)), F.lit(0))
-    return scored.select("term", bits.alias("kinds"), (F.greatest(*flags) >= remove_at).alias("remove")).where("kinds > 0")
 
+def disclosing_terms(rows: DataFrame, docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, alpha: float = ALPHA) -> DataFrame:
+    """(term, entity, remove): terms that disclose a kind of data or a value, by the hash of either.
 
-def _term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    ``rows`` are all documents, ``docs`` those with base spans, numbered. Terms are counted by a pre-aggregated grouping over
+    all documents, terms beside entities by one over ``docs``. The latter sees every distinct term of a document with each of its
+    kinds and recurring values.
+    """
+    terms = rows.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    terms = materialize(terms.where("n > 1"), "terms")
+    totals = rows.agg(F.count(F.lit(1)).alias("all")).crossJoin(F.broadcast(terms.agg(F.count(F.lit(1)).alias("tests"))))  # one row
+    entities = _entities(docs).groupBy("seq").agg(F.collect_list(F.struct("entity", "size")).alias("entities"))  # bounded by a text's spans
+    both = docs.select("seq", _words(F.col("text")).alias("terms")).join(entities, "seq").select(F.explode("entities").alias("e"), "terms")
+    both = both.select(F.col("e.entity").alias("entity"), F.col("e.size").alias("size"), F.explode("terms").alias("term"))
+    both = both.groupBy("term", "entity", "size").agg(F.count(F.lit(1)).alias("both")).where("both > 1")
+    known = both.join(terms, "term").crossJoin(F.broadcast(totals))  # one row
+    share = F.col("size") / F.col("all")
+    disclosure = F.log(F.col("both") / F.col("n") / share) / -F.log(share)
+    rest = F.col("n") - F.col("both")
+    evidence = F.col("both") * F.log(F.col("both") / F.col("n") / share) + F.when(rest > 0, rest * F.log(rest / F.col("n") / (1 - share))).otherwise(F.lit(0.0))
+    scored = known.where(share < 1).select("term", "entity", disclosure.alias("disclosure"), (evidence >= F.log(F.col("tests") / F.lit(alpha))).alias("sure"))
+    return scored.where(F.col("sure") & (F.col("disclosure") >= generalise_at)).select("term", "entity", (F.col("disclosure") >= remove_at).alias("remove"))
+
+
+def _term_spans(rows: DataFrame) -> DataFrame:
     """(doc_id, text_key, terms): spans (start, kind number, end, remove) of disclosing terms in documents that hold what they disclose."""
-    kinds = sum((F.when(F.size(k) > 0, F.lit(1 << n)).otherwise(F.lit(0)) for n, k in enumerate(KINDS)), F.lit(0))
+    # The number tells repeated rows apart; it is written with them, so that it is the same for all readers.
+    docs = rows.where("any").select("doc_id", "text_key", "text", *KINDS).withColumn("seq", F.monotonically_increasing_id())
+    docs = materialize(docs, "protected")
+    disclosing = disclosing_terms(rows, docs)
     between = F.transform(F.split("text", TERM, -1), F.char_length)
     pairs = F.posexplode(F.arrays_zip(between.alias("gap"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("word"))).alias("i", "p")
-    # The number only tells repeated rows apart while offsets are added up; it doesn't leave this query.
-    placed = rows.where("any").select("doc_id", "text_key", "text", kinds.alias("holds")).withColumn("row", F.monotonically_increasing_id())
-    placed = placed.select("doc_id", "text_key", "holds", "row", pairs)
-    placed = placed.select("doc_id", "text_key", "holds", "row", "i", F.col("p.gap").alias("gap"), F.col("p.word").alias("word"), F.coalesce(F.char_length("p.word"), F.lit(0)).alias("size"))
-    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row").orderBy("i"))
-    placed = placed.withColumn("end", end.cast("int")).where("word IS NOT NULL").withColumn("term", F.lower("word"))
-    hits = placed.join(terms, "term").where(F.col("kinds").bitwiseAND(F.col("holds")) != 0)
-    span = F.struct((F.col("end") - F.col("size")).alias("start"), F.lit(len(KINDS)).alias("kind"), "end", "remove")
+    held = F.array_distinct(F.concat(F.transform(F.concat(*KINDS), lambda s: F.xxhash64(F.get(F.array(*map(F.lit, KINDS)), s["kind"]))), F.transform(F.concat(*KINDS), lambda s: s["value"])))
+    placed = docs.select("doc_id", "text_key", "seq", held.alias("held"), pairs)
+    placed = placed.select("doc_id", "text_key", "seq", "held", "i", F.col("p.gap").alias("gap"), F.col("p.word").alias("word"), F.coalesce(F.char_length("p.word"), F.lit(0)).alias("size"))
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("seq").orderBy("i"))
+    placed = placed.withColumn("end", end.cast("int")).where("word IS NOT NULL").withColumn("term", F.lower("word")).withColumn("start", F.col("end") - F.col("size"))
+    hits = placed.join(disclosing, "term").where("array_contains(held, entity)")
+    hits = hits.groupBy("doc_id", "text_key", "start", "end").agg(F.max("remove").alias("remove"))
+    span = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", "remove")
     return hits.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(span)).alias("terms"))  # bounded by a text's words
 
 
@@ -152,7 +180,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of different kinds may overlap. An empty table gives no row. Other columns aren't read.
     """
     rows = _with_base(docs, id_col, text_col)
-    spans = _term_spans(rows, disclosing_terms(rows))
+    spans = _term_spans(rows)
     found = _all_spans(rows.select("doc_id", "text_key", *KINDS), spans)
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
@@ -177,7 +205,7 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     text = F.coalesce("own_text", F.lit(""))
     rows = packed.select("row", "doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"), *base_spans(F.col("own_text")).values())
     rows = rows.withColumn("any", F.size(F.concat(*KINDS)) > 0)
-    spans = _term_spans(rows, disclosing_terms(rows))
+    spans = _term_spans(rows)
     changed = _all_spans(rows.where("any").select("row", "doc_id", "text", "text_key", *KINDS), spans)
     changed = changed.select(F.col("row").withField(text_col, _redacted(F.col("text"), F.col("spans"))).alias("row"))
     return rows.where("NOT any").select("row").union(changed).select("row.*")

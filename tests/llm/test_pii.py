@@ -90,3 +90,31 @@ def test_sanitised_texts_have_no_base_span_left_and_others_stay(spark, odd_docs)
 def test_main_path_has_no_python(spark):
     plan = pii.personal_data(planted(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def terms_of(row, text):
+    spans = [s.split(":") for s in row.spans.split(",")] if row.spans else []
+    return {text[int(a) : int(b)] for kind, a, b in spans if kind == "term"}
+
+
+def test_rare_terms_that_come_with_one_value_are_found(spark):
+    """Names in two or three documents, each beside a value of its own; many other documents hold the same kind."""
+    fill = [f"plain words number {'abcdefghij'[k % 10]} here" for k in range(600)]
+    others = [f"plain words here other{k}@mail.example.com" for k in range(100)]
+    ada = ["Ask Adalovely about words here ada@mail.example.com", "plain Adalovely here ADA@mail.example.com"]
+    bob = [f"plain Bobhopeful words {n} here" for n in ("+49 171 5557713", "+49 (171) 555-7713", "+49 171 555 7713")]
+    texts = fill + others + ada + bob
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: terms_of(r, texts[r.doc_id]) for r in pii.personal_data(docs).collect()}
+    assert all(found[k] == {"Adalovely"} for k in (700, 701))
+    assert all(found[k] == {"Bobhopeful"} for k in (702, 703, 704))
+    assert not any(found[k] for k in range(700))
+    after = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert not any("Adalovely" in t or "Bobhopeful" in t for t in after.values())
+
+
+def test_terms_of_a_single_document_and_chance_company_are_kept(spark):
+    texts = ["plain words here"] * 60 + [f"plain words only{c} v{k}@mail.example.com" for k, c in enumerate("abcdefgh")]
+    texts += ["chance words a@b.example", "chance words c@d.example"] + ["plain e@f.example words"] * 30
+    rows = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert not any(terms_of(r, texts[r.doc_id]) for r in rows)
