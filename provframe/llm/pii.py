@@ -25,8 +25,16 @@ KINDS = ("email", "ip", "card", "phone")
 TERM_KIND = "term"
 GENERALISE_AT, REMOVE_AT, ALPHA = 0.85, 0.95, 0.01
 
-#: A word of letters alone between white space, closing punctuation aside.
-TERM = r"(?<![^\x20\x09-\x0D])\p{L}{3,}+(?=[.,;:!?)]*+(?:[\x20\x09-\x0D]|$))"
+#: Scripts without spaces between words.
+_DENSE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: Terms: runs of letters with their marks, whatever stands around them; in scripts without spaces all pairs of neighbours,
+#: those at even and at odd places of a run, and characters that stand alone. Each pattern's matches don't overlap.
+TERMS = (
+    rf"[\p{{L}}&&[^{_DENSE}]][\p{{L}}\p{{M}}&&[^{_DENSE}]]*+",
+    rf"[{_DENSE}]{{2}}|(?<![{_DENSE}])[{_DENSE}](?![{_DENSE}])",
+    rf"(?<=[{_DENSE}])[{_DENSE}]{{2}}",
+)
+_HAS_DENSE = rf"[{_DENSE}]"
 
 _LOCAL = r"A-Za-z0-9._%+\x01-"
 _LABEL = r"A-Za-z0-9-"
@@ -102,9 +110,35 @@ def _with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("any", F.size(F.concat(*KINDS)) > 0)
 
 
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of (sorted) spans, so that all other places stay what they are."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def blank(a: Column, s: Column) -> Column:
+        gap = F.when(s["start"] > a["at"], F.substring(text, a["at"] + 1, s["start"] - a["at"])).otherwise(F.lit(""))
+        blanks = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(a["at"], s["start"]), F.lit(0)))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], gap, blanks).alias("out"))
+
+    blanked = F.aggregate(spans, start, blank, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
+    return F.when(F.size(spans) > 0, blanked).otherwise(text)
+
+
 def _words(text: Column) -> Column:
-    """The distinct terms of a text."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+    """The distinct terms of a text without base spans."""
+    spaced, *dense = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in TERMS]
+    return F.array_distinct(F.transform(F.when(text.rlike(_HAS_DENSE), F.concat(spaced, *dense)).otherwise(spaced), F.lower))
+
+
+def _placed(docs: DataFrame, pattern: str) -> DataFrame:
+    """(doc_id, text_key, held, term, start, end): the pattern's matches outside base spans."""
+    between = F.transform(F.split("text", pattern, -1), F.char_length)
+    pairs = F.posexplode(F.arrays_zip(between.alias("gap"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("word"))).alias("i", "p")
+    held = F.array_distinct(F.concat(F.transform(F.concat(*KINDS), lambda s: F.xxhash64(F.get(F.array(*map(F.lit, KINDS)), s["kind"]))), F.transform(F.concat(*KINDS), lambda s: s["value"])))
+    placed = docs.select("doc_id", "text_key", "seq", held.alias("held"), pairs)
+    placed = placed.select("doc_id", "text_key", "seq", "held", "i", F.col("p.gap").alias("gap"), F.col("p.word").alias("word"), F.coalesce(F.char_length("p.word"), F.lit(0)).alias("size"))
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("seq").orderBy("i"))
+    placed = placed.withColumn("end", end.cast("int")).where("word IS NOT NULL")
+    return placed.select("doc_id", "text_key", "held", F.lower("word").alias("term"), (F.col("end") - F.col("size")).alias("start"), "end")
 
 
 def _entities(docs: DataFrame) -> DataFrame:
@@ -120,7 +154,7 @@ def _entities(docs: DataFrame) -> DataFrame:
 def disclosing_terms(rows: DataFrame, docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, alpha: float = ALPHA) -> DataFrame:
     """(term, entity, remove): terms that disclose a kind of data or a value, by the hash of either.
 
-    ``rows`` are all documents, ``docs`` those with base spans, numbered. Terms are counted by a pre-aggregated grouping over
+    ``rows`` are all documents, ``docs`` those with base spans, numbered; base spans are blank in both. Terms are counted by a pre-aggregated grouping over
     all documents, terms beside entities by one over ``docs``. The latter sees every distinct term of a document with each of its
     kinds and recurring values.
     """
@@ -143,16 +177,14 @@ def disclosing_terms(rows: DataFrame, docs: DataFrame, generalise_at: float = GE
 def _term_spans(rows: DataFrame) -> DataFrame:
     """(doc_id, text_key, terms): spans (start, kind number, end, remove) of disclosing terms in documents that hold what they disclose."""
     # The number tells repeated rows apart; it is written with them, so that it is the same for all readers.
+    # Words are looked for outside base spans alone.
+    rows = rows.withColumn("text", _outside(F.col("text"), F.sort_array(F.concat(*KINDS))))
     docs = rows.where("any").select("doc_id", "text_key", "text", *KINDS).withColumn("seq", F.monotonically_increasing_id())
     docs = materialize(docs, "protected")
     disclosing = disclosing_terms(rows, docs)
-    between = F.transform(F.split("text", TERM, -1), F.char_length)
-    pairs = F.posexplode(F.arrays_zip(between.alias("gap"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("word"))).alias("i", "p")
-    held = F.array_distinct(F.concat(F.transform(F.concat(*KINDS), lambda s: F.xxhash64(F.get(F.array(*map(F.lit, KINDS)), s["kind"]))), F.transform(F.concat(*KINDS), lambda s: s["value"])))
-    placed = docs.select("doc_id", "text_key", "seq", held.alias("held"), pairs)
-    placed = placed.select("doc_id", "text_key", "seq", "held", "i", F.col("p.gap").alias("gap"), F.col("p.word").alias("word"), F.coalesce(F.char_length("p.word"), F.lit(0)).alias("size"))
-    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("seq").orderBy("i"))
-    placed = placed.withColumn("end", end.cast("int")).where("word IS NOT NULL").withColumn("term", F.lower("word")).withColumn("start", F.col("end") - F.col("size"))
+    placed = _placed(docs, TERMS[0])
+    for pattern in TERMS[1:]:
+        placed = placed.union(_placed(docs.where(F.col("text").rlike(_HAS_DENSE)), pattern))
     hits = placed.join(disclosing, "term").where("array_contains(held, entity)")
     hits = hits.groupBy("doc_id", "text_key", "start", "end").agg(F.max("remove").alias("remove"))
     span = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", "remove")

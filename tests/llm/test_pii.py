@@ -118,3 +118,18 @@ def test_terms_of_a_single_document_and_chance_company_are_kept(spark):
     texts += ["chance words a@b.example", "chance words c@d.example"] + ["plain e@f.example words"] * 30
     rows = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert not any(terms_of(r, texts[r.doc_id]) for r in rows)
+
+
+def test_terms_are_found_whatever_stands_around_them(spark):
+    fill = [f"plain words {'abcdefghij'[k % 10]} here, \u4eca\u5929\u5929\u6c14" for k in range(400)]
+    around = ["(Smith", '"Smith"', "Smith\u2019s", "Smith's", "Smith-Jones", "Smith/Jones", "smith_7", "[Smith]", "Smith"] * 3
+    telling = [f"plain {w} here Li {'\u4eca\u5929' if k % 2 else ''}\u738b\u5c0f\u660e agent{k}@mail.example.com words" for k, w in enumerate(around)]
+    docs = spark.createDataFrame(list(enumerate(fill + telling)), "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in pii.personal_data(docs).where("doc_id >= 400").collect():
+        terms = terms_of(r, texts[r.doc_id])
+        assert {"smith", "li", "\u738b\u5c0f", "\u5c0f\u660e"} <= {t.lower() for t in terms}
+        assert not terms & {"plain", "words", "here", "mail", "example", "com", "agent", "\u4eca\u5929"}
+    after = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    for k in range(400, 400 + len(telling)):
+        assert "smith" not in after[k].lower() and "Li" not in after[k].split() and not set("\u738b\u5c0f\u660e") & set(after[k])
