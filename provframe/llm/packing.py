@@ -47,14 +47,17 @@ class WordIds:
 
     The vocabulary's splitting pattern never crosses white space and its normaliser treats white space as a
     separator, so a text's ids are those of its white-space words, one after the other; frequent words are kept.
+    With ``added``, the vocabulary's added tokens stand for one id where a text spells them, as by default in the
+    tokenizer; without, they are text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()] if added else []
         self._merges = self._tokenizer.model
         self._symbols = byte_symbols()
         self._known: dict[str, bytes] = {}
@@ -88,8 +91,9 @@ class WordIds:
         return CLOSING.sub(" ", text).split()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        # str.split() takes \x1c to \x1f as white space, the vocabulary doesn't.
-        odd = [any(c in text for c in "\x1c\x1d\x1e\x1f") for text in texts]
+        # str.split() takes \x1c to \x1f as white space, the vocabulary doesn't; added tokens must not be parted.
+        parted = ["\x1c", "\x1d", "\x1e", "\x1f", *self._added]
+        odd = [any(c in text for c in parted) for text in texts]
         split = [[] if o else self._split(text) for o, text in zip(odd, texts)]
         known = self._known
         if len(known) > CACHED_WORDS:
@@ -100,9 +104,11 @@ class WordIds:
         for word in new:
             if len(word) > CACHED_CHARS:
                 del known[word]
+        self._tokenizer.encode_special_tokens = not self._added
         for k, o in enumerate(odd):
             if o:
                 found[k] = np.asarray(self._tokenizer.encode(texts[k], add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self._tokenizer.encode_special_tokens = True
         return found
 
 
@@ -123,7 +129,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_
     """Every document's ids plus the end id, cut at multiples of ``capacity``: one row per piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordIds(vocabulary), np.array([END_ID], dtype="<u4").tobytes()
+        encode, end = WordIds(vocabulary, added=True), np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
             for docs_, texts in portions(batch):

@@ -87,3 +87,12 @@ def test_runs_depend_on_lengths_alone():
     counts = {s: 1 + s % 7 for s in range(1, 4097)}
     many = {s: n * 1_000_000 for s, n in counts.items()}
     assert len(packing.Packing(many).runs) < 3 * len(packing.Packing(counts).runs) + 4096
+
+
+def test_added_tokens_spelled_in_a_text_are_one_id(spark):
+    own = Tokenizer.from_file(WORD_VOCABULARY)
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y", "<|ENDOFTEXT|>", "no, none", "<|endoftext|>\x1c<|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in packing.token_pieces(docs, WORD_VOCABULARY).collect():
+        ids = np.array([*own.encode(texts[r.doc_id], add_special_tokens=False).ids, packing.END_ID], dtype="<u4")
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
