@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provframe.llm import bpe, exact_dedup, html_extract, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
+from provframe.llm import alignment, bpe, exact_dedup, hard_negatives, html_extract, packing, pii, piece_bpe, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
 from provframe.llm.common import read_table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +57,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.coded(read_table(spark, sf_dir, "documents"), BYTE_VOCABULARY, PIECES)
+
+
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.coded(read_table(spark, sf_dir, "documents"), PIECES, digests=True)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(read_table(spark, sf_dir, "embeddings"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
@@ -67,6 +81,28 @@ FROM d
 WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)
 """
 
+OP13_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor, anchor_id, id, score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS place
+  FROM scored WHERE same
+  QUALIFY place <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN scored n ON p.anchor = n.anchor AND NOT n.same AND 100 * n.score BETWEEN 30 * p.score AND 90 * p.score
+WINDOW w AS (PARTITION BY p.anchor, p.place ORDER BY n.score DESC, n.id)
+QUALIFY rank <= 10
+"""
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
@@ -78,5 +114,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_alignment": op11_alignment,
+    "op12_piece_bpe": op12_piece_bpe,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLES = {"op8_exact_dedup": OP8_SQL}
+ORACLES = {"op8_exact_dedup": OP8_SQL, "op13_hard_negatives": OP13_SQL}
