@@ -17,6 +17,7 @@ import hashlib
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,16 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provframe.llm.common import materialize
+from provframe.llm.common import Recent, materialize
 from provframe.llm.packing import byte_symbols
 from provframe.llm.piece_bpe import PieceCoder
 
 #: A block of documents ends with the one that brings it to so many links.
 BLOCK_LINKS = 2_000_000
-#: Parts kept with their ids in each Python worker, and the longest such part; texts encoded in one call.
-CACHED, CACHED_CHARS, ENCODED_AT_ONCE = 300_000, 40, 200
-#: Both vocabularies part words before a single space between two such characters.
-INNER_SPACE = re.compile(r"(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
+#: Parts met recently that each Python worker keeps with their ids (twice as many at most), and the longest such part.
+CACHED, CACHED_CHARS = 250_000, 40
+#: Ends compared one by one before a run is probed in steps of doubling length.
+SHORT_RUN = 4
+#: Both vocabularies part words before a single space or line end between two such characters.
+SEAM = re.compile(r"(?<=[!-~À-ɏ])(?=[ \n][!-~À-ɏ])")
+#: Characters on whose classes all versions of the splitting pattern agree.
+PLAIN = re.compile(r"[ \n!-~À-ÖØ-öø-ɏ]+").fullmatch
 #: A pair of ids as one number.
 PAIR = 1 << 32
 
@@ -51,7 +56,11 @@ def aligned(ends_a: np.ndarray, ends_b: np.ndarray) -> Iterator[tuple[int, int,
     i, j, n_a, n_b = 0, 0, len(list_a), len(list_b)
     while i < n_a:
         # At this shift j - i, how far do the ends agree?
-        most, run, step = min(n_a - i, n_b - j), 0, 1
+        most, run, step = min(n_a - i, n_b - j), 0, SHORT_RUN
+        while run < most and run < SHORT_RUN and list_a[i + run] == list_b[j + run]:
+            run += 1
+        if run < SHORT_RUN:
+            most = run
         while run < most:
             step = min(step, most - run)
             low_a, low_b = 8 * (i + run), 8 * (j + run)
@@ -84,64 +93,77 @@ class Aligner:
 
     def __init__(self, bytes_path: str, pieces_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import sentencepiece
+        import tiktoken
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self._bytes = Tokenizer.from_file(bytes_path)
         self._bytes.encode_special_tokens = True
-        self._pieces = PieceCoder(pieces_path)
+        self._pieces = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
         codes = {symbol: b for b, symbol in byte_symbols().items()}
         special = set(self._bytes.get_added_tokens_decoder())
         size = max(self._bytes.get_vocab().values()) + 1
         vocabulary = [self._bytes.id_to_token(k) for k in range(size)]
         self.tokens_a = [b"" if k in special or t is None else bytes(codes[c] for c in t) for k, t in enumerate(vocabulary)]
-        self.tokens_b = [s or b"" for s in self._pieces.surfaces]
+        ranks = {t: k for k, t in enumerate(self.tokens_a) if t}
+        #: The same merges without the cost of a full encoding, for parts of plain characters.
+        self._plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.tokens_b = [s or b"" for s in PieceCoder(pieces_path).surfaces]
         self._length_a = np.array([len(t) for t in self.tokens_a], dtype=np.int64)
         self._length_b = np.array([len(t) for t in self.tokens_b], dtype=np.int64)
-        self._decimal = [str(k) for k in range(max(size, len(self.tokens_b)))]
-        self._known: dict[str, bytes] = {}
-
-    def ids_a(self, text: str) -> np.ndarray:
-        """Ids of space + text by the byte vocabulary. Parts between inner spaces don't touch, so frequent ones are kept."""
-        parts, known = INNER_SPACE.split(text), self._known
-        missing = list({p for p in parts if p not in known})
-        if missing:
-            if len(known) > CACHED:
-                known.clear()
-                missing = list(set(parts))
-            fresh = {}
-            for k in range(0, len(missing), ENCODED_AT_ONCE):
-                some = missing[k : k + ENCODED_AT_ONCE]
-                for part, found in zip(some, self._bytes.encode_batch_fast([" " + p for p in some], add_special_tokens=False)):
-                    ids = np.array(found.ids, dtype="<i4").tobytes()
-                    (known if len(part) <= CACHED_CHARS else fresh)[part] = ids
-            if fresh:
-                return np.frombuffer(b"".join(known[p] if p in known else fresh[p] for p in parts), dtype="<i4")
-        return np.frombuffer(b"".join(map(known.__getitem__, parts)), dtype="<i4")
-
-    def ids_b(self, text: str) -> np.ndarray:
-        return np.frombuffer(self._pieces.encode(text), dtype="<i4")
+        self._text_a = np.array([f"{k}|" for k in range(size)], dtype=object)
+        self._text_b = np.array([f"{k};" for k in range(len(self.tokens_b))], dtype=object)
+        self._inner = np.array([f"{k}," for k in range(max(size, len(self.tokens_b)))], dtype=object)
+        self._known = Recent(CACHED)
+
+    def _encode(self, parts: list[str]) -> list[tuple[bytes, bytes] | tuple[()]]:
+        """Ids of each part in both vocabularies; nothing if their bytes are not those of the part.
+
+        The pieces put a space in front: the one that the part has, or one that stands alone before a line end.
+        """
+        result, tokens_a, tokens_b = [], self.tokens_a.__getitem__, self.tokens_b.__getitem__
+        for part, b in zip(parts, self._pieces.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)):
+            if part[0] != " ":
+                b = b[1:]
+            a = self._plain(part) if PLAIN(part) else self._bytes.encode(part, add_special_tokens=False).ids
+            data = part.encode()
+            same = b"".join(map(tokens_a, a)) == data and b"".join(map(tokens_b, b)) == data
+            result.append((array("i", a).tobytes(), array("i", b).tobytes()) if same else ())
+        return result
+
+    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of space + text by the byte vocabulary, of the text by the pieces; None if either's bytes differ from the text's.
+
+        Parts between seams don't touch in either vocabulary, so recent ones are kept.
+        """
+        parts, known = SEAM.split(" " + text), self._known
+        found = [known[p] for p in parts]
+        if None in found:
+            missing = list({p for p, ids in zip(parts, found) if ids is None})
+            fresh = dict(zip(missing, self._encode(missing)))
+            found = [fresh[p] if ids is None else ids for p, ids in zip(parts, found)]
+            for part, ids in fresh.items():
+                if len(part) <= CACHED_CHARS:
+                    known.keep(part, ids)
+        if () in found:
+            return None
+        return tuple(np.frombuffer(b"".join(own), dtype="i4") for own in zip(*found))
 
     def align(self, text: str | None) -> tuple[int, int, int, str, np.ndarray]:
         """(tokens A, tokens B, groups, groups as text, linked id pairs); nothing where the vocabularies' bytes differ from the text's."""
-        none = (0, 0, 0, "", np.zeros(0, dtype=np.int64))
-        if not text:
-            return none
-        a, b, whole = self.ids_a(text), self.ids_b(text), b" " + text.encode()
-        list_a, list_b = a.tolist(), b.tolist()
-        if b"".join(map(self.tokens_a.__getitem__, list_a)) != whole or b"".join(map(self.tokens_b.__getitem__, list_b)) != whole:
-            return none
+        found = self.ids(text) if text else None
+        if found is None:
+            return 0, 0, 0, "", np.zeros(0, dtype=np.int64)
+        a, b = found
         ends_a, ends_b = np.cumsum(self._length_a[a]), np.cumsum(self._length_b[b])
-        text_a, text_b = [self._decimal[k] for k in list_a], [self._decimal[k] for k in list_b]
-        groups, count, links_a, links_b = [], 0, [], []
+        runs, groups, links_a, links_b = [], [], [], []
+        list_a, list_b = ends_a.tolist(), ends_b.tolist()
         for i, j, n_a, n_b, single in aligned(ends_a, ends_b):
             if single:
-                count += n_a
-                groups.extend(map("|".join, zip(text_a[i : i + n_a], text_b[j : j + n_a])))
-                links_a.extend(range(i, i + n_a))
-                links_b.extend(range(j, j + n_a))
+                runs.append((i, j, n_a))
                 continue
-            count += 1
-            groups.append(",".join(text_a[i : i + n_a]) + "|" + ",".join(text_b[j : j + n_b]))
+            groups.append((i, j, n_a, n_b))
             if n_a == 1 or n_b == 1:
                 links_a.extend([i] * n_b if n_a == 1 else range(i, i + n_a))
                 links_b.extend([j] * n_a if n_b == 1 else range(j, j + n_b))
@@ -152,12 +174,38 @@ class Aligner:
                 links_b.append(q)
                 if p == i + n_a - 1 and q == j + n_b - 1:
                     break
-                if q == j + n_b - 1 or (p < i + n_a - 1 and ends_a[p] < ends_b[q]):
+                if q == j + n_b - 1 or (p < i + n_a - 1 and list_a[p] < list_b[q]):
                     p += 1
                 else:
                     q += 1
-        pairs = a[links_a].astype(np.int64) * PAIR + b[links_b]
-        return len(list_a), len(list_b), count, ";".join(groups), pairs
+        straight_a, straight_b = _places(runs)
+        from_a, from_b = np.concatenate((straight_a, np.array(links_a, dtype=np.int64))), np.concatenate((straight_b, np.array(links_b, dtype=np.int64)))
+        pairs = a[from_a].astype(np.int64) * PAIR + b[from_b]
+        return len(a), len(b), len(straight_a) + len(groups), self._written(a, b, straight_a, straight_b, groups), pairs
+
+    def _written(self, a: np.ndarray, b: np.ndarray, straight_a: np.ndarray, straight_b: np.ndarray, groups: list[tuple[int, int, int, int]]) -> str:
+        """The groups in order: a token comes after the tokens of its side, and after those of the other side in earlier groups (its own, too, for B)."""
+        last_a, last_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
+        last_a[straight_a], last_b[straight_b] = True, True
+        if groups:
+            i, j, n_a, n_b = np.array(groups, dtype=np.int64).T
+            last_a[i + n_a - 1], last_b[j + n_b - 1] = True, True
+        # Ends of groups, in order, on both sides; every token belongs to the group that ends next.
+        stop_a, stop_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        words = np.empty(len(a) + len(b), dtype=object)
+        words[np.arange(len(a)) + np.concatenate(([0], stop_b))[group_a]] = np.where(last_a, self._text_a[a], self._inner[a])
+        words[np.arange(len(b)) + stop_a[group_b]] = np.where(last_b, self._text_b[b], self._inner[b])
+        return "".join(words.tolist())[:-1]
+
+
+def _places(runs: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of both tokens of each pair in one-to-one stretches (a, b, length)."""
+    if not runs:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    start_a, start_b, lengths = np.array(runs, dtype=np.int64).T
+    within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return np.repeat(start_a, lengths) + within, np.repeat(start_b, lengths) + within
 
 
 def groups_of(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -69,3 +69,24 @@ def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = np.concatenate(([0.0], np.cumsum(values, dtype=np.float64)))
     ends = np.cumsum(lengths)
     return total[ends] - total[ends - lengths]
+
+
+class Recent(dict):
+    """Values of the keys met most recently: one full generation is set aside when the next begins, and what is met again returns."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self._most, self._older = most, {}
+
+    def __missing__(self, key):
+        """The value of a key that was set aside, or None."""
+        value = self._older.get(key)
+        if value is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self._most:
+            self._older = dict(self)
+            self.clear()
+        self[key] = value

@@ -39,6 +39,18 @@ def _bit(bitmap: Column, position: Column) -> Column:
     return F.get(F.array(*[byte.bitwiseAND(F.lit(1 << k)) for k in range(8)]), F.pmod(position, F.lit(8)).cast("int")) != 0
 
 
+def _refined(rows: DataFrame, filter_bits: int) -> DataFrame:
+    """``rows`` with ``alive``: whether their length and prefix hash leave open if another row has their text."""
+    cheap = rows.groupBy("norm_len", "prefix").agg(F.count(F.lit(1)).alias("n"))
+    lengths = cheap.groupBy("norm_len").agg(F.sum("n").alias("of_length")).where("of_length > 1").select("norm_len")
+    survive = cheap.where("n > 1").join(lengths, "norm_len", "left_semi").withColumn("slot", _slot(filter_bits))
+    bitmaps = survive.groupBy(F.floor(F.col("slot") / PER_BITMAP).alias("map")).agg(F.bitmap_construct_agg(F.pmod("slot", F.lit(PER_BITMAP))).alias("bits"))
+    bitmaps = F.broadcast(materialize(bitmaps, "length-prefix-bitmaps"))  # filter_bits / PER_BITMAP rows of 4 KB at most
+
+    rows = rows.withColumn("slot", _slot(filter_bits)).withColumn("map", F.floor(F.col("slot") / PER_BITMAP)).join(bitmaps, "map", "left")
+    return rows.withColumn("alive", F.coalesce(_bit(F.col("bits"), F.pmod("slot", F.lit(PER_BITMAP))), F.lit(False)))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False, filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -52,14 +64,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col(id_col).alias("doc_id"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("chars"), normalised(F.col(text_col)).alias("norm")
     ).select("doc_id", "chars", "norm", F.char_length("norm").alias("norm_len"), F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)).alias("prefix"))
 
-    cheap = rows.groupBy("norm_len", "prefix").agg(F.count(F.lit(1)).alias("n"))
-    lengths = cheap.groupBy("norm_len").agg(F.sum("n").alias("of_length")).where("of_length > 1").select("norm_len")
-    survive = cheap.where("n > 1").join(lengths, "norm_len", "left_semi").withColumn("slot", _slot(filter_bits))
-    bitmaps = survive.groupBy(F.floor(F.col("slot") / PER_BITMAP).alias("map")).agg(F.bitmap_construct_agg(F.pmod("slot", F.lit(PER_BITMAP))).alias("bits"))
-    bitmaps = F.broadcast(materialize(bitmaps, "length-prefix-bitmaps"))  # filter_bits / PER_BITMAP rows of 4 KB at most
-
-    rows = rows.withColumn("slot", _slot(filter_bits)).withColumn("map", F.floor(F.col("slot") / PER_BITMAP)).join(bitmaps, "map", "left")
-    rows = rows.withColumn("alive", F.coalesce(_bit(F.col("bits"), F.pmod("slot", F.lit(PER_BITMAP))), F.lit(False)))
+    rows = _refined(rows, filter_bits)
     hashed = rows.select("doc_id", "chars", "norm_len", "prefix", "alive", F.when(F.col("alive") | F.lit(digest_all), F.sha2("norm", 256)).alias("text_sha256"))
 
     # Repeated rows become one row with a count before anything is compared.
@@ -80,15 +85,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows repeated in id and normalised text, one.
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of equal texts the one that ``exact_groups`` keeps.
 
-    The choice among repeated rows is the first rank of a window, which Spark already cuts down before the shuffle.
+    Rows that length or prefix settle stay where they are read; only the others are hashed in full and compared. Null counts as empty
+    and equals other empty texts; ids may be null; of rows repeated in id and text one stays, the first by their other columns'
+    hash. An empty table gives no row. Columns may have any name. The choice is the first rank of a window, which Spark cuts
+    down to one row of a group in each task before the shuffle, so a group of very many copies does not meet whole.
     """
-    kept = exact_groups(docs, id_col, text_col, digest_all=True).where("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha"))
+    row = docs.select(F.struct("*").alias("row"))
     text = F.col(f"row.{text_col}")
-    rows = docs.select(F.struct("*").alias("row")).select("row", F.col(f"row.{id_col}").alias("id"), F.sha2(normalised(text), 256).alias("sha"))
-    first = Window.partitionBy("id", "sha").orderBy(F.char_length(text).desc(), text)
-    rows = rows.withColumn("rank", F.row_number().over(first)).where("rank = 1")
-    same = rows["id"].eqNullSafe(kept["keep_id"]) & (rows["sha"] == kept["keep_sha"])
-    return rows.join(kept, same, "left_semi").select("row.*")
+    norm = normalised(text)
+    rows = _refined(row.select("row", F.char_length(norm).alias("norm_len"), F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)).alias("prefix")), filter_bits)
+    open_rows = rows.where("alive").withColumn("sha", F.sha2(norm, 256))
+    chars, key = F.char_length(F.coalesce(text, F.lit(""))), F.col(f"row.{id_col}")
+    first = Window.partitionBy("norm_len", "prefix", "sha").orderBy(chars.desc(), key.asc_nulls_last(), text, F.xxhash64(F.to_json("row")))
+    best = open_rows.withColumn("rank", F.row_number().over(first)).where("rank = 1")
+    return rows.where("NOT alive").select("row.*").unionAll(best.select("row.*"))

@@ -89,12 +89,12 @@ def fit(sample: DataFrame, size: int, learn: Callable[[list[str], list[int]], tu
 class WordHashes:
     """A number for each word, by ``value``; those of frequent words are kept."""
 
-    def __init__(self, value: Callable[[str], float] = lambda word: xxhash.xxh64_intdigest(word), kind: type = np.uint64):
-        self._value, self._kind, self._known = value, kind, {}
+    def __init__(self, value: Callable[[str], float] = lambda word: xxhash.xxh64_intdigest(word), kind: type = np.uint64, most: int = CACHED_WORDS):
+        self._value, self._kind, self._known, self._most = value, kind, {}, most
 
     def __call__(self, words: list[str]) -> np.ndarray:
         known = self._known
-        if len(known) > CACHED_WORDS:
+        if len(known) > self._most:
             known.clear()
         for word in set(words).difference(known):
             known[word] = self._value(word)

@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provframe.llm.common import Recent
+
 #: Fixed value: the character that stands for a space in pieces.
 SPACE = "▁"
-#: Parts kept with their ids in each Python worker, and the longest such part.
-CACHED, CACHED_CHARS = 500_000, 40
+#: Parts met recently that each Python worker keeps with their ids (twice as many at most), and the longest such part.
+CACHED, CACHED_CHARS = 250_000, 40
 #: Compatibility of token pairs kept in each Python worker.
 CACHED_PAIRS = 2_000_000
+#: Whether the machine's own integers are those of the packed ids.
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: What a decoder writes for the unknown token, and for a byte that is no UTF-8.
 UNKNOWN, NO_TEXT = " ⁇ ", "�"
 
@@ -81,7 +87,7 @@ class PieceCoder:
         alone = "".join(re.escape(c) for c in map(chr, [*range(32), *range(127, 160)]) if c not in alphabet)
         self._parts = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]").findall
         self._compatible: dict[tuple[str, str], bool] = {}
-        self._known: dict[str, bytes] = {}
+        self._known = Recent(CACHED)
 
     _last_split: tuple[str, str] | None = None
 
@@ -139,47 +145,48 @@ class PieceCoder:
     def _table(self, part: str) -> list[str | None]:
         """The last token of every prefix; None where the prefix ends in a character of no piece, or is empty."""
         last: list[str | None] = [None] * (len(part) + 1)
-        compatible = self.compatible
+        known, compatible = self._compatible, self.compatible
+        done = -1
         for at, token in self._automaton.iter(part):
-            end = at + 1
-            if last[end] is None:
-                before = last[end - len(token)]
-                if before is None or compatible(before, token):
-                    last[end] = token
+            if at != done:
+                before = last[at + 1 - len(token)]
+                if before is None:
+                    last[at + 1], done = token, at
+                else:
+                    fits = known.get((before, token))
+                    if compatible(before, token) if fits is None else fits:
+                        last[at + 1], done = token, at
         return last
 
     def _encode_part(self, part: str) -> bytes:
         last, end, ids = self._table(part), len(part), []
+        own_ids = self._id
         while end:
             token = last[end]
-            own = None if token is None else self._id.get(token)
+            own = own_ids.get(token)
             if own is None:
                 ids.extend(self._byte_ids[b] for b in reversed((token or part[end - 1]).encode()))
+                end -= len(token or " ")
             else:
                 ids.append(own)
-            end -= len(token or " ")
-        return np.array(ids[::-1], dtype="<u4").tobytes()
+                end -= len(token)
+        ids.reverse()
+        return array("I", ids).tobytes() if LITTLE else np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         parts, known = self._parts(SPACE + text.replace(" ", SPACE)), self._known
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(known) > CACHED:
-            known.clear()
-        result = []
-        for part in parts:
-            ids = known.get(part)
-            if ids is None:
-                ids = self._encode_part(part)
-                if len(part) <= CACHED_CHARS:
-                    known[part] = ids
-            result.append(ids)
-        return b"".join(result)
+        found = [known[p] for p in parts]
+        if None in found:
+            for k, ids in enumerate(found):
+                if ids is None:
+                    part = parts[k]
+                    found[k] = ids = known[part] or self._encode_part(part)
+                    if len(part) <= CACHED_CHARS:
+                        known.keep(part, ids)
+        return b"".join(found)
 
     def decode(self, ids: list[int]) -> str:
         """The text of any ids, without the space that encoding puts in front."""

@@ -229,7 +229,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of ``docs`` for each component, with all its columns: the one with the smallest id, then the smallest text hash."""
+    """One row of ``docs`` for each component, with all its columns: the one with the smallest id, then the smallest text hash.
+
+    Null and empty texts have fingerprint zero and are near each other. Of rows repeated in id and text one stays, the first by a
+    hash of their other columns. Rows whose component has no id count as one group for each fingerprint. An empty table
+    gives no row. Columns may have any name.
+    """
     found = near_groups(docs, id_col, text_col, radius)
     last = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     # Rows without any id have component null and count as one component for each fingerprint.
@@ -237,6 +242,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = found.groupBy("component_id", group).agg(F.min(last).alias("best")).select(F.col("best.doc_id").alias("keep_id"), F.col("best.text_key").alias("keep_key"))
     text = F.coalesce(F.col(f"row.{text_col}"), F.lit(""))
     rows = docs.select(F.struct("*").alias("row")).select("row", F.col(f"row.{id_col}").cast("long").alias("id"), F.xxhash64(text).alias("text_key"))
-    one = Window.partitionBy("id", "text_key").orderBy(F.lit(1))
+    one = Window.partitionBy("id", "text_key").orderBy(F.xxhash64(F.to_json("row")))
     rows = rows.withColumn("rank", F.row_number().over(one)).where("rank = 1")
     return rows.join(kept, rows["id"].eqNullSafe(kept["keep_id"]) & (rows["text_key"] == kept["keep_key"]), "left_semi").select("row.*")

@@ -22,6 +22,8 @@ BITS = 20
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.5
 EPOCHS, ALPHA, L1, L2, BIAS = 6, 0.5, 1.0, 0.1, -7.0
+#: Words kept with their logits in each Python worker, next to the rows on their way.
+CACHED_LOGITS = 300_000
 
 #: Words, and what ends a sentence.
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]+")
@@ -72,8 +74,8 @@ def learn(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
         tokens, _, sentence, _ = instances([text], hashes)
         words = [known[t] if t in known else known.setdefault(t, features(t)) for t, before in zip(tokens, [None, *tokens]) if t[0] not in ENDS and t != before]
         if words:
-            at, back = np.unique(np.array([x for f in words for x in f]), return_inverse=True)
-            examples.append((at, back, np.repeat(sentence, [len(f) for f in words]), label))
+            at, back = np.unique(np.array([x for f in words for x in f], dtype=np.int32), return_inverse=True)
+            examples.append((at, back.astype(np.int32), np.repeat(sentence.astype(np.int32), [len(f) for f in words]), label))
     order = np.random.default_rng(1)
     for _ in range(EPOCHS):
         for k in order.permutation(len(examples)):
@@ -93,7 +95,7 @@ class Model:
 
     def word_logits(self) -> WordHashes:
         """The part of a word in its sentence's logit, kept by word; nan ends a sentence."""
-        return WordHashes(lambda word: float("nan") if word[0] in ENDS else float(self.weights[features(word)].sum()), np.float64)
+        return WordHashes(lambda word: float("nan") if word[0] in ENDS else float(self.weights[features(word)].sum()), np.float64, CACHED_LOGITS)
 
     def scores(self, texts: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Score of each text; score and text of each sentence."""
@@ -104,18 +106,27 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from the labelled documents that are not held out; ``rows`` of them at most."""
+    """Learns from the labelled documents that are not held out; ``rows`` of them at most.
+
+    Null texts count as empty and, like texts without words, teach nothing; repeated rows teach as often; labels of unknown ids and null
+    labels don't count. Without any label, or on an empty table, all words weigh zero.
+    """
     return Model(*fit(labelled_sample(docs, labels, "toxic", id_col, text_col, rows), 1 << BITS, learn))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, whole_row: bool = False) -> DataFrame:
     """score, predicted and offending for every row, after the columns ``keep`` (default: the id).
 
     ``offending`` lists the sentences with a score of at least the threshold as start:end in code points. Texts
     without words, null and empty ones included, score 0. Repeated rows are scored each; an empty table gives no row.
+    With ``whole_row`` the rows are one struct column that holds the text, which so travels once.
     """
-    rows = docs.select(*[F.col(c) for c in ([id_col] if keep is None else keep)], F.col(text_col).alias("scored_text"))
-    names = rows.columns[:-1]
+    if whole_row:
+        rows = docs
+        names = rows.columns
+    else:
+        rows = docs.select(*[F.col(c) for c in ([id_col] if keep is None else keep)], F.col(text_col).alias("scored_text"))
+        names = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = model.word_logits()
@@ -124,6 +135,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             texts: list[str] = []
             size = 0
             column = batch.column(batch.num_columns - 1)
+            if whole_row:
+                column = column.field(column.type.get_field_index(text_col))
             for k, text in enumerate(column):
                 texts.append(text.as_py() or "")
                 size += len(texts[-1])
@@ -140,21 +153,27 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     texts, size = [], 0
             scores = np.concatenate(found) if found else np.zeros(0)
             own = [pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32)), pa.array(marks, pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(batch.num_columns - 1)] + own, names=[*names, "score", "predicted", "offending"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(names))] + own, names=[*names, "score", "predicted", "offending"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(names)])
     return rows.mapInArrow(run, (kinds + ", " if kinds else "") + "score double, predicted int, offending string")
 
 
 def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted and offending for every row of ``docs``."""
+    """doc_id, held_out, score, predicted and offending for every row of ``docs``.
+
+    Null and empty texts and texts without words score 0. Texts of any length are scored whole. Repeated rows are scored each, equal
+    texts alike; null ids count as held out. An empty table gives no row; other columns are not read. See ``train`` for odd labels.
+    """
     found = score(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), train(docs, labels, id_col, text_col))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "offending")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns.
+
+    Null and empty texts and texts without words stay. Of repeated rows and equal texts all or none stay. An empty table gives no
+    row. Columns may have any name, as a row travels as one struct; ids are read for the labels only and may be null.
+    """
     model = train(docs, labels, id_col, text_col)
-    # The row travels as one struct, so its column names can't meet those of the scores.
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    return score(rows, model, keep=["row"]).where("predicted = 0").select("row.*")
+    return score(docs.select(F.struct("*").alias("row")), model, text_col=text_col, whole_row=True).where("predicted = 0").select("row.*")
