@@ -62,6 +62,8 @@ class KFrame:
     ``sizes``    sizes a clause may have, when known from the plan; one single
                  size means no clause can absorb another
     ``absorbed`` the frame holds canonical formulas
+    ``antichain`` no witness of any row contains another one's, so whatever is projected, no
+                 clause can absorb another
     """
 
     df: DataFrame
@@ -74,6 +76,7 @@ class KFrame:
     keyed: bool = False
     sizes: frozenset[int] | None = frozenset({0})
     absorbed: bool = False
+    antichain: bool = False
 
     # ---- shape -----------------------------------------------------------------
 
@@ -247,18 +250,24 @@ class KFrame:
         return self._product(self.df.join(right), other, leaves)
 
     def join(
-        self, other: "KFrame", on=None, where: str | Column | None = None, between: tuple | None = None
+        self, other: "KFrame", on=None, where: str | Column | None = None, between: tuple | None = None, overlaps: tuple | None = None
     ) -> "KFrame":
         """⨝: σ over ×. ``on`` is a predicate, or pairs ``[(left, right), ...]``.
 
-        ``between=(value, low, high, width)`` joins where an expression of this side lies
-        between two of the other. Rows of the other side are put into every bin of
-        ``width`` that their interval touches, rows of this side into the one of their value, so
-        two large sides meet in an equi-join on the bin. Choose ``width`` near the
-        length of most intervals; it does not change the result.
+        ``between=(value, low, high)`` joins where an expression of this side lies between two of the
+        other, ``overlaps=((low, high), (low, high))`` where a closed interval of this side has a value in common
+        with one of the other; see :mod:`provframe.operators.intervals`. A fourth member of ``between`` is
+        a fixed bin width, good where all intervals are about that long; it does not change the result.
         """
-        if between is not None:
+        if between is not None and len(between) == 4:
             return self._join_between(other, on, where, *between)
+        if between is not None or overlaps is not None:
+            from provframe.operators.intervals import between_join, overlap_join
+
+            extra = None if on is None and where is None else self._join_condition(other, on, where)
+            if overlaps is not None:
+                return overlap_join(self, other, extra, *overlaps)
+            return between_join(self, other, extra, *between)
         right, leaves = self._right_side(other)
         cond = self._join_condition(other, on, where)
         return self._product(self.df.join(right, cond, "inner"), other, leaves)
@@ -316,6 +325,7 @@ class KFrame:
             keyed=False,
             sizes=sizes,
             absorbed=False,
+            antichain=False,
         )
 
     union_all = msum
@@ -341,7 +351,11 @@ class KFrame:
         if weight is None:
             return replace(f, df=f.df.select(*keys).distinct(), merged=True)
         total = weight.total(F.col(WEIGHT) if f.weighted else None).alias(WEIGHT)
-        df = f.df.groupBy(*keys).agg(total)
+        if weight.staged:
+            part = f.df.select(*keys, *([F.col(WEIGHT)] if f.weighted else []), F.spark_partition_id().alias("__task")).groupBy(*keys, "__task").agg(total)
+            df = part.groupBy(*keys).agg(weight.plus(F.col(WEIGHT)).alias(WEIGHT))
+        else:
+            df = f.df.groupBy(*keys).agg(total)
         if not weight.zero_sum_free:
             df = df.where(~weight.is_zero(F.col(WEIGHT)))
         return replace(f, df=df, weighted=True, merged=True)
@@ -512,6 +526,58 @@ class KFrame:
 
         return group(self, by, aggregates)
 
+    def aggregate(self, by: Sequence[str], **aggregates: tuple[str, str]):
+        """ɣ with values that follow the provenance: an :class:`provframe.operators.valuation.Aggregated`."""
+        from provframe.operators.valuation import Aggregated
+
+        return Aggregated(self, tuple(by), aggregates)
+
+    def ranked(self, by: Sequence[str], order, rank: str | None = "rank", dense: str | None = None, running: Mapping[str, str] | None = None) -> "KFrame":
+        from provframe.operators.ordering import ranked
+
+        return ranked(self, by, order, rank, dense, running)
+
+    def top(self, k: int, by: Sequence[str], order) -> "KFrame":
+        from provframe.operators.ordering import top
+
+        return top(self, k, by, order)
+
+    def asof(self, other: "KFrame", on, left_time: str, right_time: str) -> "KFrame":
+        from provframe.operators.ordering import asof
+
+        return asof(self, other, on, left_time, right_time)
+
+    def semi(self, other: "KFrame", on, strategy: Dedup = Dedup.EXISTENCE) -> "KFrame":
+        from provframe.operators.extra import semi
+
+        return semi(self, other, on, strategy)
+
+    def not_in(self, attr: str, other: "KFrame", other_attr: str) -> "KFrame":
+        from provframe.operators.extra import not_in
+
+        return not_in(self, attr, other, other_attr)
+
+    def grouping_sets(self, sets: Sequence[Sequence[str]], name: str = "grouping") -> "KFrame":
+        from provframe.operators.extra import grouping_sets
+
+        return grouping_sets(self, sets, name)
+
+    def circuit(self):
+        """The relation with factored annotations: a :class:`provframe.operators.circuit.Circuit`."""
+        from provframe.operators.circuit import source
+
+        return source(self)
+
+    def without(self, deleted) -> "KFrame":
+        from provframe.operators.valuation import without
+
+        return without(self, deleted)
+
+    def specialise(self, target: Semiring, values=None) -> "KFrame":
+        from provframe.operators.valuation import specialise
+
+        return specialise(self, target, values)
+
 
 def check_results(attrs: Sequence[str], *names: str) -> None:
     """Refuse result columns that are called like an attribute."""

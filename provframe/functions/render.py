@@ -82,8 +82,10 @@ def _unmerged(frame: KFrame) -> KFrame:
     """Canonical witnesses, added up already only where absorption needs it or the frame is so anyway."""
     if not frame.semiring.symbolic:
         raise ValueError(f"{frame.semiring.name} has scalar annotations; use result()")
-    may_absorb = frame.semiring.weight is None and not frame.absorbed and (frame.sizes is None or len(frame.sizes) > 1)
-    return frame.absorb() if may_absorb else frame.canonical()
+    from provframe.operators.absorb import may_absorb
+
+    absorbs = frame.semiring.weight is None and not frame.absorbed and may_absorb(frame)
+    return frame.absorb() if absorbs else frame.canonical()
 
 
 def _parts(f: KFrame, order: Column, stretch: Column, body, max_terms: int, finish, name: str, part: str) -> DataFrame:

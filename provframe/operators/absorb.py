@@ -30,12 +30,17 @@ from provframe.functions.witness import NAMES
 KEY, VARIABLE = "__k", "__v"
 
 
+def may_absorb(frame: KFrame) -> bool:
+    """Whether a clause of the frame might contain another, as far as the plan tells."""
+    return not frame.antichain and (frame.sizes is None or len(frame.sizes) > 1)
+
+
 def absorb(frame: KFrame) -> KFrame:
     if frame.semiring.weight is not None or not frame.semiring.symbolic:
         return frame.merge()
     if frame.absorbed and frame.is_merged:
         return frame
-    if frame.sizes is not None and len(frame.sizes) <= 1:
+    if not may_absorb(frame):
         return replace(frame.merge(), absorbed=True)
 
     f = frame.as_names()

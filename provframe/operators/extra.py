@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provframe.frame import KFrame, _check_names, col_of, condition, tuple_key
-from provframe.functions.witness import WEIGHT
+from provframe.frame import Dedup, KFrame, _check_names, col_of, condition, tuple_key
+from provframe.functions.witness import WEIGHT, spaces_apart
 
 
 def _weight(f: KFrame) -> Column:
@@ -42,9 +42,13 @@ def anti(left: KFrame, right: KFrame, on=None, where=None, between=None) -> KFra
     With key pairs, the right side is reduced to its distinct keys; a condition
     on the right side alone is applied before that. A condition on both sides stays in
     the anti join, which ends at a row's first match and never makes pairs. Other predicates
-    have no key to deal rows by: their matches are found by a join and removed by key.
+    have no key to deal rows by: their matches are found by a join and removed by key. Tuples of ``right``
+    whose annotations add up to zero are not in its support.
     """
     left._need_same_semiring(right)
+    weight = right.semiring.weight
+    if weight is not None and not weight.zero_sum_free:
+        right = right.merge()
     clash = set(left.attrs) & set(right.attrs)
     if clash:
         raise ValueError(f"attribute(s) {sorted(clash)} on both sides; alias one side first")
@@ -69,11 +73,74 @@ def left_outer(left: KFrame, right: KFrame, on=None, where=None, between=None) -
 
     Spark's own outer join cannot split a hot key of the optional side; the
     inner join can, and the anti join meets each key once.
+
+    No absorption is needed where every left row has a witness of its own and shares no variables with the right: a clause of
+    the padded half is a row without a match, one of the inner half holds a row with a match, and the two are different rows.
     """
     inner = left.join(right, on, where, between)
     types = {f.name: f.dataType for f in right.df.schema.fields}
     padding = [F.lit(None).cast(types[a]).alias(a) for a in right.attrs]
-    return inner.msum(anti(left, right, on, where, between).project(*left.attrs, *padding))
+    both = inner.msum(anti(left, right, on, where, between).project(*left.attrs, *padding))
+    single = all(f.sizes is not None and len(f.sizes) == 1 for f in (left, right))
+    apart = not (left.has_names or right.has_names) and all(spaces_apart(a.space, b.space) for a in left.leaves for b in right.leaves)
+    return replace(both, antichain=left.keyed and bool(left.leaves) and left._leaves_apart() and single and apart)
+
+
+def semi(left: KFrame, right: KFrame, on, strategy=Dedup.EXISTENCE) -> KFrame:
+    """⋉, a correlated EXISTS or an IN: left tuples with a match, times δ of the matches.
+
+    EXISTENCE leaves the left annotation as it is; HOW_PROVENANCE multiplies it by the sum of the matching tuples'
+    annotations, so it says why the match is there. The right side is reduced to its keys first, added up in scalar semirings.
+    """
+    left._need_same_semiring(right)
+    pairs = left._pairs(right, on)
+    if strategy is Dedup.HOW_PROVENANCE:
+        keys = right.early(*dict.fromkeys(b for _, b in pairs))
+        return left.join(keys, pairs).project(*left.attrs)
+    names = list(dict.fromkeys(b for _, b in pairs))
+    keys = right.project(*names).support().select(*[col_of(b).alias(f"__s{i}") for i, b in enumerate(names)])
+    cond = F.lit(True)
+    for a, b in pairs:
+        cond = cond & (col_of(a) == F.col(f"__s{names.index(b)}"))
+    return replace(left, df=left.df.join(keys, cond, "left_semi"))
+
+
+def not_in(left: KFrame, attr: str, right: KFrame, other: str) -> KFrame:
+    """NOT IN with SQL's NULLs: nothing passes if the right side holds a NULL, and a NULL passes only an empty right side.
+
+    Annotations are those of the left side. The two facts about the right side are one row.
+    """
+    left._need_same_semiring(right)
+    left._need([attr])
+    right._need([other])
+    keys = right.project(other).support().select(col_of(other).alias("__s"))
+    facts = keys.agg(F.count(F.lit(1)).alias("__rows"), F.count("__s").alias("__known"))
+    passing = (F.col("__rows") == 0) | ((F.col("__rows") == F.col("__known")) & col_of(attr).isNotNull())
+    df = left.df.join(keys, col_of(attr) == F.col("__s"), "left_anti").crossJoin(F.broadcast(facts)).where(passing)  # one row
+    return replace(left, df=df.drop("__rows", "__known"))
+
+
+def grouping_sets(frame: KFrame, sets: Sequence[Sequence[str]], name: str = "grouping") -> KFrame:
+    """π onto several attribute lists at once: left-out attributes are NULL, and ``name`` is SQL's GROUPING_ID over all of them.
+
+    Scalar semirings add up the finest tuples first, so the input moves once and its copies are made of
+    partial sums; symbolic ones copy each witness without the attributes left out.
+    """
+    attrs = list(dict.fromkeys(a for s in sets for a in s))
+    if not sets or not attrs:
+        raise ValueError("grouping sets need an attribute")
+    frame._need(attrs)
+    _check_names([*attrs, name])
+    f = frame.early(*attrs)
+    types = {x.name: x.dataType for x in f.df.schema.fields}
+    rows = []
+    for own in sets:
+        values = [(col_of(a) if a in own else F.lit(None).cast(types[a])).alias(a) for a in attrs]
+        number = sum(1 << (len(attrs) - 1 - i) for i, a in enumerate(attrs) if a not in own)
+        rows.append(F.struct(*values, F.lit(number).cast("bigint").alias(name)))
+    copies = f.df.select(F.explode(F.array(*rows)).alias("__row"), *f.annotation_columns)
+    df = copies.select(*[F.col("__row")[a].alias(a) for a in [*attrs, name]], *f.annotation_columns)
+    return replace(f, df=df, attrs=(*attrs, name), merged=False, keyed=False, absorbed=False)
 
 
 def _need_same_schema(left: KFrame, right: KFrame) -> None:
@@ -161,15 +228,7 @@ def divide(left: KFrame, right: KFrame) -> KFrame:
 AGGREGATES = ("COUNT", "SUM", "AVG", "MIN", "MAX")
 
 
-def group(frame: KFrame, by: Sequence[str], aggregates: Mapping[str, tuple[str, str]]) -> KFrame:
-    """ɣ: ``group(["a"], total=("SUM", "x"), rows=("COUNT", "*"))``.
-
-    N aggregates with multiplicities, B over distinct tuples; both give each
-    group the annotation one. Symbolic semirings take the values over the
-    support and annotate the group as projection onto ``by`` does.
-    """
-    by = list(by)
-    frame._need(by)
+def check_aggregates(frame: KFrame, aggregates: Mapping[str, tuple[str, str]]) -> None:
     if not aggregates:
         raise ValueError("grouping needs at least one aggregate")
     for fn, attr in aggregates.values():
@@ -179,6 +238,19 @@ def group(frame: KFrame, by: Sequence[str], aggregates: Mapping[str, tuple[str,
             frame._need([attr])
         elif fn.upper() != "COUNT":
             raise ValueError(f"{fn}(*) has no meaning")
+
+
+def group(frame: KFrame, by: Sequence[str], aggregates: Mapping[str, tuple[str, str]]) -> KFrame:
+    """ɣ: ``group(["a"], total=("SUM", "x"), rows=("COUNT", "*"))``.
+
+    N aggregates with multiplicities, B over distinct tuples; both give each
+    group the annotation one. Symbolic semirings take the values over the
+    support and annotate the group as projection onto ``by`` does; where the values are to follow
+    the provenance, use :meth:`KFrame.aggregate`.
+    """
+    by = list(by)
+    frame._need(by)
+    check_aggregates(frame, aggregates)
     names = by + list(aggregates)
     _check_names(names)
     keys = [col_of(a) for a in by]

@@ -94,14 +94,14 @@ in_all(
     [var("supplier"), var("nation")],
 )
 in_all(
-    "join_range_days",  # both sides grow: line items shipped within two days of a large order
-    lambda t: t.lineitem.where("l_linenumber = 7").join(
-        t.orders.where("o_totalprice > 450000"),
-        between=("unix_date(DATE(l_shipdate))", "unix_date(DATE(o_orderdate))", "unix_date(DATE(o_orderdate)) + 2", 3),
+    "join_range_days",  # both sides grow: line items shipped within two days of an order and worth a fifth of it
+    lambda t: t.lineitem.join(
+        t.orders,
+        between=("unix_date(DATE(l_shipdate))", "unix_date(DATE(o_orderdate))", "unix_date(DATE(o_orderdate)) + 2"),
         where="l_extendedprice > o_totalprice / 5",
     ).project("l_returnflag", "o_orderpriority"),
     "l_returnflag, o_orderpriority",
-    "lineitem, orders WHERE l_linenumber = 7 AND o_totalprice > 450000 AND l_extendedprice > o_totalprice / 5 "
+    "lineitem, orders WHERE l_extendedprice > o_totalprice / 5 "
     "AND l_shipdate::DATE BETWEEN o_orderdate::DATE AND o_orderdate::DATE + 2",
     [var("lineitem"), var("orders")], stats=True,
 )
@@ -596,6 +596,20 @@ register(
     lambda s, d: mod4_orders(s, d).project("o_custkey").dedup(EXISTS).result(),
     "SELECT o_custkey, 1::BIGINT AS n FROM (SELECT o_custkey, o_orderkey % 4 AS w FROM orders) GROUP BY o_custkey HAVING sum(w) % 4 <> 0",
 )
+register(
+    "mod4_anti",  # an order status whose orders of a customer add up to zero is no match
+    lambda s, d: mod4_customers(s, d).anti(mod4_orders(s, d).project("o_custkey"), [("c_custkey", "o_custkey")]).result(),
+    f"SELECT c_custkey, c_nationkey, {_MOD4} FROM (SELECT c_custkey, c_nationkey, c_custkey % 4 AS w FROM customer "
+    "WHERE c_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING sum(o_orderkey % 4) % 4 <> 0)) "
+    "GROUP BY ALL HAVING sum(w) % 4 <> 0",
+)
+register(
+    "mod4_outer",
+    lambda s, d: mod4_customers(s, d).left_outer(mod4_orders(s, d), [("c_custkey", "o_custkey")]).project("c_nationkey", "o_orderstatus").result(),
+    f"WITH o AS (SELECT o_custkey, o_orderstatus, sum(o_orderkey % 4) % 4 AS w FROM orders GROUP BY ALL HAVING sum(o_orderkey % 4) % 4 <> 0) "
+    f"SELECT c_nationkey, o_orderstatus, {_MOD4} FROM (SELECT c_nationkey, o_orderstatus, (c_custkey % 4) * coalesce(o.w, 1) % 4 AS w "
+    "FROM customer LEFT JOIN o ON c_custkey = o_custkey) GROUP BY ALL HAVING sum(w) % 4 <> 0",
+)
 register(
     "min_plus",  # cheapest way to each nation: an order and its customer
     lambda s, d: weighted(s, d, MIN_PLUS, "orders", ["o_custkey"], "CAST(o_orderkey AS DOUBLE)")

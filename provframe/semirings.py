@@ -46,7 +46,13 @@ class Weight:
     ``zero_sum_free``: nothing but zeros adds up to zero. ``zero_divisor_free``:
     nothing but zero multiplies to zero. Without these promises sums and products
     are filtered, as a tuple annotated with zero is absent. ``valid`` says of a
-    given number whether it is an element at all.
+    given number whether it is an element at all. ``natural`` maps a natural number to the
+    one added so often, which :func:`provframe.operators.valuation.specialise` needs for coefficients. ``lattice``
+    promises that both operations are idempotent and absorb each other.
+
+    Elements may be arrays and structs; ``zero`` and ``one`` are then functions that give a Column. With ``staged`` the
+    rows of a tuple are added up in each task before they move, for sums whose aggregate would otherwise collect them: what moves
+    is one element for each task and tuple.
     """
 
     dtype: str
@@ -58,6 +64,9 @@ class Weight:
     zero_sum_free: bool = False
     zero_divisor_free: bool = False
     valid: Callable[[Column], Column] | None = None
+    natural: Callable[[Column], Column] | None = None
+    lattice: bool = False
+    staged: bool = False
 
     def given(self, value: Column) -> Column:
         """A number from outside as an element; raises for NULL and for what isn't one."""
@@ -66,10 +75,10 @@ class Weight:
         return F.when(fine, value.cast(self.dtype)).otherwise(refuse.cast(self.dtype))
 
     def lit_one(self) -> Column:
-        return F.lit(self.one).cast(self.dtype)
+        return (self.one() if callable(self.one) else F.lit(self.one)).cast(self.dtype)
 
     def lit_zero(self) -> Column:
-        return F.lit(self.zero).cast(self.dtype)
+        return (self.zero() if callable(self.zero) else F.lit(self.zero)).cast(self.dtype)
 
     def is_zero(self, value: Column) -> Column:
         return value == self.lit_zero()
@@ -93,6 +102,7 @@ COUNTS = Weight(
     zero_sum_free=True,
     zero_divisor_free=True,
     valid=lambda c: (c >= 0) & (c == F.floor(c)),
+    natural=lambda c: c,
 )
 
 
