@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from provframe.llm import packing, queries, toxicity
 from provframe.llm.common import materialize, read_table
@@ -45,4 +48,20 @@ def test_stages_follow_brute_force(spark):
 
 
 def test_every_dealt_operator_has_one_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
+
+
+@pytest.mark.parametrize("rows", [True, False])
+def test_the_whole_chain_takes_odd_rows_and_empty_tables(spark, odd_docs, tmp_path, rows):
+    docs = odd_docs.where("text IS NULL OR length(text) < 60000").select("doc_id", "text", "lang", F.lit(None).cast("string").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    if not rows:
+        docs = docs.limit(0)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1), (4, None, None)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # Null and white space are one text, "one two" and "One  two" another; the 9,000 words are cut into pieces of 4,096 tokens.
+    pieces = {}
+    for r in found:
+        pieces.setdefault(r.doc_id, []).append((r.piece, r.length))
+    assert sorted(pieces, key=str) == ([2, 3, 4, 7, 8] if rows else [])
+    assert all(sorted(n for n, _ in p) == list(range(len(p))) for p in pieces.values())
