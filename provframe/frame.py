@@ -148,10 +148,12 @@ class KFrame:
         names = self.df.select(*cols).columns
         _check_names(names)
         plain = all(isinstance(i, str) for i in flat)
+        kept = {i for i in flat if isinstance(i, str)}
         return replace(
             self,
             df=self.df.select(*cols, *self.annotation_columns),
             attrs=tuple(names),
+            leaves=tuple(replace(x, named=tuple(a for a in x.named if a in kept)) for x in self.leaves),
             merged=self.merged and plain and set(names) == set(self.attrs),
             absorbed=self.absorbed and plain and set(names) == set(self.attrs),
         )
@@ -172,7 +174,8 @@ class KFrame:
         names = [mapping.get(a, a) for a in self.attrs]
         _check_names(names)
         cols = [col_of(a).alias(n) for a, n in zip(self.attrs, names)]
-        return replace(self, df=self.df.select(*cols, *self.annotation_columns), attrs=tuple(names))
+        leaves = tuple(replace(x, named=tuple(mapping.get(a, a) for a in x.named)) for x in self.leaves)
+        return replace(self, df=self.df.select(*cols, *self.annotation_columns), attrs=tuple(names), leaves=leaves)
 
     def alias(self, name: str, sep: str = "_") -> "KFrame":
         """ρ on the relation: every attribute ``a`` becomes ``name_a``.
@@ -384,7 +387,7 @@ class KFrame:
         cols = self.key_columns + [
             changed.get(c, F.col(c)) for c in self.annotation_columns
         ]
-        leaves = tuple(replace(x, optional=True) if x.column in changed else x for x in self.leaves)
+        leaves = tuple(replace(x, optional=True, named=()) if x.column in changed else x for x in self.leaves)
         return replace(self, df=self.df.select(*cols), leaves=leaves)
 
     def as_names(self) -> "KFrame":
@@ -451,10 +454,15 @@ class KFrame:
 
         return terms(self, name)
 
-    def text(self, max_terms: int | None = None, name: str = "annotation", part: str = "part") -> DataFrame:
+    def text(self, max_terms: int | None = None, name: str = "annotation", part: str = "part", spread: bool = False) -> DataFrame:
         from provframe.functions.render import text
 
-        return text(self, max_terms, name, part)
+        return text(self, max_terms, name, part, spread)
+
+    def numbered(self, name: str = "term", number: str = "number") -> DataFrame:
+        from provframe.functions.render import numbered
+
+        return numbered(self, name, number)
 
     def packed(self, max_terms: int | None = None, name: str = "annotation", part: str = "part") -> DataFrame:
         from provframe.functions.render import packed
@@ -623,6 +631,7 @@ def _align(left: KFrame, right: KFrame) -> tuple[KFrame, KFrame]:
             replace(
                 x,
                 column=leaf_column(s),
+                named=(),
                 optional=any(
                     s not in taken or side.leaves[taken[s]].optional
                     for side, taken in zip((left, right), places)

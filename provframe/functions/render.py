@@ -5,8 +5,10 @@ may own a large share of all terms. ``text`` and ``packed`` therefore number the
 terms of every tuple in canonical order and put ``max_terms`` of them in a part:
 read in order, the parts are the canonical formula, whatever its size. Terms are
 numbered within stretches of the order that begin alike, and the stretches of a
-tuple are added up, so no tuple has to be sorted in one task. ``stats`` and
-``terms`` have no large cells at all.
+tuple are added up, so a tuple is sorted in as many tasks as its terms have beginnings. Where one
+tuple has a large share of all terms and these begin alike for long, ``text(spread=True)`` and
+``numbered`` order them in ranges instead, which are written once. ``stats`` and ``terms`` have no
+large cells at all.
 """
 
 from __future__ import annotations
@@ -137,12 +139,35 @@ def _tuple_id(attrs) -> Column:
     return F.struct(F.xxhash64(marks, *columns).alias("a"), F.xxhash64(F.lit("second"), *columns, marks).alias("b"))
 
 
-def text(frame: KFrame, max_terms: int | None = None, name: str = "annotation", part: str = "part") -> DataFrame:
+def numbered(frame: KFrame, name: str = TERM, number: str = "number") -> DataFrame:
+    """The terms of every tuple with their place in canonical order, from 0.
+
+    Terms are dealt by ranges of (tuple, order) and written with the number of their range, so a tuple of any size is
+    ordered by many tasks, whatever its terms look like.
+    """
+    from provframe.operators.ordering import BY, before, in_ranges
+
+    f = _symbolic(frame)
+    check_results(f.attrs, name, number)
+    term, order = _term_columns(f)
+    rows = f.df.select(*f.key_columns, _tuple_id(f.attrs).alias(BY), order.alias(ORDER), term.alias(name))
+    found = before(in_ranges(rows, [(ORDER, False)]), [(ORDER, False)], {"__n": F.lit(1).cast("bigint")})
+    return found.select(*f.key_columns, F.coalesce("__n", F.lit(0).cast("bigint")).alias(number), name)
+
+
+def text(frame: KFrame, max_terms: int | None = None, name: str = "annotation", part: str = "part", spread: bool = False) -> DataFrame:
     """Canonical text per tuple: ``(a ∧ b) ∨ (c)`` or ``2·t1^2 + t1·t3``.
 
     Term number k of a tuple, from 0 in canonical order, is in part ``k / max_terms``;
-    the parts of a tuple, joined in order, are its canonical text.
+    the parts of a tuple, joined in order, are its canonical text. ``spread`` orders the terms by
+    :func:`numbered`, for tuples with very many terms that begin alike; the result is the same.
     """
+    if spread:
+        check_results(frame.attrs, name, part)
+        rows = numbered(frame, "__term", "__number").withColumn(part, F.floor(F.col("__number") / F.lit(max_terms or DEFAULT_MAX_TERMS)).cast("int"))
+        keys = frame.key_columns
+        grouped = rows.groupBy(*keys, part).agg(F.sort_array(F.collect_list(F.struct("__number", "__term"))).alias(BODY))  # max_terms at most
+        return grouped.select(*keys, part, F.array_join(F.col(BODY)["__term"], " + " if frame.semiring.keeps_exponents else " ∨ ").alias(name))
     f = _unmerged(frame)
     exponents = f.semiring.keeps_exponents
     order = _term_columns(f)[1]

@@ -26,12 +26,16 @@ LEAF_PREFIX = "__w"
 
 @dataclass(frozen=True)
 class Leaf:
-    """One struct column of row identifiers drawn from the variable space ``space``."""
+    """One struct column of row identifiers drawn from the variable space ``space``.
+
+    ``named`` are attributes of the frame that hold identifiers of the leaf in every row.
+    """
 
     column: str
     space: str
     ids: T.StructType
     optional: bool = False  # NULL in some rows
+    named: tuple[str, ...] = ()
 
     @property
     def kind(self) -> tuple[str, str]:
@@ -39,7 +43,7 @@ class Leaf:
         return self.space, self.ids.simpleString()
 
     def at(self, column: str) -> "Leaf":
-        return Leaf(column, self.space, self.ids, self.optional)
+        return Leaf(column, self.space, self.ids, self.optional, self.named)
 
 
 def leaf_column(i: int) -> str:

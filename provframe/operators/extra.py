@@ -74,8 +74,9 @@ def left_outer(left: KFrame, right: KFrame, on=None, where=None, between=None) -
     Spark's own outer join cannot split a hot key of the optional side; the
     inner join can, and the anti join meets each key once.
 
-    No absorption is needed where every left row has a witness of its own and shares no variables with the right: a clause of
-    the padded half is a row without a match, one of the inner half holds a row with a match, and the two are different rows.
+    No absorption is needed where a left row's witness decides whether it has a match, as it has the row's join key or belongs to
+    one row alone, and shares no variables with the right: a clause of the padded half is a witness without a match, one of the
+    inner half holds a witness with a match, and neither is inside the other.
     """
     inner = left.join(right, on, where, between)
     types = {f.name: f.dataType for f in right.df.schema.fields}
@@ -83,7 +84,10 @@ def left_outer(left: KFrame, right: KFrame, on=None, where=None, between=None) -
     both = inner.msum(anti(left, right, on, where, between).project(*left.attrs, *padding))
     single = all(f.sizes is not None and len(f.sizes) == 1 for f in (left, right))
     apart = not (left.has_names or right.has_names) and all(spaces_apart(a.space, b.space) for a in left.leaves for b in right.leaves)
-    return replace(both, antichain=left.keyed and bool(left.leaves) and left._leaves_apart() and single and apart)
+    named = {a for x in left.leaves for a in x.named}
+    by_key = between is None and _is_pairs(on) and named.issuperset(a for a, _ in left._pairs(right, on))
+    decides = left.keyed or by_key and (where is None or _of_right_alone(right, where))
+    return replace(both, antichain=decides and bool(left.leaves) and left._leaves_apart() and single and apart)
 
 
 def semi(left: KFrame, right: KFrame, on, strategy=Dedup.EXISTENCE) -> KFrame:

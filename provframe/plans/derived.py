@@ -196,6 +196,15 @@ register(
     ),
 )
 
+register(
+    "text_spread_bx",  # terms ordered in ranges
+    lambda s, d: tables(s, d, "B[X]").lineitem.project("l_returnflag").text(max_terms=1000, spread=True),
+    (
+        "SELECT l_returnflag, part, string_agg(t, ' ∨ ' ORDER BY t) AS annotation FROM (SELECT *, ((row_number() OVER (PARTITION BY l_returnflag ORDER BY t) - 1) // 1000)::INTEGER AS part "
+        f"FROM (SELECT DISTINCT l_returnflag, '(' || {var('lineitem')} || ')' AS t FROM lineitem)) GROUP BY ALL"
+    ),
+)
+
 # ---- as-of and overlap joins, semi-joins, grouping sets -------------------------------------
 
 in_all(

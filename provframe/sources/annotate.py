@@ -67,7 +67,7 @@ def annotate(
     if weighted:
         out = out.where(~semiring.weight.is_zero(F.col(WEIGHT)))
     if semiring.symbolic and table is not None:
-        leaves = (Leaf(name, table, out.schema[name].dataType),)
+        leaves = (Leaf(name, table, out.schema[name].dataType, named=tuple(a for a in ids or () if a in attrs)),)
     return KFrame(
         out,
         attrs,

@@ -90,6 +90,10 @@ def test_outer_join_of_rows_with_own_variables_needs_no_absorption(spark):
     assert not shared.left_outer(right, [("k", "j")]).antichain
     assert collected(shared.left_outer(right, [("k", "j")]).project("g")) == {("x",): "(l_x)"}
     assert not joined.msum(joined).antichain
+    keyed = annotate(spark.createDataFrame([(1, "x"), (1, "y"), (2, "x")], "k int, g string"), BX, "l", ["k"])
+    assert keyed.left_outer(right, [("k", "j")]).antichain and not keyed.left_outer(right, [("k", "j")], where="g = 'x'").antichain
+    assert collected(keyed.left_outer(right, [("k", "j")]).project("g")) == {("x",): "(l_1 ∧ r_1_\\N) ∨ (l_2)", ("y",): "(l_1 ∧ r_1_\\N)"}
+    assert not keyed.project("g", F.lit(1).alias("k")).left_outer(right, [("k", "j")]).antichain
 
 
 # ---- valuations and aggregates ----------------------------------------------------------------
@@ -217,6 +221,23 @@ def test_one_hot_key_is_ordered_by_many_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("semiring", [BX, NX], ids=["B[X]", "N[X]"])
+def test_a_hot_tuple_whose_terms_begin_alike_is_ordered_by_many_tasks(spark, semiring):
+    begin = "x" * 60
+    df = spark.range(20_000).selectExpr(f"concat('{begin}', id) AS v", "CASE WHEN id % 10 = 0 THEN id ELSE 0 END AS k")
+    f = annotate(df, semiring, "t", ["v"], keep=["k"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread, plain = f.text(max_terms=500, spread=True), f.text(max_terms=500)
+        assert spread.columns == plain.columns
+        assert sorted(tuple(r) for r in spread.collect()) == sorted(tuple(r) for r in plain.collect())
+        found = f.numbered().where("k = 0")
+        tasks = found.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+        assert len(tasks) >= 2 and max(r["count"] for r in tasks) < 18_001 * 0.9
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_top_cuts_multiplicities(spark):
     rows = bags(60, 5)
     f = frame(spark, N, "k string, o int, v int", [(t, {(): n}) for t, n in rows.items()])

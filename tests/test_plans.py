@@ -132,6 +132,14 @@ def test_every_query_has_an_oracle():
     assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
 
 
+def test_an_outer_join_of_own_variables_is_not_absorbed(spark):
+    plan = catalogue.QUERIES["x_outer_bx"](spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toString()
+    assert "__ak" not in plan
+    planned = catalogue.QUERIES["x_outer_bx"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    # Two joins, and twice the moves that text() makes of its rows and counts.
+    assert planned.count("Exchange hashpartitioning") <= 16
+
+
 def test_shuffles_fit_what_they_move(spark):
     try:
         session.tune(spark, 10 * 2**40)
