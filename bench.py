@@ -1,8 +1,9 @@
 """Times the headline queries; prints one JSON line.
 
-Each query runs once to warm up, then BENCH_REPS times (default 3); the median
-counts. ``ratios`` divides symbolic by plain times, the only figure that is
-comparable across machines and data sizes.
+All queries run once, which is thrown away, and then in BENCH_REPS rounds (default 3), so the runs of a symbolic query lie
+next to those of its plain partner; the median counts. ``ratios`` divides the times of a pair in each round and takes the
+median, ``spread`` is the largest over the smallest of these: only ratios are comparable across machines and
+data sizes. ``consumed`` times selection and product alone: their rows with all witness columns, no text.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from provframe import tune  # noqa: E402
 from provframe.plans.catalogue import QUERIES  # noqa: E402
+from provframe.plans.registry import tables  # noqa: E402
+from provframe.plans.workloads import cross_dense, selection_control  # noqa: E402
 
 HEADLINE = [
     *[f"b{i}_{s}" for i in range(1, 6) for s in ("nat", "bx")],
@@ -53,14 +56,22 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     tune(spark)
-    times: dict[str, float] = {}
-    for name in HEADLINE:
-        runs = []
-        for _ in range(reps + 1):
+    tables_of = lambda semiring: tables(spark, path, semiring)
+    alone = {
+        f"{name}_{tag}": (lambda plan=plan, semiring=semiring: plan(tables_of(semiring)).df)
+        for name, plan in (("select", selection_control), ("product", cross_dense))
+        for tag, semiring in (("nat", "N"), ("bx", "B[X]"))
+    }
+    jobs = {name: (lambda name=name: QUERIES[name](spark, path)) for name in HEADLINE} | alone
+    runs: dict[str, list[float]] = {name: [] for name in jobs}
+    for _ in range(reps + 1):
+        for name, job in jobs.items():
             start = time.perf_counter()
-            QUERIES[name](spark, path).write.format("noop").mode("overwrite").save()
-            runs.append(time.perf_counter() - start)
-        times[name] = round(statistics.median(runs[1:]), 3)
+            job().write.format("noop").mode("overwrite").save()
+            runs[name].append(time.perf_counter() - start)
+    runs = {name: own[1:] for name, own in runs.items()}
+    median = {name: round(statistics.median(own), 3) for name, own in runs.items()}
+    times = {name: median[name] for name in HEADLINE}
     scaling = {}
     for folder in sorted(Path(path).parent.glob("sf*"), key=lambda f: float(f.name[2:])):
         for name in ("q3_bool", "q3_bx"):
@@ -68,17 +79,17 @@ def main() -> None:
             QUERIES[name](spark, str(folder)).write.format("noop").mode("overwrite").save()
             scaling[f"{name}@{folder.name}"] = round(time.perf_counter() - start, 3)
     spark.stop()
-    ratios = {}
+    ratios, spread = {}, {}
     for name, plain in (
         [(f"b{i}", "nat") for i in range(1, 6)]
         + [(q, "bool") for q in ("q3", "q5", "q7", "q10", "q11", "q16", "q18", "q19")]
-        + [(q, "nat") for q in ("b11", "cross", "b6", "b9")]
+        + [(q, "nat") for q in ("b11", "cross", "b6", "b9", "select", "product")]
     ):
         for symbolic in ("bx", "bx_exists"):
-            if f"{name}_{symbolic}" in times:
-                ratios[f"{name}_{symbolic}/{plain}"] = round(
-                    times[f"{name}_{symbolic}"] / times[f"{name}_{plain}"], 2
-                )
+            if f"{name}_{symbolic}" in runs:
+                each = [a / b for a, b in zip(runs[f"{name}_{symbolic}"], runs[f"{name}_{plain}"])]
+                ratios[f"{name}_{symbolic}/{plain}"] = round(statistics.median(each), 2)
+                spread[f"{name}_{symbolic}/{plain}"] = round(max(each) / min(each), 2)
     print(
         json.dumps(
             {
@@ -87,6 +98,8 @@ def main() -> None:
                 "unit": "sec",
                 "queries": times,
                 "ratios": ratios,
+                "spread": spread,
+                "consumed": {name: median[name] for name in alone},
                 "scaling": scaling,
                 "sf": Path(path).name.removeprefix("sf"),
             }

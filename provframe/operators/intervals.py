@@ -40,9 +40,9 @@ def bin_of(x: Column, level: Column) -> Column:
     return F.floor(F.greatest(F.least(place, F.lit(LARGEST_BIN)), F.lit(-LARGEST_BIN))).cast("bigint")
 
 
-def _levels(rows: DataFrame, low: Column, high: Column) -> DataFrame:
-    """One row: the levels that occur."""
-    return rows.agg(F.collect_set(level_of(low, high)).alias("__levels"))
+def _levels(rows: DataFrame, level: Column) -> Column:
+    """The levels that occur, as a scalar subquery: at most one for each power of two."""
+    return rows.agg(F.collect_set(level).alias("__levels")).scalar()
 
 
 def _with_bins(rows: DataFrame, low: Column, high: Column, level: str, bin_name: str) -> DataFrame:
@@ -56,7 +56,7 @@ def between_join(left: KFrame, right: KFrame, extra: Column | None, value, low,
     value, low, high = (condition(x) for x in (value, low, high))
     other, leaves = left._right_side(right)
     binned = _with_bins(other.withColumn(LEVEL, level_of(low, high)), low, high, LEVEL, BIN)
-    asking = left.df.where(value.isNotNull()).crossJoin(F.broadcast(_levels(other, low, high)))  # one row
+    asking = left.df.where(value.isNotNull()).withColumn("__levels", _levels(other, level_of(low, high)))
     asking = asking.withColumn(OWN_LEVEL, F.explode("__levels")).drop("__levels").withColumn(OWN_BIN, bin_of(value, F.col(OWN_LEVEL)))
     cond = (F.col(OWN_LEVEL) == F.col(LEVEL)) & (F.col(OWN_BIN) == F.col(BIN)) & value.between(low, high)
     joined = asking.join(binned, cond if extra is None else cond & extra)
@@ -79,10 +79,9 @@ def overlap_join(left: KFrame, right: KFrame, extra: Column | None, left_bounds:
         (mine, (a, b), OWN_LEVEL, OWN_BIN, theirs, (c, d), LEVEL, BIN, 0),
         (theirs, (c, d), LEVEL, BIN, mine, (a, b), OWN_LEVEL, OWN_BIN, 1),
     ):
-        levels = long.agg(F.collect_set(long_level).alias("__levels"))
         least = F.col(short_level) + more
         # The shorter interval's own level gives way to the one it is looked for at.
-        spread = short.crossJoin(F.broadcast(levels)).withColumn("__at", F.explode(F.filter("__levels", lambda k: k >= least)))  # one row
+        spread = short.withColumn("__levels", _levels(long, F.col(long_level))).withColumn("__at", F.explode(F.filter("__levels", lambda k: k >= least)))
         spread = spread.drop("__levels", short_level).withColumnRenamed("__at", short_level)
         spread = _with_bins(spread, *short_bounds, short_level, short_bin)
         dealt = _with_bins(long, *long_bounds, long_level, long_bin)
