@@ -164,6 +164,8 @@ class KFrame:
         In scalar semirings the rows of one tuple become one, pre-aggregated where
         they are read, so a join key that holds a third of all rows joins as a single
         row. Symbolic semirings keep a row per witness and only lose the other attributes.
+        Free where the join deals its rows by these attributes anyway; a shuffle of its own where the join would be a
+        broadcast, or where tuples hardly repeat: use :meth:`project` there.
         """
         f = self.project(*attrs)
         return f if f.semiring.symbolic else f.merge()

@@ -46,20 +46,20 @@ def absorb(frame: KFrame) -> KFrame:
     f = frame.as_names()
     clauses = f.df.select(tuple_key(f.attrs).alias(KEY), NAMES).distinct()
     left = clauses.join(
-        _absorbed(clauses), (F.col(KEY) == F.col("__ak")) & (F.col(NAMES) == F.col("__aw")), "left_anti"
+        _absorbed(clauses, frame.sizes is None or 0 in frame.sizes), (F.col(KEY) == F.col("__ak")) & (F.col(NAMES) == F.col("__aw")), "left_anti"
     )
     attrs = [F.col(KEY)[f"_{i}"].alias(a) for i, a in enumerate(f.attrs)]
     return replace(f, df=left.select(*attrs, NAMES), merged=True, absorbed=True)
 
 
-def _absorbed(clauses: DataFrame) -> DataFrame:
+def _absorbed(clauses: DataFrame, constants: bool) -> DataFrame:
     """(key, clause) of every clause that properly contains another one, as ``__ak, __aw``.
 
-    The empty clause, the constant True, is inside every other: it asks and waits under a
+    The empty clause, the constant True, is inside every other: where the plan can make one, it asks and waits under a
     variable of its own that each clause also asks at.
     """
     everywhere = F.array(F.lit("").cast("string"))  # no variable has an empty name
-    asked = clauses.select(KEY, NAMES, F.explode(F.concat(NAMES, everywhere)).alias(VARIABLE))
+    asked = clauses.select(KEY, NAMES, F.explode(F.concat(NAMES, everywhere) if constants else F.col(NAMES)).alias(VARIABLE))
     common = asked.groupBy(KEY, VARIABLE).agg(F.count(F.lit(1)).alias("__n"))
     counted = asked.join(common, [KEY, VARIABLE])
     own = F.when((F.col(VARIABLE) != "") | (F.size(NAMES) == 0), F.struct("__n", VARIABLE))
