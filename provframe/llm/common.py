@@ -6,7 +6,6 @@ import re
 import tempfile
 import uuid
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,18 +58,6 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def strings(column: pa.Array) -> list[str]:
-    """Texts of a string column; null counts as empty."""
-    return [x or "" for x in column.to_pylist()]
-
-
-def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Sums of consecutive segments, empty ones included."""
-    total = np.concatenate(([0.0], np.cumsum(values, dtype=np.float64)))
-    ends = np.cumsum(lengths)
-    return total[ends] - total[ends - lengths]
-
-
 class Recent(dict):
     """Values of the keys met most recently: one full generation is set aside when the next begins, and what is met again returns."""
 
