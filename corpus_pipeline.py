@@ -13,28 +13,28 @@ from provframe.llm.common import materialize, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model learned from this corpus and its labels doesn't call toxic."""
+    """Documents that the model learned from this corpus and its labels doesn't call toxic. Null and empty texts stay; equal texts share their fate."""
     return toxicity.drop_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space, the longest."""
+    """Of texts that are equal but for white space, the longest. Null, empty and white texts are equal; of repeated rows one stays."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
+    """One document of each near-duplicate group, the one with the smallest id. Null and empty texts are near each other; of repeated rows one stays."""
     return simhash.drop_near_copies(docs)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data, and terms that give it away, replaced in the texts; n_chars follows."""
+    """Personal data, and terms that give it away, replaced in the texts; n_chars follows. Null texts stay null; every row stays."""
     clean = pii.sanitised(docs)
     return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 4,096 tokens."""
+    """The pieces of all documents in sequences of at most 4,096 tokens. Null and empty texts have the end id alone; repeated rows are packed each."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
