@@ -32,7 +32,9 @@ from provframe.llm.piece_bpe import PieceCoder
 #: A block of documents ends with the one that brings it to so many links.
 BLOCK_LINKS = 2_000_000
 #: Parts met recently that each Python worker keeps with their ids (twice as many at most), and the longest such part.
-CACHED, CACHED_CHARS = 250_000, 40
+CACHED, CACHED_CHARS = 350_000, 40
+#: Characters of the texts whose unknown parts are encoded in one call.
+CHUNK_CHARS = 300_000
 #: Ends compared one by one before a run is probed in steps of doubling length.
 SHORT_RUN = 4
 #: Both vocabularies part words before a single space or line end between two such characters.
@@ -116,6 +118,7 @@ class Aligner:
         self._text_b = np.array([f"{k};" for k in range(len(self.tokens_b))], dtype=object)
         self._inner = np.array([f"{k}," for k in range(max(size, len(self.tokens_b)))], dtype=object)
         self._known = Recent(CACHED)
+        self._fresh: dict[str, tuple] = {}
 
     def _encode(self, parts: list[str]) -> list[tuple[bytes, bytes] | tuple[()]]:
         """Ids of each part in both vocabularies; nothing if their bytes are not those of the part.
@@ -132,27 +135,47 @@ class Aligner:
             result.append((array("i", a).tobytes(), array("i", b).tobytes()) if same else ())
         return result
 
-    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of space + text by the byte vocabulary, of the text by the pieces; None if either's bytes differ from the text's.
+    def split(self, texts: list[str | None]) -> list[list[str]]:
+        """The parts of each text, and of space + text; parts that are not known yet are encoded together.
 
         Parts between seams don't touch in either vocabulary, so recent ones are kept.
         """
-        parts, known = SEAM.split(" " + text), self._known
+        parts, known = [SEAM.split(" " + text) if text else [] for text in texts], self._known
+        missing = list({p for own in parts for p in own if known[p] is None})
+        self._fresh = dict(zip(missing, self._encode(missing))) if missing else {}
+        for part, ids in self._fresh.items():
+            if len(part) <= CACHED_CHARS:
+                known.keep(part, ids)
+        return parts
+
+    def ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of space + text by the byte vocabulary, of the text by the pieces; None if either's bytes differ from the text's."""
+        known, fresh = self._known, self._fresh
         found = [known[p] for p in parts]
         if None in found:
-            missing = list({p for p, ids in zip(parts, found) if ids is None})
-            fresh = dict(zip(missing, self._encode(missing)))
             found = [fresh[p] if ids is None else ids for p, ids in zip(parts, found)]
-            for part, ids in fresh.items():
-                if len(part) <= CACHED_CHARS:
-                    known.keep(part, ids)
         if () in found:
             return None
         return tuple(np.frombuffer(b"".join(own), dtype="i4") for own in zip(*found))
 
+    def aligned_texts(self, texts: Iterator[str | None]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
+        """``align`` of many texts, in order."""
+        held: list[str | None] = []
+        size = 0
+        for text in texts:
+            held.append(text)
+            size += len(text or "")
+            if size > CHUNK_CHARS:
+                yield from map(self._align, self.split(held))
+                held, size = [], 0
+        yield from map(self._align, self.split(held))
+
     def align(self, text: str | None) -> tuple[int, int, int, str, np.ndarray]:
         """(tokens A, tokens B, groups, groups as text, linked id pairs); nothing where the vocabularies' bytes differ from the text's."""
-        found = self.ids(text) if text else None
+        return self._align(self.split([text])[0])
+
+    def _align(self, parts: list[str]) -> tuple[int, int, int, str, np.ndarray]:
+        found = self.ids(parts) if parts else None
         if found is None:
             return 0, 0, 0, "", np.zeros(0, dtype=np.int64)
         a, b = found
@@ -214,7 +237,7 @@ def groups_of(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(bytes_path, pieces_path)
         for batch in batches:
-            texts = pa.array((aligner.align(value.as_py())[3] for value in batch.column(1)), pa.string())
+            texts = pa.array((found[3] for found in aligner.aligned_texts(value.as_py() for value in batch.column(1))), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["doc_id", "groups"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, groups string")
@@ -241,8 +264,8 @@ def _blocks(docs: DataFrame, bytes_path: str, pieces_path: str) -> DataFrame:
             return pa.RecordBatch.from_pylist([value], schema=kind)
 
         for batch in batches:
-            for key, value in zip(batch.column(0), batch.column(1)):
-                n_a, n_b, count, groups, pairs = aligner.align(value.as_py())
+            found = aligner.aligned_texts(value.as_py() for value in batch.column(1))
+            for key, (n_a, n_b, count, groups, pairs) in zip(batch.column(0), found):
                 digest = hashlib.sha256(groups.encode()).hexdigest() if n_a else ""
                 rows.append({"doc_id": key.as_py(), "n_a": n_a, "n_b": n_b, "n_groups": count, "n_links": len(pairs), "groups_sha256": digest})
                 own, n = np.unique(pairs, return_counts=True)
