@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,7 +32,7 @@ from provframe.llm.common import materialize
 MIN_PAGES, SAME = 5, 0.9
 #: Depth to which the nodes of a page make its layout.
 LAYOUT_DEPTH = 4
-#: Trees merged at once, about; sibling lists with more pairs than this are matched in one pass, each to the next of its label.
+#: Trees merged at once, about; pairs of siblings whose table is held at once, where the roots of longer lists don't need more. The result doesn't depend on it.
 FAN_IN, SIBLING_PAIRS = 16, 250_000
 
 #: Elements that part blocks of text, elements without end tag, elements whose content is no markup.
@@ -192,64 +194,124 @@ class Tree:
                 self.children[parent].append(k)
 
 
-def _in_one_pass(left: list[str], right: list[str]) -> list[tuple[int, int]]:
-    """Each of the left to the next on the right with its label."""
-    places: dict[str, list[int]] = {}
-    for j in range(len(right) - 1, -1, -1):
-        places.setdefault(right[j], []).append(j)
-    pairs, at = [], -1
-    for i, label in enumerate(left):
-        ahead = places.get(label, [])
-        while ahead and ahead[-1] <= at:
-            ahead.pop()
-        if ahead:
-            at = ahead.pop()
-            pairs.append((i, at))
+def _next_row(above: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The next row of a table of best chains: with one more left sibling, whose weights with the right ones are ``own``."""
+    row = np.zeros_like(above)
+    np.maximum.accumulate(np.maximum(above[1:], above[:-1] + own), out=row[1:])
+    return row
+
+
+def _chain(count: int, width: int, own: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+    """The heaviest pairs of siblings that keep their order. Some rows of the table are kept, the ones between are made again on the way back."""
+    step = max(isqrt(count), SIBLING_PAIRS // (width + 1), 1)
+    kept, row = [], np.zeros(width + 1, np.int64)
+    for i in range(count):
+        if i % step == 0:
+            kept.append(row)
+        row = _next_row(row, own(i))
+    pairs, i, j = [], count, width
+    while i and j:
+        start = (i - 1) // step * step
+        rows = [kept[start // step]]
+        for k in range(start, i):
+            rows.append(_next_row(rows[-1], own(k)))
+        while i > start and j:
+            if rows[i - start][j] == rows[i - start - 1][j]:
+                i -= 1
+            elif rows[i - start][j] == rows[i - start][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
     return pairs
 
 
+class Matcher:
+    """Simple tree matching of two trees. Equal subtrees are one kind, and weights are found once for two kinds."""
+
+    def __init__(self, a: Tree, b: Tree):
+        self.numbers: dict[tuple[str, tuple[int, ...]], int] = {}
+        self.labels: list[str] = []
+        self.children: list[tuple[int, ...]] = []
+        self.heights: list[int] = []
+        self.of_a, self.of_b = self._kinds(a), self._kinds(b)
+        self.weight: dict[tuple[int, int], int] = {}
+        self.chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def _kinds(self, tree: Tree) -> list[int]:
+        kinds = [0] * len(tree.labels)
+        for k in range(len(tree.labels) - 1, -1, -1):  # parents come first
+            below = tuple(kinds[c] for c in tree.children[k])
+            kinds[k] = self.numbers.setdefault((tree.labels[k], below), len(self.labels))
+            if kinds[k] == len(self.labels):
+                self.labels.append(tree.labels[k])
+                self.children.append(below)
+                self.heights.append(1 + max((self.heights[c] for c in below), default=0))
+        return kinds
+
+    def _by_label(self, kinds: tuple[int, ...], inner: bool) -> dict[str, list[int]]:
+        found: dict[str, list[int]] = {}
+        for k in dict.fromkeys(kinds):
+            if self.children[k] or not inner:
+                found.setdefault(self.labels[k], []).append(k)
+        return found
+
+    def _rows(self, x: int, y: int) -> tuple[int, int, Callable[[int], np.ndarray]]:
+        """Numbers of children of two kinds, and the weights of a left child with each right one."""
+        left, right = self.children[x], self.children[y]
+        places: dict[int, list[int]] = {}
+        for j, k in enumerate(right):
+            places.setdefault(k, []).append(j)
+        places = {k: np.array(v) for k, v in places.items()}
+        alike = self._by_label(right, inner=False)
+
+        def own(i: int) -> np.ndarray:
+            row = np.zeros(len(right), np.int64)
+            for k in alike.get(self.labels[left[i]], ()):
+                row[places[k]] = self.weight.get((left[i], k), 1)  # only the nodes themselves where one has no children
+            return row
+
+        return len(left), len(right), own
+
+    def weigh(self) -> None:
+        todo = [(self.of_a[0], self.of_b[0])]
+        met = set(todo)
+        for x, y in todo:
+            right = self._by_label(self.children[y], inner=True)
+            for label, kinds in self._by_label(self.children[x], inner=True).items():
+                new = {(u, v) for u in kinds for v in right.get(label, ())} - met
+                met |= new
+                todo += new
+        for x, y in sorted(todo, key=lambda pair: self.heights[pair[0]]):
+            count, width, own = self._rows(x, y)
+            row = np.zeros(width + 1, np.int64)
+            for i in range(count):
+                row = _next_row(row, own(i))
+            self.weight[x, y] = 1 + int(row[-1])
+
+    def pairs(self, x: int, y: int) -> list[tuple[int, int]]:
+        """Places of the children that are matched under two matched nodes."""
+        if not self.children[x] or not self.children[y]:
+            return []
+        if (x, y) not in self.chosen:
+            self.chosen[x, y] = _chain(*self._rows(x, y))
+        return self.chosen[x, y]
+
+
 def tree_matching(a: Tree, b: Tree) -> list[tuple[int, int]]:
     """Largest set of node pairs with equal labels that keeps ancestors and the order of siblings (simple tree matching).
 
-    Pairs of nodes are weighed bottom up, without recursion, so trees may have any depth.
+    Kinds of subtrees are weighed bottom up, without recursion, so trees may have any depth, and by rows of a table, so
+    sibling lists may have any length.
     """
     if a.labels[0] != b.labels[0]:
         return []
-    met: list[tuple[int, int]] = [(0, 0)]
-    for x, y in met:
-        left, right = a.children[x], b.children[y]
-        if len(left) * len(right) > SIBLING_PAIRS:
-            met += [(left[i], right[j]) for i, j in _in_one_pass([a.labels[u] for u in left], [b.labels[v] for v in right])]
-        else:
-            met += [(u, v) for u in left for v in right if a.labels[u] == b.labels[v]]
-    weight: dict[tuple[int, int], int] = {}
-    chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for x, y in reversed(met):
-        left, right = a.children[x], b.children[y]
-        if len(left) * len(right) > SIBLING_PAIRS:
-            pairs = [(left[i], right[j]) for i, j in _in_one_pass([a.labels[u] for u in left], [b.labels[v] for v in right])]
-        else:
-            best: list[list[int]] = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-            for i, u in enumerate(left):
-                row, above = best[i + 1], best[i]
-                for j, v in enumerate(right):
-                    most = above[j + 1] if above[j + 1] > row[j] else row[j]
-                    own = weight.get((u, v))
-                    row[j + 1] = most if own is None or above[j] + own <= most else above[j] + own
-            pairs, i, j = [], len(left), len(right)
-            while i and j:
-                if best[i][j] == best[i - 1][j]:
-                    i -= 1
-                elif best[i][j] == best[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    pairs.append((left[i], right[j]))
-        chosen[x, y] = pairs
-        weight[x, y] = 1 + sum(weight[p] for p in pairs)
+    matcher = Matcher(a, b)
+    matcher.weigh()
     result = [(0, 0)]
-    for pair in result:
-        result += chosen[pair]
+    for x, y in result:
+        left, right = a.children[x], b.children[y]
+        result += [(left[i], right[j]) for i, j in matcher.pairs(matcher.of_a[x], matcher.of_b[y])]
     return result
 
 

@@ -87,6 +87,17 @@ def test_long_sibling_lists_are_matched_in_one_pass(monkeypatch):
     assert sorted(tree_matching(a, b)) == [(0, 0), (1, 2), (2, 3)]
 
 
+def test_matching_does_not_depend_on_the_length_of_sibling_lists(monkeypatch):
+    """A first sibling whose only like is the last on the other side must not cost all others their partners."""
+    k = 600
+    a, b = tree((-1, "#"), (0, "z"), *[(0, "xp"[i % 2]) for i in range(k)]), tree((-1, "#"), *[(0, "xp"[i % 2]) for i in range(k)], (0, "z"))
+    assert k * k > html_extract.SIBLING_PAIRS
+    found = sorted(tree_matching(a, b))
+    assert found == [(0, 0)] + [(i + 2, i + 1) for i in range(k)]
+    monkeypatch.setattr(html_extract, "SIBLING_PAIRS", 1)
+    assert sorted(tree_matching(a, b)) == found
+
+
 def test_constant_nodes_are_template_and_slots_are_content(spark):
     page = "<html><body><div id=top>Daily news of the town</div><div class=story><h2>Title {k}</h2><p>Text {k} of the story</p></div><div class=tail>All rights kept</div></body></html>"
     rows = [(k, "http://a.example/x", page.format(k=k)) for k in range(12)] + [(50, "http://b.example/", page.format(k=0)), (51, None, None), (52, "nonsense", "")]
