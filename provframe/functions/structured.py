@@ -23,7 +23,11 @@ def _empty_set() -> Column:
 
 
 def _sets(x: Column) -> Column:
-    return F.array_sort(F.array_distinct(x))
+    """Different sets in order. Spark compares all pairs to find different arrays, so they are sorted first and compared with the one before."""
+    x = F.array_sort(x)
+    before = F.concat(F.array(F.lit(None).cast("array<string>")), F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))))
+    marked = F.zip_with(x, before, lambda own, last: F.struct(own.alias("own"), own.eqNullSafe(last).alias("again")))
+    return F.when(F.size(x) == 0, x).otherwise(F.transform(F.filter(marked, lambda m: ~m["again"]), lambda m: m["own"]))
 
 
 #: Why-provenance: the set of all sets of source rows that derive the tuple. Zero is no set, one the empty set.
