@@ -97,3 +97,29 @@ def test_joins_do_not_depend_on_clause_length(spark, length):
     plan = absorb(f).df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 3
     assert as_sets(absorb(f)) == {1: brute.absorbed({tuple(names), tuple(names[: length // 2 + 1]), (names[0], "zz")})}
+
+
+def test_shapes_of_witnesses_absorb_without_names(spark):
+    """Clauses of one to three leaves of apart tables: only native columns meet, and equal shapes are added up."""
+    from provframe import BX
+    from provframe.sources.annotate import annotate
+
+    a = annotate(spark.createDataFrame([(k, k % 3) for k in range(30)], "a long, x long"), BX, "left", ["a"], unique=True)
+    b = annotate(spark.createDataFrame([(k, k % 5) for k in range(30)], "b long, y long"), BX, "right", ["b"], unique=True)
+    c = annotate(spark.createDataFrame([(k,) for k in range(30)], "c long"), BX, "third", ["c"], unique=True)
+    ab, abc = a.join(b, [("a", "b")]), a.join(b, [("a", "b")]).join(c, [("b", "c")])
+    f = abc.project("x").msum(ab.where("y = 1").project("x")).msum(ab.where("y < 2").project("x")).msum(a.where("a % 4 = 0").project("x")).msum(b.where("b = 6").rename({"y": "x"}).project("x"))
+    assert f.witness_shapes == {frozenset(s) for s in ((0, 1, 2), (0, 1), (0,), (1,))}
+    wanted = {k % 3: set() for k in range(3)}
+    for k in range(30):
+        if k % 4 == 0:
+            wanted[k % 3].add((f"left_{k}",))
+        elif k % 5 < 2:
+            wanted[k % 3].add((f"left_{k}", f"right_{k}"))
+        else:
+            wanted[k % 3].add((f"left_{k}", f"right_{k}", f"third_{k}"))
+    wanted[1].add(("right_6",))
+    found = f.terms()
+    rows = [(r.x, tuple(r.term[1:-1].split(" ∧ "))) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and {k: {t for x, t in rows if x == k} for k in wanted} == wanted
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()

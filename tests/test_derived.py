@@ -443,3 +443,17 @@ def test_sets_of_a_large_element_are_not_compared_pair_by_pair(spark):
     began = time.time()
     found = annotate(rows, WHY, weight="w").result().select(F.size("n").alias("n"), F.size(F.array_distinct(F.flatten("n"))).alias("v")).collect()
     assert [tuple(r) for r in found] == [(k, k)] and time.time() - began < 60
+
+
+def test_circuit_values_travel_beside_the_rows(spark):
+    """No evaluation makes or shuffles the names of nodes."""
+    orders = annotate(spark.createDataFrame([(1, 7, "a"), (2, 7, "b"), (3, 8, "a")], "o long, c long, p string"), NX, "orders", ["o"])
+    items = annotate(spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 1)], "k long, line long"), NX, "items", ["k", "line"])
+    chain = orders.circuit().join(items.circuit(), [("o", "k")]).project("c", "p").rename({"p": "kind"}).project("c")
+    found = chain.derivations()
+    assert sorted(tuple(r) for r in found.collect()) == [(7, 3, 6), (8, 1, 2)]
+    cost = spark.createDataFrame([(1, 1, 5.0), (1, 2, 4.0), (3, 1, 9.0)], "k long, line long, cost double")
+    cheapest_ = chain.evaluate(MIN_PLUS, {"items": cost}).result()
+    assert sorted(tuple(r) for r in cheapest_.collect()) == [(7, 0.0), (8, 9.0)]
+    for df in (found, cheapest_):
+        assert "xxhash64" not in df._jdf.queryExecution().executedPlan().toString()
