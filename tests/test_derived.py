@@ -50,6 +50,22 @@ def test_interval_joins(spark, semiring):
     assert some.df.count() == sum(a % 5 == b % 5 for a, b in [tuple(r) for r in joined.df.select("l", "r").collect()])
 
 
+@pytest.mark.parametrize("cell", [1, 7])
+def test_bins_with_many_pairs_are_cut_into_cells(spark, monkeypatch, cell):
+    """Every pair is found once, however the rows of a bin are dealt; repeated rows count each; the bins are cut where no equality deals rows."""
+    from provframe.operators import intervals
+
+    monkeypatch.setattr(intervals, "CELL_ROWS", cell)
+    left, right = [(k % 40, float(k % 40), float(k % 40 + k % 9)) for k in range(60)], [(k % 30, float(k % 30), float(k % 30 + k % 5)) for k in range(50)]
+    f = annotate(spark.createDataFrame(left, "l long, a double, b double"), N)
+    g = annotate(spark.createDataFrame(right, "r long, c double, d double"), N)
+    over = f.join(g, overlaps=(("a", "b"), ("c", "d")))
+    assert sorted(tuple(r) for r in over.df.select("l", "r").collect()) == sorted((x[0], y[0]) for x in left for y in right if x[1] <= y[2] and y[1] <= x[2])
+    inside = f.join(g, between=("a", "c", "d"))
+    assert sorted(tuple(r) for r in inside.df.select("l", "r").collect()) == sorted((x[0], y[0]) for x in left for y in right if y[1] <= x[1] <= y[2])
+    assert "__c1" in over.df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_long_intervals_are_not_cut(spark):
     """One interval of a billion units among a thousand short ones is in a few bins."""
     rows = [(k, float(k), float(k + 1)) for k in range(1000)] + [(1000, 0.0, 1e9)]
