@@ -55,25 +55,28 @@ def aligned(ends_a: np.ndarray, ends_b: np.ndarray) -> Iterator[tuple[int, int,
     """
     a, b = ends_a.astype("<i8"), ends_b.astype("<i8")
     raw_a, raw_b, list_a, list_b = a.tobytes(), b.tobytes(), a.tolist(), b.tolist()
-    i, j, n_a, n_b = 0, 0, len(list_a), len(list_b)
+    i, j, n_a = 0, 0, len(list_a)
+    # Beyond the last ends, which are equal, nothing is.
+    list_a.append(-1)
+    list_b.append(-2)
     while i < n_a:
         # At this shift j - i, how far do the ends agree?
-        most, run, step = min(n_a - i, n_b - j), 0, SHORT_RUN
-        while run < most and run < SHORT_RUN and list_a[i + run] == list_b[j + run]:
+        run = 0
+        while run < SHORT_RUN and list_a[i + run] == list_b[j + run]:
             run += 1
-        if run < SHORT_RUN:
-            most = run
-        while run < most:
-            step = min(step, most - run)
-            low_a, low_b = 8 * (i + run), 8 * (j + run)
-            if raw_a[low_a : low_a + 8 * step] == raw_b[low_b : low_b + 8 * step]:
-                run += step
-                step *= 2
-            elif step == 1:
-                break
-            else:
-                step //= 2
-                most = min(most, run + 2 * step)
+        if run == SHORT_RUN:
+            most, step = min(n_a - i, len(list_b) - 1 - j), SHORT_RUN
+            while run < most:
+                step = min(step, most - run)
+                low_a, low_b = 8 * (i + run), 8 * (j + run)
+                if raw_a[low_a : low_a + 8 * step] == raw_b[low_b : low_b + 8 * step]:
+                    run += step
+                    step *= 2
+                elif step == 1:
+                    break
+                else:
+                    step //= 2
+                    most = min(most, run + 2 * step)
         if run:
             yield i, j, run, run, True
             i, j = i + run, j + run
@@ -81,11 +84,14 @@ def aligned(ends_a: np.ndarray, ends_b: np.ndarray) -> Iterator[tuple[int, int,
                 return
         # An irregular group, up to the next common end.
         p, q = i, j
-        while list_a[p] != list_b[q]:
-            if list_a[p] < list_b[q]:
+        x, y = list_a[p], list_b[q]
+        while x != y:
+            if x < y:
                 p += 1
+                x = list_a[p]
             else:
                 q += 1
+                y = list_b[q]
         yield i, j, p + 1 - i, q + 1 - j, False
         i, j = p + 1, q + 1
 
@@ -180,29 +186,15 @@ class Aligner:
             return 0, 0, 0, "", np.zeros(0, dtype=np.int64)
         a, b = found
         ends_a, ends_b = np.cumsum(self._length_a[a]), np.cumsum(self._length_b[b])
-        runs, groups, links_a, links_b = [], [], [], []
-        list_a, list_b = ends_a.tolist(), ends_b.tolist()
+        runs, groups = [], []
         for i, j, n_a, n_b, single in aligned(ends_a, ends_b):
             if single:
                 runs.append((i, j, n_a))
-                continue
-            groups.append((i, j, n_a, n_b))
-            if n_a == 1 or n_b == 1:
-                links_a.extend([i] * n_b if n_a == 1 else range(i, i + n_a))
-                links_b.extend([j] * n_a if n_b == 1 else range(j, j + n_b))
-                continue
-            p, q = i, j
-            while True:  # inside a group no ends are common but the last
-                links_a.append(p)
-                links_b.append(q)
-                if p == i + n_a - 1 and q == j + n_b - 1:
-                    break
-                if q == j + n_b - 1 or (p < i + n_a - 1 and list_a[p] < list_b[q]):
-                    p += 1
-                else:
-                    q += 1
+            else:
+                groups.append((i, j, n_a, n_b))
         straight_a, straight_b = _places(runs)
-        from_a, from_b = np.concatenate((straight_a, np.array(links_a, dtype=np.int64))), np.concatenate((straight_b, np.array(links_b, dtype=np.int64)))
+        links_a, links_b = _links(ends_a, ends_b, straight_a, straight_b)
+        from_a, from_b = np.concatenate((straight_a, links_a)), np.concatenate((straight_b, links_b))
         pairs = a[from_a].astype(np.int64) * PAIR + b[from_b]
         return len(a), len(b), len(straight_a) + len(groups), self._written(a, b, straight_a, straight_b, groups), pairs
 
@@ -231,6 +223,22 @@ def _places(runs: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(start_a, lengths) + within, np.repeat(start_b, lengths) + within
 
 
+def _links(ends_a: np.ndarray, ends_b: np.ndarray, straight_a: np.ndarray, straight_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of both tokens of each link outside one-to-one stretches, in order.
+
+    Two tokens overlap in one stretch of bytes, which ends where one of them does; so there is a link for each different end.
+    """
+    left_a, left_b = np.ones(len(ends_a), dtype=bool), np.ones(len(ends_b), dtype=bool)
+    left_a[straight_a], left_b[straight_b] = False, False
+    a, b = np.flatnonzero(left_a), np.flatnonzero(left_b)
+    own_a, own_b = ends_a[a], ends_b[b]
+    ends = np.concatenate((own_a, own_b))
+    ends.sort(kind="stable")
+    if len(ends):
+        ends = ends[np.concatenate(([True], ends[1:] != ends[:-1]))]
+    return a[np.searchsorted(own_a, ends)], b[np.searchsorted(own_b, ends)]
+
+
 def groups_of(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, groups): the groups of every row as ``a1,a2|b1;a3|b2,b3`` in decimal ids; empty for texts without tokens, null and empty ones among them."""
 

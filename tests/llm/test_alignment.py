@@ -51,6 +51,16 @@ def test_groups_and_links_equal_brute_force(text):
     assert sorted(pairs.tolist()) == sorted(x * alignment.PAIR + y for x, y in wanted[3])
 
 
+def test_links_of_irregular_tokens_are_found_at_once():
+    """Each different end outside one-to-one stretches is one link."""
+    ends_a, ends_b = np.array([1, 4, 6, 9, 12, 15]), np.array([1, 3, 5, 9, 12, 13, 15])
+    straight = np.array([0, 4]), np.array([0, 4])
+    a, b = alignment._links(ends_a, ends_b, *straight)
+    assert list(zip(a.tolist(), b.tolist())) == [(1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (5, 5), (5, 6)]
+    none = alignment._links(ends_a[:1], ends_b[:1], np.array([0]), np.array([0]))
+    assert [len(x) for x in none] == [0, 0]
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 3), st.integers(1, 3), st.integers(0, 12)), max_size=12))
 def test_stretches_cover_both_arrays(shape):
