@@ -37,6 +37,8 @@ LEFT = LENGTH - KMER
 SPAN = LEFT + LENGTH
 #: Bytes of text whose samples are sought at once, and members above which a name's strings are dealt out one by one.
 PORTION, MANY = 2_000_000, 20_000
+#: Bytes of text whose samples make a bucket of names, about; a task holds one bucket at a time.
+BUCKET_BYTES = 8_000_000
 #: Tuples that a task sorts at once, complete names only.
 SORTED_AT_ONCE = 100_000
 PLACE_BITS = 32
@@ -152,8 +154,9 @@ def _numbers(column: pa.Array, kind: str) -> np.ndarray:
 
 
 def _shared_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text_key, places) of samples whose names several documents have. A task holds its own share of all names."""
+    """(doc, text_key, places) of samples whose names several documents have. Rows come in order of their buckets, of which one is held."""
     parts: list[tuple[np.ndarray, ...]] = []
+    held = None
 
     def live(doc: np.ndarray, key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((place, key, doc))
@@ -163,19 +166,28 @@ def _shared_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         values = [place[a:b].tobytes() for a, b in zip(cuts, ends)]
         return pa.RecordBatch.from_arrays([pa.array(doc[cuts]), pa.array(key[cuts]), pa.array(values, pa.binary())], names=["doc", "text_key", "places"])
 
-    for batch in batches:
-        known = batch.filter(pc.less(batch.column(0), 0))
-        if known.num_rows:
-            yield live(_numbers(known.column(2), "<i8"), _numbers(known.column(3), "<i8"), _numbers(known.column(4), "<i4"))
-        open_ = batch.filter(pc.greater_equal(batch.column(0), 0))
-        if open_.num_rows:
-            parts.append((_numbers(open_.column(1), "<u8"), _numbers(open_.column(2), "<i8"), _numbers(open_.column(3), "<i8"), _numbers(open_.column(4), "<i4")))
-    if parts:
+    def settle() -> pa.RecordBatch:
         name, doc, key, place = (np.concatenate(c) for c in zip(*parts))
+        parts.clear()
         order, _, several, group = _shared(name, doc)
         hits = order[several[group]]
         hits = hits[place[hits] >= 0]
-        yield live(doc[hits], key[hits], place[hits])
+        return live(doc[hits], key[hits], place[hits])
+
+    for batch in batches:
+        buckets = batch.column(0).to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1]))) if len(buckets) else []
+        for start, end in zip(starts, [*starts[1:], len(buckets)]):
+            rows, bucket = batch.slice(start, end - start), int(buckets[start])
+            if bucket < 0:
+                yield live(_numbers(rows.column(2), "<i8"), _numbers(rows.column(3), "<i8"), _numbers(rows.column(4), "<i4"))
+                continue
+            if parts and bucket != held:
+                yield settle()
+            held = bucket
+            parts.append((_numbers(rows.column(1), "<u8"), _numbers(rows.column(2), "<i8"), _numbers(rows.column(3), "<i8"), _numbers(rows.column(4), "<i4")))
+    if parts:
+        yield settle()
 
 
 TUPLES = "name long, doc long, text_key long, place int, around binary, room int"
@@ -369,8 +381,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = _maybe(rows, copies)
     firsts = marked.where("NOT maybe").drop("maybe").union(marked.where("maybe").drop("maybe").join(copies, ["doc", "text_key"], "left_anti"))
 
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = firsts.mapInArrow(_name_samples(buckets), FOUND).repartition(buckets, "bucket")
+    # As many buckets as the bytes of text ask for: a task takes its buckets one after the other, in Spark's external order.
+    tasks, size = int(spark.conf.get("spark.sql.shuffle.partitions")), hashed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    buckets = max(tasks, -(-size // BUCKET_BYTES))
+    named = firsts.mapInArrow(_name_samples(buckets), FOUND).repartition(tasks, "bucket").sortWithinPartitions("bucket")
     shared = named.mapInArrow(_shared_samples, "doc long, text_key long, places binary")
     shared = materialize(shared.groupBy("doc", "text_key").agg(F.collect_list("places").alias("places")), "shared-samples")  # bounded by a text's length
 

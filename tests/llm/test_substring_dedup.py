@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from provframe.llm import substring_dedup
@@ -55,3 +56,31 @@ def test_generated(spark, monkeypatch, many):
 
 def test_given_documents(spark):
     check(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3))
+
+
+def test_a_task_holds_one_bucket_of_names(spark):
+    """Samples of a bucket are settled as soon as the next bucket begins, whatever a task has of the others."""
+    read = []
+
+    def batches():
+        for bucket in (0, 0, 3, 7):
+            read.append(bucket)
+            names, docs, keys, places = (np.array(x, dtype=t).tobytes() for x, t in (([5, 6], "<u8"), ([len(read), 9], "<i8"), ([1, 1], "<i8"), ([4, 8], "<i4")))
+            yield substring_dedup._batch([bucket], [[names], [docs], [keys], [places]])
+
+    found = substring_dedup._shared_samples(batches())
+    first = next(found)
+    assert read == [0, 0, 3]
+    assert sorted(zip(first.column(0).to_pylist(), (np.frombuffer(x, "<i4").tolist() for x in first.column(2).to_pylist()))) == [(1, [4]), (2, [4])]
+    assert [b.num_rows for b in found] == [0, 0] and read == [0, 0, 3, 7]
+
+
+def test_more_buckets_than_tasks(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(900)) for _ in range(12)]
+    rows = [(i, texts[i % 12][i * 7 :] + texts[(i * 5 + 1) % 12][: 300 + i]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = sorted(map(tuple, substring_dedup.without_repeats(docs).collect()))
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 500)
+    assert sorted(map(tuple, substring_dedup.without_repeats(docs).collect())) == few
+    assert sum(r[2] for r in few) > 0
