@@ -46,6 +46,42 @@ def test_rows_move_twice_for_a_text(spark):
     assert plan.count("Exchange hashpartitioning") <= 5
 
 
+def items_by_order(spark, s, hot=120):
+    """Orders joined with their items: order 0 has ``hot`` items, the others three, one of which comes twice."""
+    orders = spark.range(40).select(F.col("id").alias("o"), F.when(F.col("id") % 2 == 0, "even").alias("name"))
+    few = spark.range(160).select((F.col("id") % 40).alias("lo"), F.when(F.col("id") < 40, F.col("id") + 40).otherwise(F.col("id")).alias("item")).where("lo > 0")
+    items = few.union(spark.range(hot).selectExpr("0 AS lo", "id + 1000 AS item"))
+    return annotate(orders, s, "o", ["o"]).join(annotate(items, s, "i", ["lo", "item"]), [("o", "lo")]).project("name", "o")
+
+
+@pytest.mark.parametrize("semiring", [BX, NX], ids=["B[X]", "N[X]"])
+def test_tuples_of_few_terms_do_not_move_again(spark, semiring):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = items_by_order(spark, semiring).text()
+        rows = {(r["name"], r["o"], r["part"]): r["annotation"] for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moves = [line for line in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "Exchange hashpartitioning" in line]
+    assert moves and not [m for m in moves if "__key" in m or "__stretch" in m or "__order" in m]
+    assert len(rows) == 40 and rows[(None, 7, 0)] == (
+        "(i_7_127 ∧ o_7) ∨ (i_7_47 ∧ o_7) ∨ (i_7_87 ∧ o_7)" if semiring is BX else "i_7_127·o_7 + 2·i_7_47·o_7 + i_7_87·o_7"
+    )
+
+
+@pytest.mark.parametrize("semiring", [BX, NX], ids=["B[X]", "N[X]"])
+@pytest.mark.parametrize("merged", [False, True])
+def test_tuples_of_few_and_of_many_terms(spark, semiring, merged):
+    f = items_by_order(spark, semiring)
+    f = f.merge() if merged else f
+    rows = lambda df: sorted((r["name"] or "", r["o"], r["part"], r["annotation"]) for r in df.collect())
+    found = rows(f.text(max_terms=50))
+    assert [r[2] for r in found if r[1] == 0] == [0, 1, 2] and len(found) == 42
+    assert found == rows(f.text(max_terms=50, spread=True))
+    sizes = {(r[1], r[2]): len(r[3]) for r in rows(f.packed(max_terms=50))}
+    assert sizes == {(0, 0): 50, (0, 1): 50, (0, 2): 20} | {(o, 0): 3 for o in range(1, 40)}
+
+
 def test_result_names_that_are_attributes(spark):
     f = annotate(spark.createDataFrame([(1, 2, 3, 4)], "part int, term int, n int, annotation int"), BX, "t", ["n"])
     for make in (f.text, f.packed, f.terms):
