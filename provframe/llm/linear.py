@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provframe.llm.common import tidy
+
 #: At most so many labelled documents are fitted on, so many of them in one task. Every document is scored.
 SAMPLE_ROWS, SHARD_ROWS = 20_000, 5_000
 #: Words kept with their hash in each Python worker.
@@ -69,13 +71,15 @@ def fit(sample: DataFrame, size: int, learn: Callable[[list[str], list[int]], tu
         rows = [r for b in batches for r in zip(*(b.column(n).to_pylist() for n in ("order", "text", "label")))]
         if rows:
             rows.sort()
-            weights, bias = learn([r[1] for r in rows], [r[2] for r in rows])
+            texts, labels, total = [r[1] for r in rows], [r[2] for r in rows], float(len(rows))
+            del rows  # each text is held once
+            weights, bias = learn(texts, labels)
             at = np.flatnonzero(weights)
-            columns = [pa.array(np.append(at, size)), pa.array(np.append(weights[at], bias)), pa.array(np.full(len(at) + 1, float(len(rows))))]
+            columns = [pa.array(np.append(at, size)), pa.array(np.append(weights[at], bias)), pa.array(np.full(len(at) + 1, total))]
             yield pa.RecordBatch.from_arrays(columns, names=["at", "weight", "rows"])
 
     dealt = sample.withColumn("shard", F.pmod(F.xxhash64("order", F.lit(1)), F.lit(shards))).repartition(shards, "shard")
-    models = dealt.select("order", "text", "label").mapInArrow(run, "at long, weight double, rows double")
+    models = dealt.select("order", "text", "label").mapInArrow(tidy(run), "at long, weight double, rows double")
     mixed = models.groupBy("at").agg(F.sum(F.col("weight") * F.col("rows")).alias("weight"), F.sum("rows").alias("rows")).toPandas()
     result, bias = np.zeros(size, dtype=np.float32), 0.0
     if len(mixed):

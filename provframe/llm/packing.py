@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provframe.llm.common import materialize
+from provframe.llm.common import materialize, tidy
 
 CAPACITY = 4096
 END_ID = 1
 #: Words kept with their ids in each Python worker, and the longest such word.
-CACHED_WORDS, CACHED_CHARS = 1_000_000, 48
+CACHED_WORDS, CACHED_CHARS = 400_000, 48
 #: The vocabulary's pattern always parts a letter or digit from what is neither. Only letters whose small form is one letter.
 CLOSING = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?*#$%&|<>])")
 #: Items of one length are ranked in blocks of about so many rows, at least MIN_BLOCKS blocks.
@@ -142,7 +142,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(cut), PIECES)
 
 
 class Packing:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provframe.llm.common import materialize, text_bytes
+from provframe.llm.common import materialize, text_bytes, tidy
 from provframe.llm.components import connected_components
 
 BITS, SEED = 64, 42
@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     text = F.col(text_col)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text")).mapInArrow(
-        run, "doc_id long, text_key long, fp long"
+        tidy(run), "doc_id long, text_key long, fp long"
     )
 
 
@@ -205,7 +205,7 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, large: int
             yield result(open_bucket, open_fps)
 
     rows = _buckets(fps, radius, blocks, large).repartition("bucket").sortWithinPartitions("bucket", "fp")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

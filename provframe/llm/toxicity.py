@@ -8,6 +8,7 @@ loss runs through the noisy-or to the sentences, which so learn where the label
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provframe.llm.common import tidy
 from provframe.llm.linear import SAMPLE_ROWS, Ftrl, WordHashes, fit, held_out, labelled_sample
 
 BITS = 20
@@ -32,17 +34,38 @@ BREAK = (1 << 64) - 1
 SENTENCE = re.compile(r"[^.!?\n]*[^\W\d_][^.!?\n]*")
 
 
-def _word_value(word: str) -> int:
-    """A number for the word itself; sentence ends have one of their own."""
-    return BREAK if word[0] in ENDS else xxhash.xxh64_intdigest(word) >> 1
-
-
 def features(word: str) -> list[int]:
     """Buckets of a word: the whole and its beginnings, so that inflected and compounded forms share what they begin with."""
     parts = {word + "$", *(word[:k] for k in PREFIXES if len(word) >= k)}
     return [xxhash.xxh64_intdigest(p) >> (64 - BITS) for p in sorted(parts)]
 
 
+class WordFeatures:
+    """Numbers words as they come and keeps their features in two arrays; sentence ends have a number of their own."""
+
+    def __init__(self):
+        self._first, self._all = array("q", [0]), array("i")
+
+    def number(self, word: str) -> int:
+        if word[0] in ENDS:
+            return BREAK
+        self._all.extend(features(word))
+        self._first.append(len(self._all))
+        return len(self._first) - 2
+
+    def __call__(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The features of words given by number, one word after the other, and how many each has."""
+        first = np.frombuffer(self._first, dtype=np.int64)
+        sizes = first[words + 1] - first[words]
+        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return np.frombuffer(self._all, dtype=np.int32)[np.repeat(first[words], sizes) + within], sizes
+
+
+def smallest(numbers: np.ndarray) -> np.ndarray:
+    """The same numbers, none of them negative, in as few bytes as they need."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+
+
 def instances(texts: list[str], hashes: WordHashes) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Words and their values, the sentence of each, the text of each sentence; sentences without words aren't counted."""
     tokens: list[str] = []
@@ -68,14 +91,15 @@ def log_rest(z: np.ndarray) -> np.ndarray:
 
 
 def learn(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
-    hashes, model = WordHashes(_word_value), Ftrl(1 << BITS, ALPHA, L1, L2, BIAS)
-    examples, known = [], {}
+    known, model = WordFeatures(), Ftrl(1 << BITS, ALPHA, L1, L2, BIAS)
+    numbers, examples = WordHashes(known.number), []
     for text, label in zip(texts, labels):
-        tokens, _, sentence, _ = instances([text], hashes)
-        words = [known[t] if t in known else known.setdefault(t, features(t)) for t, before in zip(tokens, [None, *tokens]) if t[0] not in ENDS and t != before]
-        if words:
-            at, back = np.unique(np.array([x for f in words for x in f], dtype=np.int32), return_inverse=True)
-            examples.append((at, back.astype(np.int32), np.repeat(sentence.astype(np.int32), [len(f) for f in words]), label))
+        _, words, sentence, _ = instances([text], numbers)
+        if len(words):
+            found, sizes = known(words.astype(np.int64))
+            at, back = np.unique(found, return_inverse=True)
+            examples.append((at, smallest(back), np.repeat(smallest(sentence), sizes), label))
+    del known, numbers  # not needed while the model is fitted
     order = np.random.default_rng(1)
     for _ in range(EPOCHS):
         for k in order.permutation(len(examples)):
@@ -156,7 +180,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(names))] + own, names=[*names, "score", "predicted", "offending"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(names)])
-    return rows.mapInArrow(run, (kinds + ", " if kinds else "") + "score double, predicted int, offending string")
+    return rows.mapInArrow(tidy(run), (kinds + ", " if kinds else "") + "score double, predicted int, offending string")
 
 
 def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

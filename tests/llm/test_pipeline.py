@@ -1,8 +1,11 @@
+import tracemalloc
+import weakref
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from provframe.llm import packing, queries, toxicity
+from provframe.llm import common, linear, packing, queries, simhash, toxicity
 from provframe.llm.common import materialize, read_table
 from tests.llm.test_pii import brute as pii_brute
 from tests.llm.test_simhash import brute_components, brute_fingerprint
@@ -65,3 +68,49 @@ def test_the_whole_chain_takes_odd_rows_and_empty_tables(spark, odd_docs, tmp_pa
         pieces.setdefault(r.doc_id, []).append((r.piece, r.length))
     assert sorted(pieces, key=str) == ([2, 3, 4, 7, 8] if rows else [])
     assert all(sorted(n for n, _ in p) == list(range(len(p))) for p in pieces.values())
+
+
+def test_memory_goes_back_after_a_task(monkeypatch):
+    """Once the rows are through, and what the task held is free."""
+
+    class Held:
+        pass
+
+    seen = []
+
+    def run(batches):
+        held = Held()
+        seen.append(weakref.ref(held))
+        yield from batches
+
+    monkeypatch.setattr(common, "give_back", lambda: seen.append(seen[0]()))
+    rows = common.tidy(run)(iter([1, 2]))
+    assert next(rows) == 1 and len(seen) == 1
+    assert list(rows) == [2] and seen[1:] == [None]
+    monkeypatch.undo()
+    common.give_back()
+
+
+def test_stages_in_python_tidy_up(spark, monkeypatch):
+    tidied = []
+    for module in (simhash, toxicity, packing, linear):
+        monkeypatch.setattr(module, "tidy", lambda run, name=module.__name__: tidied.append(name) or run)
+    docs, labels = (read_table(spark, FOLDER, name).limit(30) for name in ("documents", "labels"))
+    toxicity.drop_toxic(docs, labels)
+    simhash.drop_near_copies(docs)
+    packing.token_pieces(docs, queries.WORD_VOCABULARY)
+    assert {name.rsplit(".", 1)[1] for name in tidied} == {"simhash", "toxicity", "packing", "linear"}
+
+
+def test_learning_holds_words_in_arrays(monkeypatch):
+    """Bytes at the peak for each different word, beside a small model: 159 now, 469 with lists of numbers."""
+    monkeypatch.setattr(toxicity, "BITS", 12)
+    texts = [" ".join(f"{a}{b}word{chr(97 + k % 26)}{chr(97 + k // 26)}." for k in range(60)) for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmno"]
+    toxicity.learn(texts[:1], [1])
+    tracemalloc.start()
+    try:
+        toxicity.learn(texts, [k % 2 for k in range(len(texts))])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 300 * 60 * len(texts)
