@@ -19,6 +19,8 @@ import re
 import uuid
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,10 @@ SHORT_RUN = 4
 SEAM = re.compile(r"(?<=[!-~À-ɏ])(?=[ \n][!-~À-ɏ])")
 #: Characters on whose classes all versions of the splitting pattern agree.
 PLAIN = re.compile(r"[ \n!-~À-ÖØ-öø-ɏ]+").fullmatch
+#: Parts of such characters with a seam on both sides, wherever another such part stands beside them.
+SEAMED = re.compile(r"[ \n](?=[!-~À-ÖØ-öø-ɏ])[ \n!-~À-ÖØ-öø-ɏ]*(?<=[!-~À-ÖØ-öø-ɏ])").fullmatch
+#: Such parts that are encoded as one text.
+ROW = 512
 #: A pair of ids as one number.
 PAIR = 1 << 32
 
@@ -67,7 +73,8 @@ def aligned(ends_a: np.ndarray, ends_b: np.ndarray) -> Iterator[tuple[int, int,
         if run == SHORT_RUN:
             most, step = min(n_a - i, len(list_b) - 1 - j), SHORT_RUN
             while run < most:
-                step = min(step, most - run)
+                if step > most - run:
+                    step = most - run
                 low_a, low_b = 8 * (i + run), 8 * (j + run)
                 if raw_a[low_a : low_a + 8 * step] == raw_b[low_b : low_b + 8 * step]:
                     run += step
@@ -75,8 +82,9 @@ def aligned(ends_a: np.ndarray, ends_b: np.ndarray) -> Iterator[tuple[int, int,
                 elif step == 1:
                     break
                 else:
+                    if run + step < most:
+                        most = run + step
                     step //= 2
-                    most = min(most, run + 2 * step)
         if run:
             yield i, j, run, run, True
             i, j = i + run, j + run
@@ -96,8 +104,8 @@ def aligned(ends_a: np.ndarray, ends_b: np.ndarray) -> Iterator[tuple[int, int,
         i, j = p + 1, q + 1
 
 
-class Aligner:
-    """Tokens of both vocabularies for a text, their groups and links."""
+class Vocabularies:
+    """Both tokenizers, and the bytes, lengths and written ids of their tokens."""
 
     def __init__(self, bytes_path: str, pieces_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -106,28 +114,76 @@ class Aligner:
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
-        self._bytes = Tokenizer.from_file(bytes_path)
-        self._bytes.encode_special_tokens = True
-        self._pieces = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
+        self.bytes = Tokenizer.from_file(bytes_path)
+        self.bytes.encode_special_tokens = True
+        self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
         codes = {symbol: b for b, symbol in byte_symbols().items()}
-        special = set(self._bytes.get_added_tokens_decoder())
-        size = max(self._bytes.get_vocab().values()) + 1
-        vocabulary = [self._bytes.id_to_token(k) for k in range(size)]
+        special = set(self.bytes.get_added_tokens_decoder())
+        size = max(self.bytes.get_vocab().values()) + 1
+        vocabulary = [self.bytes.id_to_token(k) for k in range(size)]
         self.tokens_a = [b"" if k in special or t is None else bytes(codes[c] for c in t) for k, t in enumerate(vocabulary)]
         ranks = {t: k for k, t in enumerate(self.tokens_a) if t}
         #: The same merges without the cost of a full encoding, for parts of plain characters.
-        self._plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.tokens_b = [s or b"" for s in PieceCoder(pieces_path).surfaces]
-        self._length_a = np.array([len(t) for t in self.tokens_a], dtype=np.int64)
-        self._length_b = np.array([len(t) for t in self.tokens_b], dtype=np.int64)
-        self._text_a = np.array([f"{k}|" for k in range(size)], dtype=object)
-        self._text_b = np.array([f"{k};" for k in range(len(self.tokens_b))], dtype=object)
-        self._inner = np.array([f"{k}," for k in range(max(size, len(self.tokens_b)))], dtype=object)
+        self.length_a = np.array([len(t) for t in self.tokens_a], dtype=np.int64)
+        self.length_b = np.array([len(t) for t in self.tokens_b], dtype=np.int64)
+        #: Written ids inside groups, from ``last_a`` on those at the end of a group's A side, from ``last_b`` on at the end of a group.
+        self.last_a = max(size, len(self.tokens_b))
+        self.last_b = 2 * self.last_a
+        self.written = np.array([f"{k}{mark}" for mark in ",|;" for k in range(self.last_a)], dtype=object)
+
+
+class Aligner:
+    """Tokens of both vocabularies for a text, their groups and links."""
+
+    def __init__(self, bytes_path: str, pieces_path: str):
+        own = vocabularies(bytes_path, pieces_path)
+        self._bytes, self._pieces, self._plain = own.bytes, own.pieces, own.plain
+        self.tokens_a, self.tokens_b = own.tokens_a, own.tokens_b
+        self._length_a, self._length_b = own.length_a, own.length_b
+        self._last_a, self._last_b, self._words = own.last_a, own.last_b, own.written
         self._known = Recent(CACHED)
-        self._fresh: dict[str, tuple] = {}
 
     def _encode(self, parts: list[str]) -> list[tuple[bytes, bytes] | tuple[()]]:
-        """Ids of each part in both vocabularies; nothing if their bytes are not those of the part.
+        """Ids of each part in both vocabularies; nothing if their bytes are not those of the part."""
+        seamed = [p for p in parts if SEAMED(p)]
+        found: dict[str, tuple[bytes, bytes] | tuple[()]] = {}
+        for k in range(0, len(seamed), ROW):
+            own = seamed[k : k + ROW]
+            found.update(zip(own, self._encode_row(own)))
+        others = [p for p in parts if p not in found]
+        found.update(zip(others, self._encode_each(others)))
+        return [found[p] for p in parts]
+
+    def _encode_row(self, parts: list[str]) -> list[tuple[bytes, bytes] | tuple[()]]:
+        """``_encode`` of parts with seams: encoded as one text, which is cut where they end. If its bytes differ, each half is tried."""
+        row = "".join(parts)
+        data = row.encode()
+        a, b = self._plain(row), self._pieces.encode(row[1:] if row[0] == " " else row, num_threads=1)
+        if row[0] != " ":
+            b = b[1:]
+        if b"".join(map(self.tokens_a.__getitem__, a)) == data and b"".join(map(self.tokens_b.__getitem__, b)) == data:
+            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in parts])
+            ids, cuts = [], []
+            for own, lengths in ((a, self._length_a), (b, self._length_b)):
+                tokens = np.array(own, dtype="i4")
+                own_ends = np.cumsum(lengths[tokens])
+                at = np.searchsorted(own_ends, ends)
+                if (own_ends[at] != ends).any():
+                    break
+                ids.append(tokens.tobytes())
+                cuts.append([0, *(4 * (at + 1)).tolist()])
+            else:
+                (a, b), (cut_a, cut_b) = ids, cuts
+                return [(a[i:j], b[m:n]) for i, j, m, n in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
+        if len(parts) == 1:
+            return self._encode_each(parts)
+        half = len(parts) // 2
+        return self._encode_row(parts[:half]) + self._encode_row(parts[half:])
+
+    def _encode_each(self, parts: list[str]) -> list[tuple[bytes, bytes] | tuple[()]]:
+        """``_encode`` of any parts, one by one.
 
         The pieces put a space in front: the one that the part has, or one that stands alone before a line end.
         """
@@ -141,28 +197,19 @@ class Aligner:
             result.append((array("i", a).tobytes(), array("i", b).tobytes()) if same else ())
         return result
 
-    def split(self, texts: list[str | None]) -> list[list[str]]:
-        """The parts of each text, and of space + text; parts that are not known yet are encoded together.
+    def ids(self, texts: list[str | None]) -> list[list[tuple[bytes, bytes] | tuple[()]]]:
+        """Ids of the parts of space + text, for each text: in both vocabularies, nothing if their bytes are not those of the part.
 
-        Parts between seams don't touch in either vocabulary, so recent ones are kept.
+        Parts between seams don't touch in either vocabulary, so recent ones are kept; those not known yet are encoded together.
         """
         parts, known = [SEAM.split(" " + text) if text else [] for text in texts], self._known
-        missing = list({p for own in parts for p in own if known[p] is None})
-        self._fresh = dict(zip(missing, self._encode(missing))) if missing else {}
-        for part, ids in self._fresh.items():
+        found = [[known[p] for p in own] for own in parts]
+        missing = list({p for own, ids in zip(parts, found) if None in ids for p, x in zip(own, ids) if x is None})
+        fresh = dict(zip(missing, self._encode(missing)))
+        for part, ids in fresh.items():
             if len(part) <= CACHED_CHARS:
                 known.keep(part, ids)
-        return parts
-
-    def ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of space + text by the byte vocabulary, of the text by the pieces; None if either's bytes differ from the text's."""
-        known, fresh = self._known, self._fresh
-        found = [known[p] for p in parts]
-        if None in found:
-            found = [fresh[p] if ids is None else ids for p, ids in zip(parts, found)]
-        if () in found:
-            return None
-        return tuple(np.frombuffer(b"".join(own), dtype="i4") for own in zip(*found))
+        return [[fresh[p] if x is None else x for p, x in zip(own, ids)] if None in ids else ids for own, ids in zip(parts, found)]
 
     def aligned_texts(self, texts: Iterator[str | None]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
         """``align`` of many texts, in order."""
@@ -172,53 +219,46 @@ class Aligner:
             held.append(text)
             size += len(text or "")
             if size > CHUNK_CHARS:
-                yield from map(self._align, self.split(held))
+                yield from map(self._align, self.ids(held))
                 held, size = [], 0
-        yield from map(self._align, self.split(held))
+        yield from map(self._align, self.ids(held))
 
     def align(self, text: str | None) -> tuple[int, int, int, str, np.ndarray]:
         """(tokens A, tokens B, groups, groups as text, linked id pairs); nothing where the vocabularies' bytes differ from the text's."""
-        return self._align(self.split([text])[0])
+        return self._align(self.ids([text])[0])
 
-    def _align(self, parts: list[str]) -> tuple[int, int, int, str, np.ndarray]:
-        found = self.ids(parts) if parts else None
-        if found is None:
+    def _align(self, found: list[tuple[bytes, bytes] | tuple[()]]) -> tuple[int, int, int, str, np.ndarray]:
+        if not found or () in found:
             return 0, 0, 0, "", np.zeros(0, dtype=np.int64)
-        a, b = found
+        a, b = (np.frombuffer(b"".join(own), dtype="i4") for own in zip(*found))
         ends_a, ends_b = np.cumsum(self._length_a[a]), np.cumsum(self._length_b[b])
-        runs, groups = [], []
-        for i, j, n_a, n_b, single in aligned(ends_a, ends_b):
-            if single:
-                runs.append((i, j, n_a))
-            else:
-                groups.append((i, j, n_a, n_b))
+        stretches = np.fromiter(chain.from_iterable(aligned(ends_a, ends_b)), dtype=np.int64).reshape(-1, 5)
+        single = stretches[:, 4] > 0
+        runs, groups = stretches[single, :3], stretches[~single, :4]
         straight_a, straight_b = _places(runs)
         links_a, links_b = _links(ends_a, ends_b, straight_a, straight_b)
         from_a, from_b = np.concatenate((straight_a, links_a)), np.concatenate((straight_b, links_b))
         pairs = a[from_a].astype(np.int64) * PAIR + b[from_b]
         return len(a), len(b), len(straight_a) + len(groups), self._written(a, b, straight_a, straight_b, groups), pairs
 
-    def _written(self, a: np.ndarray, b: np.ndarray, straight_a: np.ndarray, straight_b: np.ndarray, groups: list[tuple[int, int, int, int]]) -> str:
+    def _written(self, a: np.ndarray, b: np.ndarray, straight_a: np.ndarray, straight_b: np.ndarray, groups: np.ndarray) -> str:
         """The groups in order: a token comes after the tokens of its side, and after those of the other side in earlier groups (its own, too, for B)."""
         last_a, last_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
         last_a[straight_a], last_b[straight_b] = True, True
-        if groups:
-            i, j, n_a, n_b = np.array(groups, dtype=np.int64).T
-            last_a[i + n_a - 1], last_b[j + n_b - 1] = True, True
+        i, j, n_a, n_b = groups.T
+        last_a[i + n_a - 1], last_b[j + n_b - 1] = True, True
         # Ends of groups, in order, on both sides; every token belongs to the group that ends next.
         stop_a, stop_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
         group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
-        words = np.empty(len(a) + len(b), dtype=object)
-        words[np.arange(len(a)) + np.concatenate(([0], stop_b))[group_a]] = np.where(last_a, self._text_a[a], self._inner[a])
-        words[np.arange(len(b)) + stop_a[group_b]] = np.where(last_b, self._text_b[b], self._inner[b])
-        return "".join(words.tolist())[:-1]
+        words = np.empty(len(a) + len(b), dtype=np.int64)
+        words[np.arange(len(a)) + np.concatenate(([0], stop_b))[group_a]] = a + self._last_a * last_a
+        words[np.arange(len(b)) + stop_a[group_b]] = b + self._last_b * last_b
+        return "".join(self._words[words].tolist())[:-1]
 
 
-def _places(runs: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+def _places(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of both tokens of each pair in one-to-one stretches (a, b, length)."""
-    if not runs:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    start_a, start_b, lengths = np.array(runs, dtype=np.int64).T
+    start_a, start_b, lengths = runs.T
     within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     return np.repeat(start_a, lengths) + within, np.repeat(start_b, lengths) + within
 
@@ -239,6 +279,12 @@ def _links(ends_a: np.ndarray, ends_b: np.ndarray, straight_a: np.ndarray, strai
     return a[np.searchsorted(own_a, ends)], b[np.searchsorted(own_b, ends)]
 
 
+@lru_cache(maxsize=1)
+def vocabularies(bytes_path: str, pieces_path: str) -> Vocabularies:
+    """Those of this process: tasks that follow each other in a Python worker read them once."""
+    return Vocabularies(bytes_path, pieces_path)
+
+
 def groups_of(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, groups): the groups of every row as ``a1,a2|b1;a3|b2,b3`` in decimal ids; empty for texts without tokens, null and empty ones among them."""
 

@@ -122,3 +122,23 @@ def test_query_covers_all_documents(spark):
     found = op11_alignment(spark, SF_SMALL)
     assert found.count() == docs.count()
     assert found.where("n_links != n_a + n_b - n_groups OR n_best > n_links").count() == 0
+
+
+WORDS = [f" w{k}x" for k in range(700)] + ["\nline", " two  spaces", " end.", "\n(", " é", " ŉ", " ĳ", " ſt", "  wide", " open ", "中文", " x" * 30, " <s>"]
+
+
+def test_fresh_parts_are_encoded_in_rows(monkeypatch):
+    """As one by one, but in few calls; parts that one of the vocabularies changes don't spoil those beside them."""
+    aligner = alignment.Aligner(BYTE_VOCABULARY, PIECES)
+    calls, plain = [], aligner._plain
+    monkeypatch.setattr(aligner, "_plain", lambda text: calls.append(text) or plain(text))
+    assert aligner._encode(WORDS[:700]) == alignment.Aligner(BYTE_VOCABULARY, PIECES)._encode_each(WORDS[:700])
+    assert len(calls) == -(-700 // alignment.ROW)
+    for parts in (WORDS, WORDS[::-1], WORDS[690:], [" ŉ"], []):
+        assert aligner._encode(parts) == aligner._encode_each(parts)
+
+
+def test_tasks_of_a_worker_share_the_vocabularies():
+    other = alignment.Aligner(BYTE_VOCABULARY, PIECES)
+    assert other.tokens_a is ALIGNER.tokens_a and other._pieces is ALIGNER._pieces
+    assert other._known is not ALIGNER._known
